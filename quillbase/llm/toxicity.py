@@ -113,13 +113,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[i
     return [(r["label"], np.frombuffer(r["at"], "<i4").astype(np.int64)) for r in got]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, epochs: int = 25, l1_a_row: float = 0.005, **how: float) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, epochs: int = 25, l1_of_root: float = 0.32, **how: float) -> Model:
     """Weights learned from at most `rows` labelled documents (a bounded sample, FEATURES_A_ROW features each).
 
-    L1 is in proportion to the sample, as the sums that it bounds are.
+    L1 grows with the root of the sample, as the noise of the sums that it bounds does.
     """
     sample = training_rows(docs, labels, rows)
-    model = Ftrl(l1=l1_a_row * len(sample), **how)
+    model = Ftrl(l1=l1_of_root * len(sample) ** 0.5, **how)
     for _ in range(epochs):
         for label, at in sample:
             model.learn(at, label)
