@@ -1,0 +1,119 @@
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+from cases import SCHEMA, clashing, prose
+
+from quillbase.llm import bag_minhash as bm
+
+
+def multiset(text, k=5):
+    w = (text or "").split()
+    return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([("short", *w)])
+
+
+def brute(rows):
+    """Least id of each row's single-link class at similarity 0.8."""
+    bags = [multiset(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        low = sum((bags[i] & bags[j]).values())
+        if 5 * low >= 4 * sum((bags[i] | bags[j]).values()):
+            root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return sorted((str(r[0]), str(least.get(find(i)))) for i, r in enumerate(rows))
+
+
+def test_against_brute_force(spark, documents):
+    folder, rows = documents
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in bm.op10_bag_minhash(spark, folder).collect())
+    assert got == brute(rows)
+
+
+def chains(seed):
+    """Documents that drift away from one another by small edits, so that classes form by links only."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(4):
+        words = prose(rng, 120).split()
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words), None, None, None))
+            for _ in range(3):
+                words[rng.randrange(len(words))] = f"w{rng.random()}"
+    return rows
+
+
+def test_links_across_components_are_found(spark, tmp_path):
+    for seed in (1, 2):
+        rows = chains(seed)
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{seed}/documents.parquet")
+        got = sorted((str(r.doc_id), str(r.class_id)) for r in bm.op10_bag_minhash(spark, f"{tmp_path}/{seed}").collect())
+        assert got == brute(rows)
+
+
+def test_small_groups_agree(spark, documents, monkeypatch):
+    folder, rows = documents
+    monkeypatch.setattr(bm, "GROUP", 1)
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in bm.op10_bag_minhash(spark, folder).collect()) == brute(rows)
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        a = rng.integers(1, 40, 300)
+        b = np.where(rng.random(300) < 0.6, a, rng.integers(0, 60, 300))
+        items = bm.mix(np.arange(300, dtype=np.uint64) + np.uint64(rng.integers(1, 1 << 40)))
+        has = b > 0
+        s = bm.signatures(2, np.repeat([0, 1], [300, has.sum()]), np.concatenate([items, items[has]]), np.concatenate([a, b[has]]), 4096)
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert abs((s[0] == s[1]).mean() - true) < 4 * (true * (1 - true) / 4096) ** 0.5 + 0.005
+
+
+def test_signatures_do_not_depend_on_the_limit():
+    items, weights = bm.mix(np.arange(50, dtype=np.uint64)), np.arange(1, 51)
+    a, t = bm._first_points(1, np.zeros(50, np.int64), items, weights, np.array([3.0]), 64)
+    b, u = bm._first_points(1, np.zeros(50, np.int64), items, weights, np.array([30.0]), 64)
+    full = np.isfinite(t[0])
+    assert full.any() and (a[0][full] == b[0][full]).all() and (t[0][full] == u[0][full]).all()
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(400, 480)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in bm.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root if find(n) != n}
+
+
+def test_deduplicate(spark):
+    df = clashing(spark)
+    out = bm.deduplicate(df)
+    want = brute(df.collect())
+    classes = {c for _, c in want if c != "None"}
+    kept = [r.doc_id for r in out.collect()]
+    assert out.columns == df.columns and {str(k) for k in kept if k is not None} == classes
+    assert len(kept) == len(classes) + len({c for _, c in want if c == "None"})
+
+
+def test_empty_table(spark, nothing):
+    assert bm.op10_bag_minhash(spark, nothing).collect() == []
+    assert bm.deduplicate(spark.createDataFrame([], SCHEMA)).collect() == []
