@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
 import tempfile
+import threading
+import time
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +22,9 @@ M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)  # splitmix64's publis
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 #: Entries after which a worker's word cache is dropped; bounds its memory, never its results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_500_000
+#: Seconds without use after which a worker drops its caches, so that an idle one leaves its memory to the executor.
+IDLE_S = 3
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -86,19 +92,55 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+class _Idle:
+    """Clears the caches of a worker that has been idle; hold it while using one."""
+
+    def __init__(self) -> None:
+        self.lock, self.used, self.caches, self.process = threading.Lock(), 0.0, [], 0
+
+    def __enter__(self) -> None:
+        self.lock.acquire()
+        if self.process != os.getpid():
+            self.process = os.getpid()
+            threading.Thread(target=self._watch, daemon=True).start()
+
+    def __exit__(self, *_: object) -> None:
+        self.used = time.monotonic()
+        self.lock.release()
+
+    def _watch(self) -> None:
+        while True:
+            time.sleep(1)
+            if any(self.caches) and time.monotonic() - self.used > IDLE_S and self.lock.acquire(blocking=False):
+                for c in self.caches:
+                    c.clear()
+                self.lock.release()
+                gc.collect()
+
+
+idle = _Idle()
+
+
+def kept(cache: dict) -> dict:
+    """A cache that goes when its worker is idle."""
+    idle.caches.append(cache)
+    return cache
+
+
 class WordIds(dict):
     """Word -> a fixed 64-bit hash, kept for words met before."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= CACHE_ENTRIES // 2:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
 
     def hashes(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+        with idle:
+            return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
 _encoders: dict[tuple[str, bool], CachedEncoder] = {}
@@ -112,6 +154,8 @@ class CachedEncoder:
     encoded in one go; without, white space is dropped and any split will do.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str, joined: bool):
         from tokenizers import Tokenizer
 
@@ -119,35 +163,93 @@ class CachedEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.joined = joined
-        self.cache: dict[str, bytes] = {}
+        #: Two generations: what was used since the younger one began, and what was known before.
+        self.cache: dict[str, bytes] = kept({})
+        self.old: dict[str, bytes] = kept({})
+        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        if not self.joined:
-            return text.replace("\n", " ").split(" ")
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        for p in pieces:
-            if not p or p[-1].isspace() or len(p) > 1 and p[1].isspace():
-                return None
-        return None if pieces[0][0].isspace() else pieces
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        pieces = [None if "\0" in t else self._pieces(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
+    def _alone(self, piece: str) -> bool:
+        """Whether a piece's ids don't depend on its neighbours; one whose do is never cached."""
+        return not self.joined or bool(piece) and not piece[-1].isspace() and not piece[1:2].isspace()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a string column without nulls.
+
+        Arrow splits the texts and numbers their distinct pieces; only those become Python strings.
+        """
+        with idle:
+            return self._from_cache(texts)
+
+    def _fill(self, words: list[str], ids: list[bytes | None], missing: list[int]) -> list[int]:
+        """Ids of pieces that the cache lacks; gives those that depend on their neighbours, which get none.
+
+        A mark after a letter is a token of its own to both vocabularies, so a piece that ends in one is put together.
+        """
+        if len(self.cache) + len(missing) > CACHE_ENTRIES // 2:  # a new generation begins with this block
+            self.old.clear()
+            self.old.update(self.cache)
             self.cache.clear()
-        new = {w for ws in pieces if ws for w in ws}.difference(self.cache)
-        if new:
-            words = list(new)
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                self.cache.update(zip(part, self._encode(part), strict=True))
-        out = [b"" if ws is None else b"".join(map(self.cache.__getitem__, ws)) for ws in pieces]
-        if whole := [i for i, ws in enumerate(pieces) if ws is None]:
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                out[i] = ids
+        stems: dict[str, bytes | None] = {}
+        parts, bound = [], []
+        for i in missing:
+            w = words[i]
+            if not self._alone(w):
+                bound.append(i)
+                ids[i] = b""
+                continue
+            mark = w[-1:] if len(w) > 2 and w[-1] in self.MARKS and w[-2].isalpha() else ""
+            stem = w[:-1] if mark else w
+            if not self.joined and stem.isascii():
+                stem = stem.lower()
+            parts.append((i, stem, mark))
+            if stem not in stems:
+                known = self.cache.get(stem)
+                stems[stem] = self.old.pop(stem, None) if known is None else known
+        ask = [w for w, b in stems.items() if b is None]
+        for at in range(0, len(ask), 20_000):
+            stems.update(zip(ask[at : at + 20_000], self._encode(ask[at : at + 20_000]), strict=True))
+        self.cache.update(stems)  # type: ignore[arg-type]
+        for i, stem, mark in parts:
+            ids[i] = stems[stem] + self.marks[mark] if mark else stems[stem]
+        return bound
+
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        if not self.joined:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
+
+    def _from_cache(self, texts: pa.Array) -> list[bytes]:
+        import pyarrow.compute as pc
+
+        split = self._pieces(texts)
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        piece, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids = list(map(self.cache.get, words))
+        missing = [i for i, b in enumerate(ids) if b is None]
+        whole = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False) if self.joined else np.zeros(len(texts), bool)
+        if missing:
+            bound = self._fill(words, ids, missing)
+            if bound:
+                at = np.flatnonzero(np.isin(piece, bound))
+                whole = whole.copy()
+                whole[np.searchsorted(bounds, at + bounds[0], "right") - 1] = True
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(size) - size
+        n = size[piece]
+        ends = np.cumsum(n)
+        tokens = flat[np.repeat(begin[piece] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cut = (4 * np.concatenate([[0], ends])[bounds - bounds[0]]).tolist()
+        out = [tokens[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        if rows := np.flatnonzero(whole).tolist():
+            for i, b in zip(rows, self._encode(texts.take(pa.array(rows)).to_pylist()), strict=True):
+                out[i] = b
         return out
 
 
@@ -171,6 +273,14 @@ def runs(parts: list[int], size: int) -> Iterator[tuple[int, int]]:
         yield begin, len(parts)
 
 
+def text_blocks(column: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of a string column, in blocks of about `size` bytes; null is empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    for i, j in runs(np.diff(offsets).tolist(), size):
+        yield i, column.slice(i, j - i)
+
+
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers

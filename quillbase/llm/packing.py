@@ -24,15 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import documents, encoder, runs, staged, text_or_empty, vocabulary
+from quillbase.llm.common import documents, encoder, staged, text_blocks, text_or_empty, vocabulary
 
 ROOM = 2048
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: Nodes of one enumeration of fillings, fillings kept of it, and decisions that branch-and-bound may redo.
 NODES, FILLINGS, REDONE = 4000, 8, 400
-#: Characters encoded at once.
-BLOCK = 4 << 20
+#: Bytes of text encoded at once.
+BLOCK = 8 << 20
 
 
 def pieces(docs: DataFrame, vocabulary_file: str, room: int = ROOM, end: int = END) -> DataFrame:
@@ -43,11 +43,10 @@ def pieces(docs: DataFrame, vocabulary_file: str, room: int = ROOM, end: int = E
         seen: dict[int, int] = {}
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             ids = batch.column("doc_id").to_pylist()
             rows = []
-            for i, j in runs([len(t) for t in texts], BLOCK):
-                for doc, whole in zip(ids[i:j], tokens.encode(texts[i:j]), strict=True):
+            for i, texts in text_blocks(batch.column("text"), BLOCK):
+                for doc, whole in zip(ids[i:], tokens.encode(texts), strict=False):
                     whole += last
                     for k, at in enumerate(range(0, len(whole), 4 * room)):
                         cut = whole[at : at + 4 * room]

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillbase.llm.common import CACHE_ENTRIES, documents, map_arrow, text_or_empty, vocabulary
+from quillbase.llm.common import CACHE_ENTRIES, documents, idle, kept, map_arrow, text_or_empty, vocabulary
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -93,8 +93,8 @@ class PieceFst:
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.longest = max(map(len, self.ids))
-        self.arcs: dict[tuple[int, int], float] = {}
-        self.paths: dict[str, bytes] = {}
+        self.arcs: dict[tuple[int, int], float] = kept({})
+        self.paths: dict[str, bytes] = kept({})
 
     def _merge(self, text: str) -> list[str]:
         """BPE by rank: the best-scored neighbours first, from the left."""
@@ -172,7 +172,10 @@ class PieceFst:
             return b""
         if self.kind != BPE:
             return np.array(self.shortest(self.normalise(text)), "<u4").tobytes()
-        units = self._units.findall(self.normalise(text))
+        with idle:
+            return self._from_cache(self._units.findall(self.normalise(text)))
+
+    def _from_cache(self, units: list[str]) -> bytes:
         try:
             return b"".join(map(self.paths.__getitem__, units))
         except KeyError:

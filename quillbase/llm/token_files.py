@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import documents, encoder, runs, staged, text_or_empty, vocabulary, width
+from quillbase.llm.common import documents, encoder, staged, text_blocks, text_or_empty, vocabulary, width
 
 END = 2
 #: First nonterminal.
@@ -32,7 +32,7 @@ SHARD = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST = 4, 3000, 24
 MAGIC = b"QRPR1\0\0\0"
 FILES = "part int, shard int, before long, n_ids long, docs array<long>, body binary"
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 _BUCKETS = 18
 
 
@@ -51,20 +51,24 @@ def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS) -> tuple
         at = np.flatnonzero((counts >= floor)[bucket] & (symbols[:-1] != end) & (symbols[1:] != end))
         if not len(at):
             break
-        order = np.argsort(key[at], kind="stable")
-        sorted_ = key[at][order]
-        starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-        sizes = np.diff(np.r_[starts, len(sorted_)])
+        pairs = np.sort(key[at])
+        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        sizes = np.diff(np.r_[starts, len(pairs)])
         best = np.argsort(-sizes, kind="stable")[:room]
-        best = best[sizes[best] >= LEAST]
+        best = pairs[starts[best[sizes[best] >= LEAST]]]
+        # of the pairs of a bucket the most frequent is replaced now, the others in a later round
+        best = best[np.sort(np.unique((best * np.uint32(2654435761)) >> np.uint32(32 - _BUCKETS), return_index=True)[1])]
         if not len(best):
             break
-        name = np.full(len(starts), -1, np.int64)
-        name[best] = made + np.arange(len(best))
-        rules.append(np.stack([sorted_[starts[best]] >> np.uint32(16), sorted_[starts[best]] & np.uint32(65535)], 1).astype(np.uint16))
-        names = np.empty(len(at), np.int64)
-        names[order] = np.repeat(name, sizes)
-        at, names = at[names >= 0], names[names >= 0]
+        place = (best * np.uint32(2654435761)) >> np.uint32(32 - _BUCKETS)
+        wanted, name = np.zeros(1 << _BUCKETS, np.uint32), np.zeros(1 << _BUCKETS, np.uint32)
+        wanted[place], name[place] = best, made + np.arange(len(best))
+        chosen = np.zeros(1 << _BUCKETS, bool)
+        chosen[place] = True
+        own = bucket[at]
+        hit = chosen[own] & (wanted[own] == key[at])
+        at, names = at[hit], name[own[hit]]
+        rules.append(np.stack([best >> np.uint32(16), best & np.uint32(65535)], 1).astype(np.uint16))
         new_run = np.r_[True, np.diff(at) > 1]  # of overlapping pairs, every other one from the left
         nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         at, names = at[nth % 2 == 0], names[nth % 2 == 0]
@@ -179,9 +183,9 @@ def encode(docs: DataFrame, vocabulary_file: str, end: int = END) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in FILES.split(", ")])
 
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, j in runs([len(t) for t in texts], BLOCK):
-                for doc, whole in zip(keys[i:j], tokens.encode(texts[i:j]), strict=True):
+            keys = batch.column("doc_id").to_pylist()
+            for i, texts in text_blocks(batch.column("text"), BLOCK):
+                for doc, whole in zip(keys[i:], tokens.encode(texts), strict=False):
                     held.append(whole + last)
                     ids.append(doc)
                     n += len(whole) // 4 + 1

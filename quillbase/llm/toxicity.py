@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import GOLDEN, U64, WordIds, documents, map_arrow, mix, text_or_empty
+from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, text_or_empty
 
 BITS = 20
 #: Labelled documents that training may use, and the distinct features it takes from one of them.
 ROWS = 4000
 FEATURES_A_ROW = 4000
 _STRIP = " .,;:!?\"'()[]{}<>|*#$%&-_/\\+=~`@^"
-_words = WordIds()
+_words = kept(WordIds())
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
