@@ -33,8 +33,8 @@ from quillbase.llm.common import GOLDEN, U64, documents, map_arrow, mix, runs, s
 
 LENGTH = 200
 GRAM = 64
-#: Bytes hashed, and bytes of runs put into one suffix array, at a time.
-BLOCK = 1 << 20
+#: Bytes of text hashed, and bytes of runs put into one suffix array, at a time.
+BLOCK, ARRAY = 1 << 17, 1 << 18
 #: Distinct runs beyond which a bucket is split.
 WIDE = 4000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -52,7 +52,7 @@ class _Hash:
         n = len(data) + 1
         if which not in self._powers or len(self._powers[which][0]) < n:
             back = pow(base, -1, 1 << 64)
-            size = max(n, BLOCK + (BLOCK >> 1))
+            size = max(n, 2 * BLOCK)
             up, down = (np.cumprod(np.r_[U64(1), np.full(size - 1, b, U64)], dtype=U64) for b in (base, back))
             self._powers[which] = (up, down)
         up, self.down = (p[:n] for p in self._powers[which])
@@ -128,8 +128,8 @@ def located_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return map_arrow(docs.select(*_key(text), text.alias("text")), of_batch, RUNS)
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of their bytes up to 448, or to the end of their own run; and the ranks at 7, 14 ... 448 bytes.
+def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = 448) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes in order of their bytes up to `depth`, or to the end of their own run; and the ranks at 7, 14 ... bytes.
 
     `ends[i]` is the end of the run that holds byte i. Bytes past an end count as less than any byte.
     """
@@ -142,7 +142,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[t
         key = key << U64(9) | np.where(where + i < ends, wide[i : n + i], 0).astype(U64)
     _, rank = np.unique(key, return_inverse=True)
     levels, span = [(7, rank)], 7
-    while span < 448:
+    while span < depth:
         next_ = np.where(where + span < ends, rank[np.minimum(where + span, n - 1)] + 1, 0)
         both = rank.astype(U64) << U64(32) | next_.astype(U64)
         _, rank = np.unique(both, return_inverse=True)
@@ -194,23 +194,52 @@ def maximal_intervals(prefix: np.ndarray, left: np.ndarray, least: int) -> Itera
                 stack.append([depth, first, side, differ])
 
 
+class _Tree:
+    """The common-prefix interval tree of some runs; suffixes are compared up to 224 bytes beyond which ties stay, or 448."""
+
+    def __init__(self, parts: list[bytes], length: int, depth: int):
+        sizes = np.array([len(p) for p in parts])
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        self.run = np.repeat(np.arange(len(parts)), sizes)
+        ends = self.bounds[1:][self.run]
+        self.order, levels = suffix_array(data, ends, max(depth, length))
+        prefix = common_prefixes(self.order, levels, data, ends)
+        before = np.r_[-1, data[:-1].astype(np.int64)]
+        before[self.bounds[:-1]] = -1  # what lies left of a run is another bucket's
+        self.intervals = maximal_intervals(prefix, before[self.order], length)
+
+
 def repeats_in_runs(parts: list[bytes], counts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(depth, [(run, place)]) of every maximal repeat among runs; a run that comes more than once is one as a whole."""
-    sizes = np.array([len(p) for p in parts])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    run = np.repeat(np.arange(len(parts)), sizes)
-    ends = bounds[1:][run]
-    order, levels = suffix_array(data, ends)
-    prefix = common_prefixes(order, levels, data, ends)
-    before = np.r_[-1, data[:-1].astype(np.int64)]
-    before[bounds[:-1]] = -1  # what lies left of a run is another bucket's
-    for first, last, depth in maximal_intervals(prefix, before[order], length):
-        members = order[first : last + 1]
-        yield depth, list(zip(run[members].tolist(), (members - bounds[run[members]]).tolist(), strict=True))
+    tree = _Tree(parts, length, 448)
+    for first, last, depth in tree.intervals:
+        members = tree.order[first : last + 1]
+        yield depth, list(zip(tree.run[members].tolist(), (members - tree.bounds[tree.run[members]]).tolist(), strict=True))
     for i, c in enumerate(counts):
         if c > 1:
-            yield int(sizes[i]), [(i, 0)]
+            yield len(parts[i]), [(i, 0)]
+
+
+def covered_in_runs(parts: list[bytes], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, begin, size) of the spans that the runs' maximal repeats cover together."""
+    tree = _Tree(parts, length, 224)
+    n = len(tree.order)
+    deepest = np.zeros(n, np.int64)
+    for first, last, depth in tree.intervals:
+        own = deepest[first : last + 1]
+        np.maximum(own, depth, out=own)
+    at, size = tree.order[deepest > 0], deepest[deepest > 0]
+    often = np.flatnonzero(np.array(counts) > 1)
+    at, size = np.r_[at, tree.bounds[often]], np.r_[size, np.diff(tree.bounds)[often]]
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + size, minlength=n + 1)
+    inside = np.cumsum(edge)[:n] > 0
+    first_of_run = np.zeros(n, bool)
+    first_of_run[tree.bounds[:-1]] = True
+    begin = np.flatnonzero(inside & (first_of_run | ~np.r_[False, inside[:-1]]))
+    end = np.flatnonzero(inside & (np.r_[first_of_run[1:], True] | ~np.r_[inside[1:], False])) + 1
+    run = tree.run[begin]
+    return run, begin - tree.bounds[run], end - begin
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -230,19 +259,26 @@ def _groups(length: int, listed: bool):
     """Rows (h, d, c, bytes) in order of h, d -> GROUPS: all maximal repeats of a run, or only the union of their bytes."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        parts = [r[3] for r in rows]
-        found: list[list[tuple[int, int, bytes | None]]] = [[] for _ in rows]
-        for depth, members in repeats_in_runs(parts, [r[2] for r in rows], length):
-            run, place = members[0]
-            name = hashlib.blake2b(parts[run][place : place + depth], digest_size=16).digest() if listed else None
-            for run, place in members:
-                found[run].append((place, depth, name))
-        if not listed:
-            found = [[(a, b - a, None) for a, b in merged([(p, p + n) for p, n, _ in own])] for own in found]
-        kept = [(r[0], r[1], own) for r, own in zip(rows, found, strict=True) if own]
-        places = [[{"begin": p, "size": n, "repeat": x} for p, n, x in own] for _, _, own in kept]
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("size", pa.int32()), ("repeat", pa.binary())]))
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array(places, kind)], names=["h", "d", "places"])
+        h, d, counts, parts = (list(c) for c in zip(*rows, strict=True))
+        if listed:
+            run, begin, size, name = [], [], [], []
+            for depth, members in repeats_in_runs(parts, counts, length):
+                r, at = members[0]
+                name += [hashlib.blake2b(parts[r][at : at + depth], digest_size=16).digest()] * len(members)
+                run += [m[0] for m in members]
+                begin += [m[1] for m in members]
+                size += [depth] * len(members)
+            order = np.argsort(np.array(run, np.int64), kind="stable")
+            run, begin, size = (np.array(x, np.int64)[order] for x in (run, begin, size))
+            names = pa.array([name[i] for i in order], pa.binary())
+        else:
+            run, begin, size = covered_in_runs(parts, counts, length)
+            names = pa.nulls(len(run), pa.binary())
+        which, first = np.unique(run, return_index=True)
+        kinds = [("begin", pa.int32()), ("size", pa.int32()), ("repeat", pa.binary())]
+        values = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(size, pa.int32()), names], fields=[pa.field(*k) for k in kinds])
+        places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(run)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[which]), pa.array(np.array(d, np.int64)[which]), places], names=["h", "d", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -251,7 +287,7 @@ def _groups(length: int, listed: bool):
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "c", "part")), strict=True):
                 if held and held[-1][:2] == row[:2]:
                     continue
-                if size > BLOCK and held[-1][0] != row[0]:
+                if size > ARRAY and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
