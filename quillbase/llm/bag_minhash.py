@@ -8,8 +8,10 @@ of their weighted Jaccard similarity. Points are drawn in order of time up to a
 high probability; where one stays empty the limit is doubled, so signatures never depend on it.
 
 Exact copies become one node first. A band bucket is not expanded into pairs: all nodes are compared with the bucket's
-least node, components are formed, and then only nodes outside the bucket's largest component are compared with the
-nodes of other components. What stays uncompared is in one class already, so no candidate link between classes is lost.
+least node and components are formed; twice, nodes outside the bucket's largest component are compared with one of its
+nodes. The nodes of buckets that still hold several components are joined on the rarest elements of their multisets (an
+exact prefix filter) and compared across components. What stays uncompared is in one class already or can't be similar
+enough, so no candidate link between classes is lost, and a hot bucket is never expanded into its pairs.
 With 30 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 7e-6.
 
 Defined cases: a text of fewer than 5 words is one shingle of all its words; null, empty and wordless texts are one
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import GOLDEN, U64, WordIds, documents, map_arrow, mix, runs, staged, text_or_empty, width
+from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, runs, staged, text_blocks, text_or_empty, width
 
 WORDS = 5
 BANDS, ROWS = 30, 5
@@ -34,8 +36,10 @@ BANDS, ROWS = 30, 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Members of one comparing group; a leader of more is handed out again.
 GROUP = 1000
+#: Turns in which a bucket's small components meet one node of its largest, before the prefix join.
+STARS = 2
 BLOCK = 1 << 20
-_words = WordIds()
+_words = kept(WordIds())
 
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,6 +217,57 @@ def _near_in_size() -> Column:
     return (F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR)
 
 
+def _open(buckets: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    """Rows (bucket, node, n, root, top) of the buckets that hold several components; top is the largest one's root."""
+    labelled = buckets.join(roots, "node", "left").select("bucket", "node", "n", *more, F.coalesce("root", "node").alias("root"))
+    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"))
+    return staged(labelled.join(largest, "bucket"), "open")
+
+
+def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """Nodes outside a bucket's largest component, each with one node of that component, another one for each bucket and turn."""
+    order = F.xxhash64("node", "bucket", F.lit(turn))
+    leader = open_.where("root = top").groupBy("bucket").agg(F.min_by(F.struct("node", "n"), order).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("m"))
+    met = open_.where("root <> top").join(leader, "bucket").where(_near_in_size())
+    return met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def _cross_pairs(open_: DataFrame) -> DataFrame:
+    """Nodes outside a prefix bucket's largest component with nodes of other components, where what follows the shared element may suffice."""
+    minor = open_.where("root <> top").select("bucket", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("other"))
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))  # of the overlap, if this element is the first shared one
+    enough = most * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("m")) * NUMERATOR
+    apart = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("top")) | (F.col("node") > F.col("leader")))
+    both = open_.withColumnRenamed("bucket", "_bucket")
+    met = both.join(minor, (F.col("_bucket") == F.col("bucket")) & apart & enough & _near_in_size())
+    return met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def _prefix_buckets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, node, n, place): each node's rarest elements, as many as two nodes must have one of in common to be similar enough.
+
+    An element is a shingle with the number of its occurrence. Of two multisets whose overlap is at least 4/5 of the larger,
+    the n - ceil(4 n / 5) + 1 rarest elements of each, in one order, can't be disjoint.
+    """
+
+    def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, out = batch.column("node").to_numpy(), []
+        for i, texts in text_blocks(batch.column("text"), BLOCK):
+            rows, items, counts = shingles(texts.to_pylist())
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            out.append((node[np.repeat(rows, counts) + i], mix(np.repeat(items, counts) + nth.astype(U64) * M_LEVEL).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "bucket"])
+
+    elements = staged(map_arrow(nodes.join(texts, "node").select("node", "text"), of_batch, "node long, bucket long"), "elements")
+    often = elements.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = elements.join(often, "bucket", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "bucket"))).alias("e"))
+    n = F.size("e").cast("long")
+    prefix = n - F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) + 1
+    first = ranked.select("node", n.alias("n"), F.posexplode(F.slice("e", 1, prefix.cast("int"))).alias("place", "e"))
+    return first.where("e.k > 1").select(F.col("e.bucket").alias("bucket"), "node", "n", "place")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key and class_id of every row."""
     rows = staged(signed(docs), "signed")
@@ -228,19 +283,21 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(involved, "node").select("key", "node")
     texts = staged(keyed.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "texts")
 
-    links = staged(verified(first, texts), "links")
-    roots = components(links)
-    labelled = buckets.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"))
-    open_ = staged(labelled.join(largest, "bucket"), "open")
-    minor = open_.where("root <> top").select("bucket", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("root").alias("other"))
-    across = open_.join(minor, "bucket").where((F.col("root") != F.col("other")) & ((F.col("root") == F.col("top")) | (F.col("node") > F.col("leader"))) & _near_in_size())
-    second = across.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     known = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = staged(second.join(known, ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
-        roots = components(links.unionByName(verified(second, texts)))
+    roots = components(staged(verified(first, texts), "links"))
+    for turn in range(STARS + 1):
+        open_ = _open(buckets, roots)
+        if turn < STARS:
+            pairs = _star_pairs(open_, turn)
+        else:
+            pairs = _cross_pairs(_open(staged(_prefix_buckets(open_.select("node").distinct(), texts), "prefixes"), roots, "place"))
+        pairs = staged(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            continue
+        found = staged(verified(pairs, texts), "links")
+        known = known.unionByName(pairs)
+        if found.limit(1).count():
+            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     placed = rows.select("doc_id", "key").join(named, "key")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -251,9 +308,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, that of its least doc_id, with all its columns."""
     columns = docs.columns
     member = classes(docs)
-    kept = member.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("key").alias("_key")).select(F.col("doc_id").alias("_id"), "_key")
+    chosen = member.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("key").alias("_key")).select(F.col("doc_id").alias("_id"), "_key")
     keyed = docs.withColumn("_key_", _key(text_or_empty()))
-    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key"))).dropDuplicates(["_id", "_key_"]).select(*columns)
+    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key"))).dropDuplicates(["_id", "_key_"]).select(*columns)
 
 
 def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
