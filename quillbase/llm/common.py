@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -116,6 +117,7 @@ class _Idle:
                     c.clear()
                 self.lock.release()
                 gc.collect()
+                give_back()
 
 
 idle = _Idle()
@@ -156,13 +158,13 @@ class CachedEncoder:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, joined: bool):
+    def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
-        self.joined = joined
+        self.joined, self.entries = joined, entries
         #: Two generations: what was used since the younger one began, and what was known before.
         self.cache: dict[str, bytes] = kept({})
         self.old: dict[str, bytes] = kept({})
@@ -171,10 +173,6 @@ class CachedEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _alone(self, piece: str) -> bool:
-        """Whether a piece's ids don't depend on its neighbours; one whose do is never cached."""
-        return not self.joined or bool(piece) and not piece[-1].isspace() and not piece[1:2].isspace()
-
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text of a string column without nulls.
 
@@ -188,32 +186,37 @@ class CachedEncoder:
 
         A mark after a letter is a token of its own to both vocabularies, so a piece that ends in one is put together.
         """
-        if len(self.cache) + len(missing) > CACHE_ENTRIES // 2:  # a new generation begins with this block
-            self.old.clear()
-            self.old.update(self.cache)
-            self.cache.clear()
+        cache, old, marks, joined = self.cache, self.old, self.marks, self.joined
+        if len(cache) + len(missing) > self.entries // 2:  # a new generation begins with this block
+            old.clear()
+            old.update(cache)
+            cache.clear()
         stems: dict[str, bytes | None] = {}
-        parts, bound = [], []
+        marked, plain, bound = [], [], []
         for i in missing:
             w = words[i]
-            if not self._alone(w):
+            last = w[-1:]
+            if joined and (not last or last.isspace() or w[1:2].isspace()):
                 bound.append(i)
                 ids[i] = b""
                 continue
-            mark = w[-1:] if len(w) > 2 and w[-1] in self.MARKS and w[-2].isalpha() else ""
-            stem = w[:-1] if mark else w
-            if not self.joined and stem.isascii():
+            if last in marks and w[-2:-1].isalpha() and len(w) > 2:
+                stem, to = w[:-1], marked
+            else:
+                stem, to = w, plain
+            if not joined and stem.isascii():
                 stem = stem.lower()
-            parts.append((i, stem, mark))
+            to.append((i, stem))
             if stem not in stems:
-                known = self.cache.get(stem)
-                stems[stem] = self.old.pop(stem, None) if known is None else known
+                stems[stem] = cache.get(stem) or old.pop(stem, None)
         ask = [w for w, b in stems.items() if b is None]
         for at in range(0, len(ask), 20_000):
             stems.update(zip(ask[at : at + 20_000], self._encode(ask[at : at + 20_000]), strict=True))
-        self.cache.update(stems)  # type: ignore[arg-type]
-        for i, stem, mark in parts:
-            ids[i] = stems[stem] + self.marks[mark] if mark else stems[stem]
+        cache.update(stems)  # type: ignore[arg-type]
+        for i, stem in plain:
+            ids[i] = stems[stem]
+        for i, stem in marked:
+            ids[i] = stems[stem] + marks[words[i][-1]]  # type: ignore[operator]
         return bound
 
     def _pieces(self, texts: pa.Array) -> pa.Array:
@@ -253,14 +256,24 @@ class CachedEncoder:
         return out
 
 
-def encoder(path: str, joined: bool) -> CachedEncoder:
+def encoder(path: str, joined: bool, entries: int = CACHE_ENTRIES) -> CachedEncoder:
     """One encoder for each Python worker."""
     key = (path, joined)
     if key not in _encoders:
-        _encoders[key] = CachedEncoder(path, joined)
+        _encoders[key] = CachedEncoder(path, joined, entries)
     return _encoders[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker's peak doesn't stay with its executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = ctypes.CDLL(None)
+
+
 def runs(parts: list[int], size: int) -> Iterator[tuple[int, int]]:
     """Consecutive (begin, end) whose summed parts stay near `size`."""
     begin = total = 0

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import documents, encoder, staged, text_blocks, text_or_empty, vocabulary
+from quillbase.llm.common import documents, encoder, give_back, staged, text_blocks, text_or_empty, vocabulary
 
 ROOM = 2048
 END = 0
@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, vocabulary_file: str, room: int = ROOM, end: int = E
             if rows:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 

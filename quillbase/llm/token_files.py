@@ -23,17 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import documents, encoder, staged, text_blocks, text_or_empty, vocabulary, width
+from quillbase.llm.common import documents, encoder, give_back, staged, text_blocks, text_or_empty, vocabulary, width
 
 END = 2
 #: First nonterminal.
 TERMINALS = 50257
-SHARD = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST = 4, 3000, 24
+SHARD = 1 << 18
+ROUNDS, RULES_A_ROUND, LEAST = 3, 2000, 16
 MAGIC = b"QRPR1\0\0\0"
 FILES = "part int, shard int, before long, n_ids long, docs array<long>, body binary"
-BLOCK = 8 << 20
-_BUCKETS = 18
+BLOCK = 4 << 20
+#: Pieces a worker keeps; it compresses besides.
+ENTRIES = 900_000
+_BUCKETS = 16
 
 
 def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +171,7 @@ def encode(docs: DataFrame, vocabulary_file: str, end: int = END) -> DataFrame:
     """Records of FILES; partitions and shards are in ascending order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = encoder(vocabulary_file, True), TaskContext.get().partitionId()
+        tokens, part = encoder(vocabulary_file, True, ENTRIES), TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         held: list[bytes] = []
         ids: list[int] = []
@@ -193,6 +195,7 @@ def encode(docs: DataFrame, vocabulary_file: str, end: int = END) -> DataFrame:
                         yield flush()
         if held:
             yield flush()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")

@@ -29,9 +29,8 @@ ODD = ["", " ", "\n", "a  b", " a", "a ", "\n\nx", "a\n b", "<|endoftext|> it's
 
 
 @pytest.mark.parametrize(("path", "joined"), [(BYTE, True), (WORD, False)])
-def test_cached_encoder(path, joined, monkeypatch):
-    monkeypatch.setattr(common, "CACHE_ENTRIES", 40)  # generations come and go
-    own, want = common.CachedEncoder(path, joined), library(path)
+def test_cached_encoder(path, joined):
+    own, want = common.CachedEncoder(path, joined, 40), library(path)  # generations come and go
     rng = random.Random(1)
     for _ in range(300):
         texts = ["".join(rng.choice("ab  \n\t.,!é'1ΣS") for _ in range(rng.randint(0, 14))) for _ in range(6)] + rng.sample(ODD, 3)
