@@ -145,47 +145,39 @@ class WordIds(dict):
             return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
-_encoders: dict[tuple[str, bool], CachedEncoder] = {}
-
-
-class CachedEncoder:
-    """The tokenizers library's ids of whole texts, with the ids of space-delimited pieces kept between texts.
+class PieceCache:
+    """Ids of whole texts from the ids of their space-delimited pieces, which are kept between texts.
 
-    Both vocabularies split at spaces and line feeds before anything else, so a text's ids are its pieces' ids in
-    order: with `joined`, a piece carries the one space before it, and a text with other runs of white space is
-    encoded in one go; without, white space is dropped and any split will do.
+    With `joined`, a piece carries the one space or line feed before it, and a text with a piece whose ids depend on its
+    neighbours is encoded in one go; without, white space is dropped and any split will do. Arrow splits the texts and
+    numbers their distinct pieces; only those become Python strings.
     """
 
-    MARKS = ".,;:!?"
-
-    def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_padding()
+    def __init__(self, joined: bool, entries: int):
         self.joined, self.entries = joined, entries
         #: Two generations: what was used since the younger one began, and what was known before.
         self.cache: dict[str, bytes] = kept({})
         self.old: dict[str, bytes] = kept({})
-        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
+        #: Ids of marks that are tokens of their own after a letter; a piece that ends in one is put together.
+        self.marks: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian 32-bit ids of each text of a string column without nulls.
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return self._encode(texts)
 
-        Arrow splits the texts and numbers their distinct pieces; only those become Python strings.
-        """
+    def _bound(self, piece: str) -> bool:
+        """Whether the ids of a piece may depend on its neighbours."""
+        raise NotImplementedError
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a string column without nulls."""
         with idle:
             return self._from_cache(texts)
 
     def _fill(self, words: list[str], ids: list[bytes | None], missing: list[int]) -> list[int]:
-        """Ids of pieces that the cache lacks; gives those that depend on their neighbours, which get none.
-
-        A mark after a letter is a token of its own to both vocabularies, so a piece that ends in one is put together.
-        """
+        """Ids of pieces that the cache lacks; gives those that depend on their neighbours, which get none."""
         cache, old, marks, joined = self.cache, self.old, self.marks, self.joined
         if len(cache) + len(missing) > self.entries // 2:  # a new generation begins with this block
             old.clear()
@@ -196,7 +188,7 @@ class CachedEncoder:
         for i in missing:
             w = words[i]
             last = w[-1:]
-            if joined and (not last or last.isspace() or w[1:2].isspace()):
+            if joined and self._bound(w):
                 bound.append(i)
                 ids[i] = b""
                 continue
@@ -251,11 +243,35 @@ class CachedEncoder:
         cut = (4 * np.concatenate([[0], ends])[bounds - bounds[0]]).tolist()
         out = [tokens[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if rows := np.flatnonzero(whole).tolist():
-            for i, b in zip(rows, self._encode(texts.take(pa.array(rows)).to_pylist()), strict=True):
+            for i, b in zip(rows, self._whole(texts.take(pa.array(rows)).to_pylist()), strict=True):
                 out[i] = b
         return out
 
 
+_encoders: dict[tuple[str, bool], CachedEncoder] = {}
+
+
+class CachedEncoder(PieceCache):
+    """The tokenizers library's ids. Both vocabularies split at spaces and line feeds before anything else."""
+
+    MARKS = ".,;:!?"
+
+    def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES):
+        from tokenizers import Tokenizer
+
+        super().__init__(joined, entries)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.no_padding()
+        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _bound(self, piece: str) -> bool:
+        return not piece or piece[-1].isspace() or piece[1:2].isspace()
+
+
 def encoder(path: str, joined: bool, entries: int = CACHE_ENTRIES) -> CachedEncoder:
     """One encoder for each Python worker."""
     key = (path, joined)

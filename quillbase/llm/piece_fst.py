@@ -21,17 +21,20 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillbase.llm.common import CACHE_ENTRIES, documents, idle, kept, map_arrow, text_or_empty, vocabulary
+from quillbase.llm.common import CACHE_ENTRIES, PieceCache, documents, kept, map_arrow, text_blocks, text_or_empty, vocabulary
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, DEFINED, BYTE = 1, 2, 3, 4, 6
 INFINITE = float("inf")
+#: Bytes of text encoded at once.
+BLOCK = 8 << 20
 
 
 def _fields(data: bytes):
@@ -90,11 +93,20 @@ class PieceFst:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, DEFINED)}
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece spans a word boundary")
+        self._compile()
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.longest = max(map(len, self.ids))
-        self.arcs: dict[tuple[int, int], float] = kept({})
-        self.paths: dict[str, bytes] = kept({})
+        self.words = _Words(self)
+
+    def _compile(self) -> None:
+        #: The trie of the pieces: each prefix of one, with its id, or -1 if it is no piece itself.
+        self.trie: dict[str, int] = {}
+        for piece, i in self.ids.items():
+            for n in range(1, len(piece)):
+                self.trie.setdefault(piece[:n], -1)
+            self.trie[piece] = i
+        #: Weights of arcs met before: last piece -> piece -> weight.
+        self.arcs: dict[int, dict[int, float]] = kept({})
 
     def _merge(self, text: str) -> list[str]:
         """BPE by rank: the best-scored neighbours first, from the left."""
@@ -114,19 +126,13 @@ class PieceFst:
         """Of the arc that reads `piece` after `last` (-1: at the start, or after bytes)."""
         if self.kind == UNIGRAM:
             return -self.scores[piece]
-        key = (last, piece)
-        got = self.arcs.get(key)
-        if got is None:
-            if len(self.arcs) >= CACHE_ENTRIES:
-                self.arcs.clear()
-            b = self.pieces[piece]
-            parts = self._merge(b if last < 0 else self.pieces[last] + b)
-            got = self.arcs[key] = 0.0 if parts == ([b] if last < 0 else [self.pieces[last], b]) else INFINITE
-        return got
+        b = self.pieces[piece]
+        parts = self._merge(b if last < 0 else self.pieces[last] + b)
+        return 0.0 if parts == ([b] if last < 0 else [self.pieces[last], b]) else INFINITE
 
     def shortest(self, text: str) -> list[int]:
         """Ids on the shortest path of a normalised text through the composed transducer."""
-        n, ids = len(text), self.ids
+        n, trie, arcs = len(text), self.trie, self.arcs
         # for each position the states there: last piece -> (weight so far, position before, state before, ids of the arc)
         states: list[dict[int, tuple[float, int, int, tuple[int, ...]]]] = [{} for _ in range(n + 1)]
         states[0][-1] = (0.0, -1, -1, ())
@@ -134,22 +140,30 @@ class PieceFst:
             here = states[i]
             if not here:
                 continue
-            if text[i] not in ids:
+            if trie.get(text[i], -1) < 0:
                 arc = tuple(self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
                 for last, s in here.items():
                     old = states[i + 1].get(-1)
                     if old is None or s[0] + len(arc) < old[0]:
                         states[i + 1][-1] = (s[0] + len(arc), i, last, arc)
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = ids.get(text[i:j])
-                if piece is None:
-                    continue
-                to = states[j]
-                for last, s in here.items():
-                    w = s[0] + self.weight(last, piece)
-                    if w < INFINITE and (piece not in to or w < to[piece][0]):
-                        to[piece] = (w, i, last, (piece,))
+            for last, s in here.items():
+                known = arcs.get(last)
+                if known is None:
+                    known = arcs[last] = {}
+                for j in range(i + 1, n + 1):
+                    piece = trie.get(text[i:j])
+                    if piece is None:
+                        break
+                    if piece < 0:
+                        continue
+                    w = known.get(piece)
+                    if w is None:
+                        w = known[piece] = self.weight(last, piece)
+                    if w < INFINITE:
+                        w += s[0]
+                        to = states[j]
+                        if piece not in to or w < to[piece][0]:
+                            to[piece] = (w, i, last, (piece,))
         if not states[n]:
             raise ValueError(f"no path through {text!r}")
         at, last = n, min(states[n], key=lambda p: states[n][p][0])
@@ -170,21 +184,18 @@ class PieceFst:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
-        if self.kind != BPE:
-            return np.array(self.shortest(self.normalise(text)), "<u4").tobytes()
-        with idle:
-            return self._from_cache(self._units.findall(self.normalise(text)))
-
-    def _from_cache(self, units: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.paths.__getitem__, units))
-        except KeyError:
-            if len(self.paths) >= CACHE_ENTRIES:
-                self.paths.clear()
-            for u in units:
-                if u not in self.paths:
-                    self.paths[u] = np.array(self.shortest(u), "<u4").tobytes()
-            return b"".join(map(self.paths.__getitem__, units))
+        whole = self.normalise(text)
+        units = self._units.findall(whole) if self.kind == BPE else [whole]
+        return b"".join(array("I", self.shortest(u)).tobytes() for u in units)
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """`encode` of a string column without nulls; for BPE, words are composed once."""
+        import pyarrow.compute as pc
+
+        if self.kind != BPE or not self.prefix:
+            return [self.encode(t) for t in texts.to_pylist()]
+        space, none = pa.scalar(" ", texts.type), pa.scalar("", texts.type)
+        return self.words.encode(pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(space, texts, none)))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the inverse transducers, bytes joined before they are read as UTF-8."""
@@ -196,6 +207,23 @@ class PieceFst:
         return whole[1:] if self.prefix and whole.startswith(" ") else whole
 
 
+class _Words(PieceCache):
+    """A transducer's paths by word, for texts with a space before them."""
+
+    def __init__(self, fst: PieceFst):
+        super().__init__(True, CACHE_ENTRIES)
+        self.fst = fst
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", self.fst.shortest(w.replace(" ", MARK))).tobytes() if w else b"" for w in pieces]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self.fst.encode(t[1:]) for t in texts]
+
+    def _bound(self, piece: str) -> bool:
+        return piece == " " or MARK in piece  # runs of marks merge
+
+
 _compiled: dict[str, PieceFst] = {}
 
 
@@ -211,7 +239,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         fst = compiled(path)
-        ids = [fst.encode(t) for t in batch.column("text").to_pylist()]
+        ids = [b for _, texts in text_blocks(batch.column("text"), BLOCK) for b in fst.encode_all(texts)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), of_batch, "doc_id long, ids binary")
@@ -236,11 +264,12 @@ def op7_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
         fst, rows = compiled(path), []
         fallback = np.zeros(len(fst.pieces), bool)
         fallback[list(fst.bytes.values())] = True
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = fst.encode(text)
-            ids = np.frombuffer(data, "<u4")
-            back = fst.decode(ids)
-            rows.append((doc, len(ids), zlib.crc32(data), int(fallback[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == text))
+        keys = batch.column("doc_id").to_pylist()
+        for i, texts in text_blocks(batch.column("text"), BLOCK):
+            for doc, text, data in zip(keys[i:], texts.to_pylist(), fst.encode_all(texts), strict=False):
+                ids = np.frombuffer(data, "<u4")
+                back = fst.decode(ids)
+                rows.append((doc, len(ids), zlib.crc32(data), int(fallback[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == text))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         names = ["doc_id", "n_ids", "ids_crc32", "n_bytes_pieces", "decoded_sha256", "round_trip"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)

@@ -157,6 +157,7 @@ def test_pieces_against_the_library(spark, documents):
     texts = ["".join(rng.choice("abcde  \n\tthe in er.,ñ日é▁12''") for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["x" + " " * k + "y" for k in range(40)]
     for t in texts:
         ids = np.frombuffer(fst.encode(t), "<u4")
+        assert fst.encode_all(pa.array(["", t, t + " x"])) == [b"", ids.tobytes(), fst.encode(t + " x")]
         assert ids.tolist() == sp.encode(t) and fst.decode(ids) == sp.decode(sp.encode(t))
     got = sorted(str((r.doc_id, r.n_ids, r.ids_crc32, r.round_trip)) for r in piece_fst.op7_sentencepiece_fst(spark, folder).collect())
     assert got == sorted(str((r[0], len(sp.encode(r[1] or "")), crc(sp.encode(r[1] or "")), True)) for r in rows)
@@ -167,7 +168,8 @@ def test_pieces_against_the_library(spark, documents):
 def test_unigram_takes_the_shortest_path():
     fst = piece_fst.PieceFst.__new__(piece_fst.PieceFst)
     fst.kind, fst.pieces, fst.scores = piece_fst.UNIGRAM, ["a", "b", "ab", "abb"], [-1.0, -1.0, -1.5, -4.0]
-    fst.ids, fst.bytes, fst.unknown, fst.longest, fst.arcs = {p: i for i, p in enumerate(fst.pieces)}, {}, 9, 3, {}
+    fst.ids, fst.bytes, fst.unknown = {p: i for i, p in enumerate(fst.pieces)}, {}, 9
+    fst._compile()
     assert fst.shortest("abb") == [2, 1] and fst.shortest("aab") == [0, 2] and fst.shortest("axb") == [0, 9, 1]
 
 
