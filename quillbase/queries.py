@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -209,9 +210,17 @@ def _engine(spark: SparkSession) -> Engine:
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillbase-')}"
     engine = Engine(spark, f"{shared.rstrip('/')}/warehouse-{uuid.uuid4().hex}")
     engine.create_catalog()
+    atexit.register(_drop, engine)
     return engine
 
 
+def _drop(engine: Engine) -> None:
+    try:
+        engine.store.delete(engine.warehouse)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        return
+
+
 _PART = [Attribute("p_partkey", AttrType.INT), Attribute("p_brand", AttrType.VARCHAR, 30), Attribute("p_size", AttrType.INT)]
 _PART_KINDS = ["bigint", "string", "int"]
 
