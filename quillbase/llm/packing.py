@@ -106,7 +106,7 @@ def solve(histogram: dict[int, int], room: int = ROOM) -> list[Pattern]:
     """Patterns that use every piece of the histogram once."""
     need = -(-sum(n * c for n, c in histogram.items()) // room)
 
-    def take(counts: dict[int, int], rank: int) -> tuple[Pattern, int]:
+    def take(counts: dict[int, int], rank: int) -> Pattern:
         top = max(counts)
         counts[top] -= 1
         lengths = sorted((n for n, c in counts.items() if c and n <= room - top), reverse=True)
@@ -118,15 +118,15 @@ def solve(histogram: dict[int, int], room: int = ROOM) -> list[Pattern]:
             counts[n] -= times * chosen.count(n)
             if not counts[n]:
                 del counts[n]
-        return Pattern(chosen, times), len(options)
+        return Pattern(chosen, times)
 
     def descend(counts: dict[int, int], done: list[Pattern], rank: int, most: float) -> list[Pattern] | None:
-        """Best fit from here, with the filling of that rank first; None once the waste forbids under `most` sequences."""
+        """Best fit from here, but with the filling of that rank as long as the largest length stays; None once the waste forbids under `most` sequences."""
         done, wasted = list(done), sum(p.times * (room - sum(p.lengths)) for p in done)
         allowed = (most - 1) * room - total
+        top = max(counts, default=0)
         while counts:
-            pattern, _ = take(counts, rank)
-            rank = 0
+            pattern = take(counts, rank if max(counts) == top else 0)
             done.append(pattern)
             wasted += pattern.times * (room - sum(pattern.lengths)) if counts else 0
             if wasted > allowed:

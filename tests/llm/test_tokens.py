@@ -137,6 +137,8 @@ def test_bin_completion_is_near_the_optimum():
         assert used == histogram
         extra += sum(p.times for p in patterns) - least_bins(lengths, 20)
     assert extra <= 1
+    mixed = packing.solve({700: 1000, 690: 1000, 660: 999, 40: 3})  # best fit alone takes 1250
+    assert sum(p.times for p in mixed) <= 1168
     big = {n: 10**9 + n for n in range(1, 2049)}
     assert sum(p.times for p in packing.solve(big)) <= -(-sum(n * c for n, c in big.items()) // 2048) * 1.001
 
