@@ -19,25 +19,26 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm.common import GOLDEN, U64, documents, map_arrow, mix, runs, staged, text_bytes, width
 
 UNIT = 576
-LEAST, MOST, CUT_BITS = 1024, 65536, 13
+LEAST, MOST, CUT_BITS = 2048, 131072, 15
 MAGIC = b"QCDC1\0\0\0"
 LEVEL = 3
 #: Bytes hashed at once within a batch.
 BLOCK = 4 << 20
 
-PACK = "doc_id long, payload binary, seq int, n_chunks int, n_bytes long, digest binary, size int, stored int, data binary"
-READ = "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+PACK = "doc_id long, payload binary, seq int, n_chunks int, n_bytes long, digest binary, data binary, list binary, media_bytes long"
+READ = "payload binary, payload_bytes long, tail_crc32 long, feature string"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -75,7 +76,10 @@ def payloads(column: pa.Array) -> tuple[list[bytes], list[int]]:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """One row for each chunk of each document, with the compressed bytes the first time a batch meets them."""
+    """One row for each chunk of each document, with the compressed bytes the first time a batch meets them.
+
+    The first chunk's row has the payload's chunk list file and the length of the stored form.
+    """
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard
@@ -87,7 +91,8 @@ def pack(docs: DataFrame) -> DataFrame:
         for i, j in runs([len(p) for p in whole], BLOCK):
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in whole[i:j]])])
             for k, ends in enumerate(cuts(np.frombuffer(b"".join(whole[i:j]), np.uint8), offsets), i):
-                key, at, base = hashlib.sha256(whole[k]).digest(), 0, int(offsets[k - i])
+                key, at, base, first = hashlib.sha256(whole[k]).digest(), 0, int(offsets[k - i]), len(rows)
+                entries, media = [], 0
                 for seq, end in enumerate(ends):
                     part = whole[k][at : end - base]
                     at = end - base
@@ -96,10 +101,14 @@ def pack(docs: DataFrame) -> DataFrame:
                     if digest not in seen:
                         data = press.compress(part)
                         seen[digest] = len(data)
-                    rows.append((k, key, seq, len(ends), lengths[k], digest, len(part), seen[digest], data))
+                    entries.append(digest + struct.pack(">II", len(part), seen[digest]))
+                    media += seen[digest]
+                    rows.append((k, key, seq, len(ends), lengths[k], digest, data, None, None))
+                listed = MAGIC + struct.pack(">I", len(ends)) + b"".join(entries)
+                rows[first] = (*rows[first][:-2], listed, media + len(listed))
         cols = list(zip(*rows, strict=True))
         ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(cols[0], pa.int64()))
-        types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         names = [c.split()[0] for c in PACK.split(", ")]
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=names)
 
@@ -129,11 +138,11 @@ class _Stream:
     def row(self) -> tuple:
         if self.sha.digest() != self.key:
             raise ValueError(f"stored payload {self.key.hex()} reads back as {self.sha.hexdigest()}")
-        return self.key, self.n, self.sha.hexdigest(), zlib.crc32(self.tail), feature(self.histogram)
+        return self.sha.digest(), self.n, zlib.crc32(self.tail), feature(self.histogram)
 
 
 _NAMES = [c.split()[0] for c in READ.split(", ")]
-_TYPES = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string())
+_TYPES = (pa.binary(), pa.int64(), pa.int64(), pa.string())
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,24 +199,13 @@ def _read_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunk_lists(packs: DataFrame) -> DataFrame:
-    """The chunk list file of each row's payload: columns doc_id, payload, n_bytes, list, media_bytes."""
-    entry = F.struct("seq", F.concat("digest", _big("size"), _big("stored")).alias("entry"), "stored")
-    first = packs.where("seq = 0").select("doc_id", "payload", "n_bytes")
-    chunks = packs.select("payload", "seq", "digest", "size", "stored").groupBy("payload", "seq").agg(F.first("digest").alias("digest"), F.first("size").alias("size"), F.first("stored").alias("stored"))
-    lists = chunks.groupBy("payload").agg(F.sort_array(F.collect_list(entry)).alias("c"))
-    body = F.aggregate("c", F.lit(b""), lambda acc, c: F.concat(acc, c["entry"]))
-    whole = F.concat(F.lit(MAGIC), _big(F.size("c")), body)
-    stored = F.aggregate("c", F.lit(0).cast("long"), lambda acc, c: acc + c["stored"])
-    lists = lists.select("payload", whole.alias("list"), (F.length(whole) + stored).cast("long").alias("media_bytes"))
-    return first.join(lists, "payload")
-
-
-def _big(n) -> Column:
-    """A count as 4 bytes, big-endian."""
-    return F.unhex(F.lpad(F.hex(F.col(n) if isinstance(n, str) else n), 8, "0"))
+    """doc_id, payload, n_bytes, the chunk list file and the length of the stored form of each row's payload."""
+    return packs.where("seq = 0").select("doc_id", "payload", "n_bytes", "list", "media_bytes")
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = staged(pack(documents(spark, sf_dir)), "packs")
-    lists = chunk_lists(packs).select("doc_id", "payload", "n_bytes", "media_bytes", F.sha2("list", 256).alias("media_sha256"))
-    return lists.join(reconstruct(packs), "payload").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    lists = chunk_lists(packs).select("doc_id", "payload", "n_bytes", "media_bytes", F.unhex(F.sha2("list", 256)).alias("media"))
+    both = lists.join(reconstruct(packs), "payload")
+    hexed = lambda c: F.lower(F.hex(c))
+    return both.select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature")

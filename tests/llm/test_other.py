@@ -134,7 +134,7 @@ def test_media(spark, documents):
 
 def test_chunks_are_shared(spark, tmp_path):
     rng = random.Random(3)
-    middle = prose(rng, 20_000)
+    middle = prose(rng, 120_000)
     own = [(i, prose(rng, 300) + middle + prose(rng, 300), None, None, None) for i in range(4)]
     table(spark, str(tmp_path), own)
     packs = mc.pack(spark.read.parquet(f"{tmp_path}/documents.parquet")).cache()
@@ -150,10 +150,10 @@ def test_chunks_are_shared(spark, tmp_path):
 
 def test_cuts():
     rng = np.random.default_rng(4)
-    data = rng.integers(0, 256, 400_000).astype(np.uint8)
+    data = rng.integers(0, 256, 2_000_000).astype(np.uint8)
     (ends,) = mc.cuts(data, np.array([0, len(data)]))
     sizes = np.diff([0, *ends])
-    assert ends[-1] == len(data) and sizes.max() <= mc.MOST and (sizes[:-1] >= mc.LEAST).all() and 3000 < sizes.mean() < 20_000
+    assert ends[-1] == len(data) and sizes.max() <= mc.MOST and (sizes[:-1] >= mc.LEAST).all() and 15_000 < sizes.mean() < 80_000
     (shifted,) = mc.cuts(np.concatenate([data[:777], data]), np.array([0, len(data) + 777]))
     assert len({e - 777 for e in shifted} & set(ends)) > 0.8 * len(ends)
     table_ = (mc.mix(np.arange(1, 257, dtype=np.uint64) * mc.GOLDEN) >> np.uint64(32)).astype(int)
@@ -162,7 +162,7 @@ def test_cuts():
         h = (h * 2 + int(table_[b])) % 2**32
         assert i < 32 or int(mc.gear(data[:500])[i]) == h if i % 50 == 0 else True
     assert mc.cuts(np.zeros(0, np.uint8), np.array([0])) == []
-    assert len(mc.cuts(np.zeros(200_000, np.uint8), np.array([0, 200_000]))[0]) >= 4
+    assert len(mc.cuts(np.zeros(600_000, np.uint8), np.array([0, 600_000]))[0]) >= 5
 
 
 def test_media_empty(spark, nothing):
