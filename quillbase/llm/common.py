@@ -12,6 +12,7 @@ import time
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,7 @@ class PieceCache:
                 bound.append(i)
                 ids[i] = b""
                 continue
-            if last in marks and w[-2:-1].isalpha() and len(w) > 2:
+            if last in marks and len(w) > 2 and w[-2].lower().isalpha():
                 stem, to = w[:-1], marked
             else:
                 stem, to = w, plain
@@ -224,7 +225,7 @@ class PieceCache:
         split = self._pieces(texts)
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        piece, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        piece, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.cache.get, words))
         missing = [i for i, b in enumerate(ids) if b is None]
         whole = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False) if self.joined else np.zeros(len(texts), bool)
@@ -234,13 +235,13 @@ class PieceCache:
                 at = np.flatnonzero(np.isin(piece, bound))
                 whole = whole.copy()
                 whole[np.searchsorted(bounds, at + bounds[0], "right") - 1] = True
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(size) - size
+        begin = np.cumsum(size, dtype=np.int32) - size
         n = size[piece]
-        ends = np.cumsum(n)
-        tokens = flat[np.repeat(begin[piece] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        cut = (4 * np.concatenate([[0], ends])[bounds - bounds[0]]).tolist()
+        ends = np.cumsum(n, dtype=np.int32)  # a block's ids are far fewer than 2 ** 31
+        tokens = flat[np.repeat(begin[piece] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)].tobytes()
+        cut = (4 * np.concatenate([[0], ends.astype(np.int64)])[bounds - bounds[0]]).tolist()
         out = [tokens[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if rows := np.flatnonzero(whole).tolist():
             for i, b in zip(rows, self._whole(texts.take(pa.array(rows)).to_pylist()), strict=True):
@@ -251,10 +252,21 @@ class PieceCache:
 _encoders: dict[tuple[str, bool], CachedEncoder] = {}
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE's spelling of bytes: printable Latin-1 as itself, the others as U+0100 and on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+_BYTE_ALPHABET = _byte_alphabet()
+
+
 class CachedEncoder(PieceCache):
     """The tokenizers library's ids. Both vocabularies split at spaces and line feeds before anything else."""
 
     MARKS = ".,;:!?"
+    PROBES = ("a", "The", " the", " Word", "naïve", " Größe", " ÉCOLE", "œuvre", " ñandú", "verständigung", " supercalifragilistic")
 
     def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
@@ -263,11 +275,43 @@ class CachedEncoder(PieceCache):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        # a word of letters is one pre-token; whether its model ids are the tokenizer's is tried out once
+        self.direct = all(self._letters(w) is None or self._by_model([w]) == self._by_tokenizer([w]) for w in self.PROBES)
         self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _by_tokenizer(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(self._letters(w))]).tobytes() for w in words]
+
+    def _letters(self, piece: str) -> str | None:
+        """A word of Latin letters as the model spells it: normalised, in the byte alphabet; None for other pieces."""
+        word = piece[1:] if self.joined and piece[:1] == " " else piece
+        if not word.isalpha():
+            return None
+        if not self.joined:
+            piece = piece if piece.isascii() or is_normalized("NFC", piece) else ""
+            piece = piece.lower()
+            if not piece.isalpha():
+                return None
+        if piece.isascii():
+            return piece.replace(" ", _BYTE_ALPHABET[32])
+        return piece.encode().decode("latin-1").translate(_BYTE_ALPHABET) if max(piece) < "\u0250" else None
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        if not self.direct:
+            return self._by_tokenizer(pieces)
+        tokenize = self.model.tokenize
+        spelled = list(map(self._letters, pieces))
+        out = [None if s is None else array("I", [t.id for t in tokenize(s)]).tobytes() for s in spelled]
+        if other := [i for i, b in enumerate(out) if b is None]:
+            for i, b in zip(other, self._by_tokenizer([pieces[i] for i in other]), strict=True):
+                out[i] = b
+        return out  # type: ignore[return-value]
+
     def _bound(self, piece: str) -> bool:
         return not piece or piece[-1].isspace() or piece[1:2].isspace()
 

@@ -112,8 +112,8 @@ class Shard:
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
         """All symbols' expansions one after another, and where each begins."""
         if self._table is None:
-            sizes = np.concatenate([np.ones(self.terminals, np.int64), self.lengths])
-            begin = np.concatenate([[0], np.cumsum(sizes)])
+            sizes = np.concatenate([np.ones(self.terminals, np.int32), self.lengths.astype(np.int32)])
+            begin = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
             flat = np.zeros(begin[-1], np.uint32)
             flat[: self.terminals] = np.arange(self.terminals)
             for i, (a, b) in enumerate(self.rules.tolist(), self.terminals):
@@ -126,9 +126,11 @@ class Shard:
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, begin = self._expansions()
         start = begin[symbols]
-        size = begin[symbols.astype(np.int64) + 1] - start
-        out = np.cumsum(size)
-        return flat[np.repeat(start - (out - size), size) + np.arange(out[-1] if len(out) else 0)]
+        size = begin[1:][symbols] - start
+        out = np.cumsum(size, dtype=np.int64)
+        if len(out) and out[-1] < 2**31:  # shards of ordinary size
+            out = out.astype(np.int32)
+        return flat[np.repeat(start - (out - size), size) + np.arange(out[-1] if len(out) else 0, dtype=out.dtype)]
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document alone."""

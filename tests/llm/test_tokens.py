@@ -25,15 +25,16 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-ODD = ["", " ", "\n", "a  b", " a", "a ", "\n\nx", "a\n b", "<|endoftext|> it's 's", "a\tb c", "\0 a b", "é́ ñ ́x", "A 'S x", "x\r\ny z", "ΑΣ Σ", "a. b, c! .d ,,e", "İ.", "日本。 x", "1. 2, 3", "don't.'", "ﬁ.", "a\u2009 b."]
+ODD = ["", " ", "\n", "a  b", " a", "a ", "\n\nx", "a\n b", "<|endoftext|> it's 's", "a\tb c", "\0 a b", "é́ ñ ́x", "A 'S x", "x\r\ny z", "ΑΣ Σ", "a. b, c! .d ,,e", "İ.", "日本。 x", "1. 2, 3", "don't.'", "ﬁ.", "a\u2009 b.", "Größe ÉCOLE naïve œuvre e\u0301té ªº µm Ǆ ẞ ſ İstanbul"]
 
 
 @pytest.mark.parametrize(("path", "joined"), [(BYTE, True), (WORD, False)])
 def test_cached_encoder(path, joined):
     own, want = common.CachedEncoder(path, joined, 40), library(path)  # generations come and go
+    assert own.direct
     rng = random.Random(1)
     for _ in range(300):
-        texts = ["".join(rng.choice("ab  \n\t.,!é'1ΣS") for _ in range(rng.randint(0, 14))) for _ in range(6)] + rng.sample(ODD, 3)
+        texts = ["".join(rng.choice("abcd  \n\t.,!é'1ΣSÄœIİ\u0301ſ") for _ in range(rng.randint(0, 14))) for _ in range(6)] + rng.sample(ODD, 3)
         assert own.encode(pa.array(texts)) == [np.array(want(t), "<u4").tobytes() for t in texts]
     sliced = pa.array(["skip", *ODD])[1:]
     assert own.encode(sliced) == [np.array(want(t), "<u4").tobytes() for t in ODD]
