@@ -184,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     Pairs are grouped under their leader b, and a leader of many is dealt to several groups of GROUP members.
     """
-    leaders = pairs.groupBy("b").agg(F.count("*").alias("members")).select(F.col("b").alias("leader"), F.ceil(F.col("members") / GROUP).alias("parts"))
+    leaders = staged(pairs.groupBy("b").agg(F.count("*").alias("members")).select(F.col("b").alias("leader"), F.ceil(F.col("members") / GROUP).alias("parts")), "leaders")
     heads = leaders.join(texts, leaders["leader"] == texts["node"]).select("leader", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     members = pairs.join(leaders, pairs["b"] == leaders["leader"]).select("a", "leader", F.pmod(F.xxhash64("a"), "parts").alias("part"))
     members = members.join(texts, members["a"] == texts["node"]).select("leader", "part", F.col("a").alias("node"), "text")
@@ -196,13 +196,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each linked component, by alternating large and small stars.
 
-    Every step is a minimum for each node and a join; the loop ends when a step changes no edge.
+    Every step is a minimum for each node and a join; the loop ends when a step changes no edge. The minima are written out
+    before they are joined, as AQE splits a star's hot centre only where both sides are plain shuffles.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
@@ -222,14 +223,14 @@ def _open(buckets: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
     labelled = buckets.join(roots, "node", "left").select("bucket", "node", "n", *more, F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"))
-    return staged(labelled.join(largest, "bucket"), "open")
+    return staged(labelled.join(staged(largest, "largest"), "bucket"), "open")
 
 
 def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
     """Nodes outside a bucket's largest component, each with one node of that component, another one for each bucket and turn."""
     order = F.xxhash64("node", "bucket", F.lit(turn))
     leader = open_.where("root = top").groupBy("bucket").agg(F.min_by(F.struct("node", "n"), order).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("m"))
-    met = open_.where("root <> top").join(leader, "bucket").where(_near_in_size())
+    met = open_.where("root <> top").join(staged(leader, "leader"), "bucket").where(_near_in_size())
     return met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
@@ -274,7 +275,7 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = staged(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     exploded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    buckets = staged(exploded.join(shared, "bucket").select("bucket", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("m")), "buckets")
+    buckets = staged(exploded.join(staged(shared, "shared"), "bucket").select("bucket", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("m")), "buckets")
     first = staged(buckets.where("node <> leader").where(_near_in_size()).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
 
     involved = buckets.select("node").distinct()
@@ -299,8 +300,8 @@ def classes(docs: DataFrame) -> DataFrame:
         if found.limit(1).count():
             roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    placed = rows.select("doc_id", "key").join(named, "key")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    placed = staged(rows.select("doc_id", "key").join(named, "key"), "placed")
+    least = staged(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
     return placed.join(least, "root").select("doc_id", "key", "class_id")
 
 

@@ -152,7 +152,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = 448) -> tuple[
 
 
 def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix in the order with the one before it (0 for the first), within the runs, 888 at most."""
+    """Common prefix of each suffix in the order with the one before it (0 for the first), within the runs and the order's depth."""
     a, b = order[:-1], order[1:]
     done = np.zeros(len(a), np.int64)
     last = len(data) - 1
@@ -162,12 +162,14 @@ def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], dat
         done = np.where(equal, done + span, done)
     for _ in range(6):
         done = np.where((done < room) & (data[np.minimum(a + done, last)] == data[np.minimum(b + done, last)]), done + 1, done)
-    return np.r_[0, np.minimum(done, room)]
+    return np.r_[0, np.minimum(np.minimum(done, room), levels[-1][0])]
 
 
-def maximal_intervals(prefix: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def maximal_intervals(prefix: np.ndarray, left: np.ndarray, least: int, most: int) -> Iterator[tuple[int, int, int]]:
     """(first, last, depth) of the intervals of the common-prefix tree of at least that depth whose left extensions differ.
 
+    So are all of depth `most`, where prefixes are cut off: what extends them to the left is cut off as well and ends earlier.
+
     A stack scan: an interval is open while prefixes stay at its depth or above, and passes what it saw on the left to the
     interval around it. `left` is the byte before each suffix; negative values differ from everything, themselves included.
     """
@@ -184,7 +186,7 @@ def maximal_intervals(prefix: np.ndarray, left: np.ndarray, least: int) -> Itera
             while stack and stack[-1][0] > depth:
                 d, f, s, x = stack.pop()
                 x = x or differ or s != side
-                if x:
+                if x or d >= most:
                     yield f, begin + k, d
                 first, side, differ = f, s, x
             if stack and stack[-1][0] == depth:
@@ -195,7 +197,7 @@ def maximal_intervals(prefix: np.ndarray, left: np.ndarray, least: int) -> Itera
 
 
 class _Tree:
-    """The common-prefix interval tree of some runs; suffixes are compared up to 224 bytes beyond which ties stay, or 448."""
+    """The common-prefix interval tree of some runs, as deep as the order of their suffixes."""
 
     def __init__(self, parts: list[bytes], length: int, depth: int):
         sizes = np.array([len(p) for p in parts])
@@ -207,11 +209,11 @@ class _Tree:
         prefix = common_prefixes(self.order, levels, data, ends)
         before = np.r_[-1, data[:-1].astype(np.int64)]
         before[self.bounds[:-1]] = -1  # what lies left of a run is another bucket's
-        self.intervals = maximal_intervals(prefix, before[self.order], length)
+        self.intervals = maximal_intervals(prefix, before[self.order], length, levels[-1][0])
 
 
 def repeats_in_runs(parts: list[bytes], counts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(depth, [(run, place)]) of every maximal repeat among runs; a run that comes more than once is one as a whole."""
+    """(depth, [(run, place)]) of every maximal repeat among runs, 448 bytes at most; a run that comes more than once is one as a whole."""
     tree = _Tree(parts, length, 448)
     for first, last, depth in tree.intervals:
         members = tree.order[first : last + 1]
@@ -329,13 +331,15 @@ def occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, listed:
     loop = F.col("at").bitwiseAND(_LOOP) != 0
     several = located.groupBy("h").agg(F.count("*").alias("runs"), F.min("d").alias("low"), F.max("d").alias("high"), F.max(loop).alias("loop"))
     several = several.where("runs > 1 OR loop").select("h", ((F.col("low") == F.col("high")) & ~F.col("loop")).alias("pure"))
+    several = staged(several, "buckets")  # a join of two plain shuffles, so that AQE can split a hot bucket
     shared = staged(located.join(several, "h"), "runs")
     count, start = F.col("at").bitwiseAND(_LOOP - 1), F.shiftright("at", 32)
 
     distinct = shared.where(~F.col("pure")).groupBy("h", "d").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at")).alias("best"))
     distinct = staged(distinct.select("h", "d", "c", "best.k1", "best.k2", "best.at"), "distinct")
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("members"))
-    wanted = distinct.join(sizes, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "c", start.alias("start"), count.alias("n"), (F.col("members") > WIDE).alias("wide"))).alias("runs"))
+    sizes = staged(distinct.groupBy("h").agg(F.count("*").alias("members")), "sizes")
+    distinct = staged(distinct.join(sizes, "h"), "distinct")
+    wanted = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "c", start.alias("start"), count.alias("n"), (F.col("members") > WIDE).alias("wide"))).alias("runs"))
     text = text_or_empty()
     keyed = docs.select(*_key(text), "doc_id", text.alias("text"))
     holder = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("holder"))  # of copies, the one that is read

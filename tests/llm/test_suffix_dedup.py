@@ -77,6 +77,23 @@ def test_maximal_intervals_are_those_of_brute_force():
         assert got == want
 
 
+def test_spans_of_long_runs():
+    rng = random.Random(8)
+    for _ in range(40):
+        pieces = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([30, 300, 900]))) for _ in range(3)] + [b"ab" * 300, b"z" * 700]
+        parts = [b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(4)]
+        got = [bytearray(len(p)) for p in parts]
+        for run, begin, size in zip(*sd.covered_in_runs(parts, [1] * 4, 200)):
+            got[run][begin : begin + size] = b"\1" * size
+        count = Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
+        for p, g in zip(parts, got):
+            want = bytearray(len(p))
+            for i in range(len(p) - 199):
+                if count[p[i : i + 200]] > 1:
+                    want[i : i + 200] = b"\1" * 200
+            assert g == want
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(0)
     parts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (50, 7, 300, 1)]
