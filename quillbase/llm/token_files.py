@@ -32,9 +32,9 @@ SHARD = 1 << 18
 ROUNDS, RULES_A_ROUND, LEAST = 3, 2000, 16
 MAGIC = b"QRPR1\0\0\0"
 FILES = "part int, shard int, before long, n_ids long, docs array<long>, body binary"
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 #: Pieces a worker keeps; it compresses besides.
-ENTRIES = 900_000
+ENTRIES = 1_400_000
 _BUCKETS = 16
 
 
@@ -114,12 +114,15 @@ class Shard:
         if self._table is None:
             sizes = np.concatenate([np.ones(self.terminals, np.int32), self.lengths.astype(np.int32)])
             begin = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
-            flat = np.zeros(begin[-1], np.uint32)
-            flat[: self.terminals] = np.arange(self.terminals)
-            for i, (a, b) in enumerate(self.rules.tolist(), self.terminals):
-                n, m = sizes[a], sizes[b]
-                flat[begin[i] : begin[i] + n] = flat[begin[a] : begin[a] + n]
-                flat[begin[i] + n : begin[i] + n + m] = flat[begin[b] : begin[b] + m]
+            made = self.rules.reshape(-1).astype(np.int32)
+            while len(rule := np.flatnonzero(made >= self.terminals)):  # a rule names pairs of earlier rounds only
+                size = np.ones(len(made), np.int32)
+                size[rule] = 2
+                first = (np.cumsum(size) - size)[rule]
+                pair = self.rules[made[rule] - self.terminals]
+                made = np.repeat(made, size)
+                made[first], made[first + 1] = pair[:, 0], pair[:, 1]
+            flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), made.astype(np.uint32)])
             self._table = (flat, begin)
         return self._table
 
