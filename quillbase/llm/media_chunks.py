@@ -1,7 +1,7 @@
 """Media columns: content-defined chunking, chunk store and verified reconstruction.
 
-A payload is cut where a rolling gear hash of its last 32 bytes has CUT_BITS leading zeros, between LEAST and MOST bytes
-after the last cut. Tasks write what they chunk as packs, with no shuffle; of all copies of a digest one row becomes
+A payload is cut where a rolling gear hash of its last 32 bytes has a number of leading zeros, between a least and a most
+number of bytes after the last cut; texts are cut by TEXT, well under the length of a typical text. Tasks write what they chunk as packs, with no shuffle; of all copies of a digest one row becomes
 canonical (an aggregation over digests alone), and an ordered chunk list names each payload's digests. Reading goes
 through the list: payloads of one chunk are verified where their chunk lies, longer ones pull their canonical chunks by
 a join, come together by payload in order, and are hashed as a stream, so no payload is held whole. Copies that are not
@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from quillbase.llm.common import GOLDEN, U64, documents, map_arrow, mix, runs, staged, text_bytes, width
 
 UNIT = 576
+#: Sizes that `cuts` takes unless told others: chunks of about 34 KB.
 LEAST, MOST, CUT_BITS = 2048, 131072, 15
+#: Least, most and leading zeros by which texts are cut: chunks of about 1.3 KB.
+TEXT = (256, 8192, 10)
 MAGIC = b"QCDC1\0\0\0"
 LEVEL = 3
 #: Bytes hashed at once within a batch.
@@ -52,15 +55,15 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
-    """Ends of the chunks of data[offsets[i]:offsets[i + 1]], for each i; bytes before a payload never matter, as LEAST > 32."""
-    places = np.flatnonzero(gear(data) >> np.uint32(32 - CUT_BITS) == 0) + 1
+def cuts(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, most: int = MOST, bits: int = CUT_BITS) -> list[list[int]]:
+    """Ends of the chunks of data[offsets[i]:offsets[i + 1]], for each i; bytes before a payload never matter, as least > 32."""
+    places = np.flatnonzero(gear(data) >> np.uint32(32 - bits) == 0) + 1
     out = []
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         ends, at = [], begin
-        while end - at > LEAST:
-            k = np.searchsorted(places, at + LEAST)
-            cut = min(int(places[k]) if k < len(places) else end, at + MOST, end)
+        while end - at > least:
+            k = np.searchsorted(places, at + least)
+            cut = min(int(places[k]) if k < len(places) else end, at + most, end)
             ends.append(cut)
             at = cut
         if at < end:
@@ -90,7 +93,7 @@ def pack(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for i, j in runs([len(p) for p in whole], BLOCK):
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in whole[i:j]])])
-            for k, ends in enumerate(cuts(np.frombuffer(b"".join(whole[i:j]), np.uint8), offsets), i):
+            for k, ends in enumerate(cuts(np.frombuffer(b"".join(whole[i:j]), np.uint8), offsets, *TEXT), i):
                 key, at, base, first = hashlib.sha256(whole[k]).digest(), 0, int(offsets[k - i]), len(rows)
                 entries, media = [], 0
                 for seq, end in enumerate(ends):
