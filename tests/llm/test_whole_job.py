@@ -5,6 +5,7 @@ import random
 from cases import SCHEMA, prose
 
 from quillbase.llm import media_chunks as mc
+from quillbase.llm import secret_scan as ss
 
 
 def test_texts_of_typical_length_share_chunks(spark):
@@ -15,3 +16,21 @@ def test_texts_of_typical_length_share_chunks(spark):
     total, distinct = packs.count(), packs.select("digest").distinct().count()
     stored = sum(len(t.encode()) for _, t, *_ in own)
     assert 500 < stored / total < 2048 and distinct < 0.75 * total
+
+
+def test_runs_beside_an_equals_sign_are_tested(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    own = []
+    for i in range(40):
+        run = "".join(rng.choice(alphabet) for _ in range(40))
+        before, after = [("export AWS_KEY=", " x"), ("http://a.b/c?sig=", "&d=e"), ("?", "=value"), ("k==", "== y")][i % 4]
+        own.append((i, f"é {before}{run}{after}", run))
+    own += [(100 + i, prose(rng, 30), None) for i in range(40)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, run string")
+    found = {r.doc_id: [(r._text[s.start : s.end]) for s in r.spans] for r in ss.scan(docs).collect()}
+    for kind in range(4):
+        assert sum(any(run in part for part in found[i]) for i, _, run in own[:40] if i % 4 == kind) >= 9
+    assert not any(found[i] for i in range(100, 140))
+    masked = {r.doc_id: r.text for r in ss.redact(docs).collect()}
+    assert sum(run not in masked[i] for i, _, run in own[:40]) >= 36
