@@ -270,7 +270,7 @@ def _prefix_buckets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key and class_id of every row."""
+    """doc_id, key, root and class_id of every row; the root tells classes apart where ids are null or repeat."""
     rows = staged(signed(docs), "signed")
     nodes = staged(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     exploded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -302,14 +302,14 @@ def classes(docs: DataFrame) -> DataFrame:
     named = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     placed = staged(rows.select("doc_id", "key").join(named, "key"), "placed")
     least = staged(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
-    return placed.join(least, "root").select("doc_id", "key", "class_id")
+    return placed.join(least, "root").select("doc_id", "key", "root", "class_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of its least doc_id, with all its columns."""
+    """One row of each class, that of its least doc_id (a null id counts as the largest), with all its columns."""
     columns = docs.columns
-    member = classes(docs)
-    chosen = member.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("key").alias("_key")).select(F.col("doc_id").alias("_id"), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    chosen = classes(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     keyed = docs.withColumn("_key_", _key(text_or_empty()))
     return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key"))).dropDuplicates(["_id", "_key_"]).select(*columns)
 

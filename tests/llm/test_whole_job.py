@@ -4,6 +4,7 @@ import random
 
 from cases import SCHEMA, prose
 
+from quillbase.llm import bag_minhash as bm
 from quillbase.llm import media_chunks as mc
 from quillbase.llm import secret_scan as ss
 
@@ -34,3 +35,11 @@ def test_runs_beside_an_equals_sign_are_tested(spark):
     assert not any(found[i] for i in range(100, 140))
     masked = {r.doc_id: r.text for r in ss.redact(docs).collect()}
     assert sum(run not in masked[i] for i, _, run in own[:40]) >= 36
+
+
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    rng = random.Random(13)
+    alone = [prose(rng, 60) for _ in range(5)]
+    own = [(None, t, "en", "s", 1) for t in alone[:3]] + [(None, alone[0], "en", "s", 1), (7, alone[3], "en", "s", 1), (7, alone[4], "en", "s", 1), (9, alone[3] + " tail", "en", "s", 1), (8, alone[1], "en", "s", 1)]
+    kept = sorted((str(r.doc_id), r.text) for r in bm.deduplicate(spark.createDataFrame(own, SCHEMA)).collect())
+    assert kept == sorted([("None", alone[0]), ("8", alone[1]), ("None", alone[2]), ("7", alone[3]), ("7", alone[4])])
