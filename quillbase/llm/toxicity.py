@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, text_or_empty
 
 BITS = 20
-#: Labelled documents that training may use, and the distinct features it takes from one of them.
+#: Labelled documents that training may use, each with all its features.
 ROWS = 4000
-FEATURES_A_ROW = 4000
 _STRIP = " .,;:!?\"'()[]{}<>|*#$%&-_/\\+=~`@^"
 _words = kept(WordIds())
 
@@ -104,17 +103,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[i
         every, row = features(batch.column("text").to_pylist())
         out = []
         for i in range(batch.num_rows):
-            own = np.unique(every[row == i])
-            out.append(own[np.argsort(mix(own.astype(U64)), kind="stable")][:FEATURES_A_ROW].astype("<i4").tobytes())
+            out.append(np.unique(every[row == i]).astype("<i4").tobytes())
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "label", "at"])
 
     got = map_arrow(chosen, of_batch, "doc_id long, label int, at binary").collect()
     got.sort(key=lambda r: (int(mix(np.array([r["doc_id"] & (2**63 - 1)], U64))[0]), r["at"]))
-    return [(r["label"], np.frombuffer(r["at"], "<i4").astype(np.int64)) for r in got]
+    return [(r["label"], np.frombuffer(r["at"], "<i4")) for r in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, epochs: int = 25, l1_of_root: float = 0.32, **how: float) -> Model:
-    """Weights learned from at most `rows` labelled documents (a bounded sample, FEATURES_A_ROW features each).
+    """Weights learned from at most `rows` labelled documents (a bounded sample, with all features of each).
 
     L1 grows with the root of the sample, as the noise of the sums that it bounds does.
     """

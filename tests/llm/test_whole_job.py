@@ -7,6 +7,7 @@ from cases import SCHEMA, prose
 from quillbase.llm import bag_minhash as bm
 from quillbase.llm import media_chunks as mc
 from quillbase.llm import secret_scan as ss
+from quillbase.llm import toxicity as tx
 
 
 def test_texts_of_typical_length_share_chunks(spark):
@@ -43,3 +44,13 @@ def test_one_row_of_each_class_whatever_the_ids(spark):
     own = [(None, t, "en", "s", 1) for t in alone[:3]] + [(None, alone[0], "en", "s", 1), (7, alone[3], "en", "s", 1), (7, alone[4], "en", "s", 1), (9, alone[3] + " tail", "en", "s", 1), (8, alone[1], "en", "s", 1)]
     kept = sorted((str(r.doc_id), r.text) for r in bm.deduplicate(spark.createDataFrame(own, SCHEMA)).collect())
     assert kept == sorted([("None", alone[0]), ("8", alone[1]), ("None", alone[2]), ("7", alone[3]), ("7", alone[4])])
+
+
+def test_training_takes_all_features_of_a_row(spark):
+    rng = random.Random(14)
+    text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(3000))
+    docs = spark.createDataFrame([(i, text, None, None, None) for i in range(8)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    sample = tx.training_rows(docs, labels, 100)
+    want = len(set(tx.features([text])[0].tolist()))
+    assert want > 8000 and sample and all(len(at) == want for _, at in sample)
