@@ -90,6 +90,7 @@ def pack(docs: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=LEVEL)
         whole, lengths = payloads(batch.column("text"))
         seen: dict[bytes, int] = {}
+        held: set[tuple[bytes, bool]] = set()  # payloads of one chunk are read without a join, so they hold their own copy
         rows: list[tuple] = []
         for i, j in runs([len(p) for p in whole], BLOCK):
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in whole[i:j]])])
@@ -100,10 +101,11 @@ def pack(docs: DataFrame) -> DataFrame:
                     part = whole[k][at : end - base]
                     at = end - base
                     digest = key if len(ends) == 1 else hashlib.sha256(part).digest()
-                    data = None
-                    if digest not in seen:
+                    data, kind = None, (digest, len(ends) == 1)
+                    if kind not in held:
                         data = press.compress(part)
                         seen[digest] = len(data)
+                        held.add(kind)
                     entries.append(digest + struct.pack(">II", len(part), seen[digest]))
                     media += seen[digest]
                     rows.append((k, key, seq, len(ends), lengths[k], digest, data, None, None))
@@ -166,23 +168,29 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(now.row(), _TYPES, strict=True)], names=_NAMES)
 
 
+def _places(packs: DataFrame) -> DataFrame:
+    """(digest, single) -> the place of the one row that is read, for payloads of one chunk and for longer ones."""
+    held = packs.where(F.col("data").isNotNull()).select("digest", (F.col("n_chunks") == 1).alias("single"), "place")
+    return held.groupBy("digest", "single").agg(F.min("place").alias("place"))
+
+
 def canonical(packs: DataFrame) -> DataFrame:
-    """digest -> the place of its one row that is read; a row of a payload of several chunks if there is one."""
-    held = packs.where(F.col("data").isNotNull()).select("digest", "n_chunks", "place")
-    return held.groupBy("digest").agg(F.min(F.struct((F.col("n_chunks") == 1).alias("single"), "place")).alias("best")).select("digest", F.col("best.place").alias("place"))
+    """digest -> the place of its one row that is kept; a row of a payload of several chunks if there is one."""
+    return _places(packs).groupBy("digest").agg(F.min(F.struct("single", "place")).alias("best")).select("digest", F.col("best.place").alias("place"))
 
 
 def reconstruct(packs: DataFrame) -> DataFrame:
     """READ for each payload, from canonical chunks in the order of its list."""
     n = width(packs.sparkSession)
-    index = canonical(packs)
+    index = _places(packs)
     single = packs.where((F.col("n_chunks") == 1) & F.col("data").isNotNull())
     alone = single.select("place", "payload", "data").mapInArrow(_read_each, "place long, " + READ)
-    one = index.join(alone, "place").drop("place", "digest")
-    wanted = packs.where("n_chunks > 1").select("payload", "seq", "digest").distinct().join(index, "digest").select("place", "payload", "seq")
+    one = index.where("single").select("place").join(alone, "place").drop("place")
+    wanted = packs.where("n_chunks > 1").select("payload", "seq", "digest").distinct().join(index.where("NOT single"), "digest", "left").select("place", "payload", "seq")
     several = packs.where((F.col("n_chunks") > 1) & F.col("data").isNotNull()).select("place", "data")
-    ordered = wanted.join(several, "place").select("payload", "seq", "data").repartition(n, "payload").sortWithinPartitions("payload", "seq")
-    return one.unionByName(ordered.select("payload", "data").mapInArrow(_read, READ)).dropDuplicates(["payload"])
+    ordered = wanted.join(several, "place", "left").select("payload", "seq", "data").repartition(n, "payload").sortWithinPartitions("payload", "seq")
+    found = ordered.select("payload", F.coalesce("data", F.raise_error(F.lit("a chunk is missing")).cast("binary")).alias("data"))
+    return one.unionByName(found.mapInArrow(_read, READ)).dropDuplicates(["payload"])
 
 
 def _read_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +217,7 @@ def chunk_lists(packs: DataFrame) -> DataFrame:
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = staged(pack(documents(spark, sf_dir)), "packs")
     lists = chunk_lists(packs).select("doc_id", "payload", "n_bytes", "media_bytes", F.unhex(F.sha2("list", 256)).alias("media"))
-    both = lists.join(reconstruct(packs), "payload")
+    both = lists.join(reconstruct(packs), "payload", "left")
+    both = both.withColumn("payload_bytes", F.coalesce("payload_bytes", F.raise_error(F.lit("a payload is missing")).cast("long")))
     hexed = lambda c: F.lower(F.hex(c))
     return both.select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from cases import SCHEMA, prose
 
 from quillbase.llm import bag_minhash as bm
@@ -20,6 +21,21 @@ def test_texts_of_typical_length_share_chunks(spark):
     assert 500 < stored / total < 2048 and distinct < 0.75 * total
 
 
+def test_a_payload_that_is_another_ones_chunk(spark, tmp_path):
+    rng = random.Random(15)
+    raw = "".join(rng.choice("abcdefghij klmnopqrstuvwxyz") for _ in range(3_000_000)).encode()
+    (ends,) = mc.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), *mc.TEXT)
+    a, b = next((a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if (b - a) % mc.UNIT == 0)
+    short, long = raw[a:b].decode(), raw[a : b + 20_000].decode()
+    for k, own in enumerate([[(1, short), (2, long)], [(2, long), (1, short)], [(2, long), (1, short), (3, short), (4, long)]]):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in own], SCHEMA).coalesce(1)
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        packs = mc.pack(docs).cache()
+        assert packs.where("n_chunks = 1 AND doc_id = 1").count() == 1 and packs.where("doc_id = 2").agg({"n_chunks": "max"}).first()[0] > 1
+        got = {r.doc_id: r.payload_bytes for r in mc.op9_media_chunks(spark, f"{tmp_path}/{k}").collect()}
+        assert got == {i: len(mc.payloads(docs.where(f"doc_id = {i}").toArrow().column("text").combine_chunks())[0][0]) for i, _ in own}
+
+
 def test_runs_beside_an_equals_sign_are_tested(spark):
     rng = random.Random(12)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
