@@ -6,17 +6,18 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import threading
 import time
 import uuid
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -34,11 +35,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one made for a local test."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; a local session may do without one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quillbase-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -64,6 +67,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All of a frame's columns as one struct `_row`, so that no name of the caller's meets one of an operator's."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(columns: Sequence[str], **changed: Column) -> list[Column]:
+    """The caller's columns out of `_row`, some of them anew."""
+    return [(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in columns]
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,8 +7,9 @@ next rule is grown. The list becomes one ordered `CASE WHEN` expression that Spa
 
 Defined cases: a null text has no words; an empty or wordless text has statistics 0 and fails the base rule; ties in
 gain go to the first statistic in FEATURES and the lowest threshold; rows are judged one by one, so repeated rows and
-repeated ids get equal answers; other columns of the input, whatever their names, are ignored by `statistics` and kept
-by `filter_quality`; with no documents or no labels the list is empty and only the base rule rejects.
+repeated ids get equal answers; of rows that share a labelled id the one of least text is learned from; other columns of
+the input, whatever their names, travel in one struct and are kept; with no documents or no labels the list is empty and
+only the base rule rejects.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import documents, text_or_empty
+from quillbase.llm.common import documents, own_columns, text_or_empty, whole_row
 
 #: White space of the word rule: code points 32 and 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -55,20 +56,20 @@ def _repeated_words(words: Column) -> Column:
     return _bind(words, of_words)
 
 
-def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, the base counts and FEATURES of every whole text.
+def statistics(docs: DataFrame) -> DataFrame:
+    """`_row` (the input's columns), the base counts and FEATURES of every whole text.
 
     Windows are compared by a 64-bit hash of their three words, within one text.
     """
-    one = docs.select(*keep, text_or_empty().alias("_text"))
+    one = docs.select(whole_row(docs), text_or_empty().alias("_text"))
     two = one.select(
-        *keep,
+        "_row",
         "_text",
         F.array_remove(F.split("_text", SPACE), "").alias("_words"),
         F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0).alias("_lines"),
     )
     three = two.select(
-        *keep,
+        "_row",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -83,7 +84,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     )
     per = lambda x, of: (F.col(x) / F.greatest(F.col(of), F.lit(1))).cast("double")
     return three.select(
-        *keep,
+        "_row",
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         per("n_symbols", "word_chars").alias("symbol_ratio"),
         per("n_dup_lines", "_n_lines").alias("dup_line_ratio"),
@@ -134,34 +135,48 @@ class Rule:
         return whole
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max_conditions: int = 4, least: int = 8, precision: float = 0.97, cuts: int = 48) -> list[Rule]:
-    """Sequential covering of the rows marked `bad`.
-
-    A grown rule loses its last conditions while that doesn't worsen (hits - misses) / covered on the pruning rows; it
-    enters the list if it then covers `least` rows in all and `precision` of them are bad on both parts.
+class _Cuts:
+    """Every threshold of every statistic: its rows in rising order, and where its values change."""
+
+    def __init__(self, x: dict[str, np.ndarray]):
+        self.order = {f: np.argsort(v, kind="stable") for f, v in x.items()}
+        self.ends = {f: np.flatnonzero(np.diff(v[self.order[f]]) > 0) for f, v in x.items()}
+        self.x = x
+
+    def best(self, covered: np.ndarray, bad: np.ndarray, least: int) -> Condition | None:
+        """The condition of greatest information gain on the covered rows, if any gains."""
+        good, hits = (covered & ~bad).astype(np.int64), (covered & bad).astype(np.int64)
+        p0, n0 = hits.sum(), good.sum()
+        top, found = 1e-9, None
+        for f, order in self.order.items():
+            ends = self.ends[f]
+            p_low, n_low = np.cumsum(hits[order])[ends], np.cumsum(good[order])[ends]
+            for above, p, n in ((True, p0 - p_low, n0 - n_low), (False, p_low, n_low)):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = np.where(p >= least, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), 0.0)
+                if len(gain) and gain.max() > top:
+                    k = int(gain.argmax())
+                    v = self.x[f][order[ends[k] : ends[k] + 2]]
+                    top, found = gain[k], Condition(f, above, float((v[0] + v[1]) / 2) if v[0] < (v[0] + v[1]) / 2 < v[1] else float(v[0]))
+        return found
+
+
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, least: int = 8, precision: float = 0.97) -> list[Rule]:
+    """Sequential covering of the rows marked `bad`, until every one of the growing rows is covered or was tried.
+
+    A rule is grown over all thresholds of all statistics until it covers no good row or none gains, then loses its last
+    conditions while that doesn't worsen (hits - misses) / covered on the pruning rows. It enters the list if it covers
+    `least` rows in all, some of them pruning rows, and `precision` of them are bad on both parts; the rows of one that
+    fails are set aside, and the next rule is grown from the others.
     """
-    rows = np.arange(len(bad))
-    growing = rows % 3 != 2
-    open_, rules = np.ones(len(bad), bool), []
-    thresholds = {f: np.unique(np.quantile(x[f], np.linspace(0, 1, cuts + 1))) if len(bad) else np.zeros(0) for f in x}
-    while len(rules) < max_rules and (open_ & growing & bad).any():
-        covered, conditions = open_ & growing, []
-        while len(conditions) < max_conditions and (covered & ~bad).any():
-            p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
-            best = (1e-9, None)
-            for f in x:
-                for t in thresholds[f]:
-                    high = x[f] > t
-                    for above, hold in ((True, covered & high), (False, covered & ~high)):
-                        p, n = (hold & bad).sum(), (hold & ~bad).sum()
-                        if p >= least // 2:
-                            gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
-                            if gain > best[0]:
-                                best = (gain, Condition(f, above, float(t)))
-            if best[1] is None:
-                break
-            conditions.append(best[1])
-            covered = covered & best[1].holds(x)
+    growing = np.arange(len(bad)) % 3 != 2
+    open_, tried, rules = np.ones(len(bad), bool), np.zeros(len(bad), bool), []
+    cuts = _Cuts(x)
+    while (open_ & growing & bad & ~tried).any():
+        covered, conditions = open_ & growing & ~(tried & bad), []
+        while (covered & ~bad).any() and (condition := cuts.best(covered, bad, least // 2)):
+            conditions.append(condition)
+            covered = covered & condition.holds(x)
         if not conditions:
             break
 
@@ -170,30 +185,31 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max
             p, n = int((hold & bad).sum()), int((hold & ~bad).sum())
             return (p - n) / max(1, p + n), p / max(1, p + n), p + n
 
+        grown = covered & bad
         while len(conditions) > 1 and measured(conditions[:-1], ~growing)[0] >= measured(conditions, ~growing)[0]:
             conditions.pop()
         _, on_pruning, n = measured(conditions, ~growing)
         _, on_growing, m = measured(conditions, growing)
-        if n + m < least or on_growing < precision or (n and on_pruning < precision):
-            break
-        rule = Rule(tuple(conditions), on_pruning, n)
-        rules.append(rule)
-        open_ &= ~rule.holds(x)
+        if n and n + m >= least and min(on_growing, on_pruning) >= precision:
+            rules.append(Rule(tuple(conditions), on_pruning, n))
+            open_ &= ~rules[-1].holds(x)
+        else:
+            tried |= grown
     return rules
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """Statistics and label of at most `rows` labelled documents, those of least hashed id; the broadcast side has `rows` rows at most."""
+    """Statistics of at most `rows` documents, one for each labelled id, those of least hashed id; the broadcast side has `rows` rows at most."""
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    return statistics(held, ("doc_id", "quality"))
+    return statistics(held.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = 6000, **how) -> list[Rule]:
     """A decision list from at most `rows` labelled documents (a bounded sample, 12 numbers each on the driver)."""
-    got = labelled_sample(docs, labels, rows).select("doc_id", "quality", *FEATURES).collect()
-    got.sort(key=lambda r: (hash((r["doc_id"] * 2654435761) % 2**32), r["doc_id"]))
+    got = labelled_sample(docs, labels, rows).select("_row.doc_id", "_row.quality", *FEATURES).collect()
+    got.sort(key=lambda r: ((r["doc_id"] * 2654435761) % 2**32, r["doc_id"]))
     x = {f: np.array([r[f] for r in got], float) for f in FEATURES}
     bad = np.array([r["quality"] == 0 for r in got], bool)
     passed = ~((x["n_words"] < 50) | (x["repeat_ratio"] > 0.5))  # what the base rule rejects needs no learning
@@ -210,20 +226,23 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(0))
 
 
-def judge(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Statistics, `base_failed`, the `rule` that rejects (0: none) and `kept`."""
-    judged = statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """`_row`, statistics, `base_failed`, the `rule` that rejects (0: none) and `kept`."""
+    judged = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     judged = judge(docs, fit(docs, documents(spark, sf_dir, "labels")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return judged.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def filter_quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Documents that the base rule and the list keep, with their own columns."""
+    return judge(docs, rules).where("kept").select(*own_columns(docs.columns))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned list keep, with their own columns."""
-    rules = fit(docs, documents(spark, sf_dir, "labels"))
-    columns = tuple(docs.columns)
-    return judge(docs, rules, columns).where("kept").select(*columns)
+    """Documents that the base rule and the learned list keep."""
+    return filter_quality(docs, fit(docs, documents(spark, sf_dir, "labels")))

@@ -3,11 +3,13 @@
 Rules (verdict, host, path) go into one trie: host labels from the right, and at the host's node the rule's path, by its
 segments; the last segment matches as a prefix, so /en/7 fits /en/75/a. A rule fits its host and all subdomains. Of the
 rules that fit a url the one with most host labels wins, then the one with the longest path; a block rule wins over an
-equal allow rule. The trie is broadcast behind a check of its size; a longer list is refused rather than broadcast.
+equal allow rule. The trie is broadcast behind a check of its size. A longer list stays a table: its paths from the
+trie's root (host suffix, then path prefix) are join keys, each host's lengths of path say which prefixes of a url can be
+keys at all, and the same order decides between those found; both ways give the same verdicts.
 
 Defined cases: a null url, or one without ://, has empty host and path and no rule; only A-Z are lower-cased; user info
-and ports stay part of the host; urls are judged row by row, so repeated rows get equal answers; the caller's other
-columns are ignored or, in `filter_urls`, kept; an empty rule list leaves every verdict to the default.
+and ports stay part of the host; equal urls get equal answers; the caller's columns are kept, and one whose name is that
+of a verdict's column goes on under own_ and its name; an empty rule list leaves every verdict to the default.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import documents
+from quillbase.llm.common import documents, own_columns, quoted, staged, whole_row
 
-#: Bytes of pickled trie that may be broadcast.
-MAX_BYTES = 64 << 20
+#: Bytes of pickled trie that may be broadcast, and rules of a table that may be read for one.
+MAX_BYTES, MAX_RULES = 64 << 20, 500_000
 RULE = 0  # a node's rules are kept under this key, its children under strings
 
 #: The contract's list.
@@ -44,8 +46,8 @@ def build(rules: Iterable[tuple[str, str, str]]) -> dict:
             raise ValueError(f"unknown verdict {verdict!r}")
         if path and not path.startswith("/"):
             raise ValueError(f"a rule's path starts with /: {path!r}")
-        node = root
-        for label in reversed(host.translate(_LOWER).split(".")):
+        node, host = root, host.translate(_LOWER)
+        for label in reversed(host.split(".")):
             node = node.setdefault(label, {})
         *segments, last = path.split("/")[1:] or [""]
         node = node.setdefault(RULE, {})
@@ -84,17 +86,19 @@ def lookup(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     return None
 
 
-def with_verdicts(urls: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow", url: str = "url") -> DataFrame:
-    """`urls` with host, path, rule and verdict; the input may not have columns of those names."""
-    trie = build(rules)
-    if len(pickle.dumps(trie)) > MAX_BYTES:
-        raise ValueError(f"the rules take more than {MAX_BYTES} bytes; split the list by top-level label and filter in turn")
-    spark = urls.sparkSession
-    shared = spark.sparkContext.broadcast(trie)
-    parts = urls.withColumn("_after", F.when(F.instr(F.col(url), "://") > 0, F.substring(F.col(url), F.instr(F.col(url), "://") + 3, F.length(F.col(url)))))
-    raw = F.regexp_extract("_after", r"^[^/?#]*", 0)
-    parts = parts.withColumn("host", F.coalesce(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")))
-    parts = parts.withColumn("path", F.coalesce(F.regexp_extract("_after", r"^[^/?#]*([^?#]*)", 1), F.lit(""))).drop("_after")
+VERDICT = ("host", "path", "rule", "verdict")
+
+
+def _parsed(urls: DataFrame, url: str) -> DataFrame:
+    """`_row`, host and path."""
+    after = F.when(F.instr("_url", "://") > 0, F.substring("_url", F.instr("_url", "://") + 3, F.length("_url")))
+    parts = urls.select(whole_row(urls), F.col(quoted(url)).alias("_url")).select("_row", after.alias("_after"))
+    host = F.translate(F.regexp_extract("_after", r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return parts.select("_row", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.regexp_extract("_after", r"^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"))
+
+
+def _by_trie(parts: DataFrame, trie: dict, default: str) -> DataFrame:
+    shared = parts.sparkSession.sparkContext.broadcast(trie)
 
     @F.pandas_udf("struct<rule:string,verdict:string>")
     def judged(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
@@ -102,14 +106,57 @@ def with_verdicts(urls: DataFrame, rules: Iterable[tuple[str, str, str]], defaul
         got = [lookup(held, h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame(got, columns=["rule", "verdict"], dtype=object)
 
-    columns = [F.col(c) for c in urls.columns]
-    return parts.withColumn("_v", judged("host", "path")).select(*columns, "host", "path", F.col("_v.rule").alias("rule"), F.col("_v.verdict").alias("verdict"))
-
-
-def filter_urls(urls: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow", url: str = "url") -> DataFrame:
-    """Rows whose url is allowed, with their own columns, even ones named like the verdict's."""
-    bare = urls.select(F.col(url).alias("url"), F.struct("*").alias("_row"))
-    return with_verdicts(bare, rules, default).where("verdict = 'allow'").select("_row.*")
+    return parts.withColumn("_v", judged("host", "path")).select("_row", "host", "path", "_v.rule", "_v.verdict")
+
+
+def _by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """For lists too long to broadcast. Distinct urls meet the rules, so a url's copies are one row until the last join."""
+    suffix = F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    list_ = staged(rules.select(suffix.alias("suffix"), F.col("path").alias("prefix"), (F.col("verdict") == "block").alias("block")).groupBy("suffix", "prefix").agg(F.max("block").alias("block")), "rules")
+    lengths = list_.groupBy("suffix").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    seen = staged(parts.select("host", "path").distinct(), "urls")
+    labels = F.split("host", r"\.", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(k.alias("labels"), F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("suffix")))
+    hosts = seen.select("host", "path", F.explode(ends).alias("e")).select("host", "path", "e.*").join(lengths, "suffix")
+    keys = hosts.select("host", "path", "labels", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    keys = keys.withColumn("prefix", F.substring("path", F.lit(1), F.col("n")))
+    best = F.max(F.struct("labels", "n", "block", F.concat("suffix", "prefix").alias("rule"))).alias("best")
+    judged = staged(keys.join(list_, ["suffix", "prefix"]).groupBy("host", "path").agg(best), "judged")
+    verdict = F.when(F.col("best").isNull(), default).otherwise(F.when(F.col("best.block"), "block").otherwise("allow"))
+    return parts.join(judged, ["host", "path"], "left").select("_row", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def _judged(urls: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame, default: str, url: str) -> DataFrame:
+    """`_row` and the columns of VERDICT."""
+    parts = _parsed(urls, url)
+    if isinstance(rules, DataFrame):
+        some = rules.select("verdict", "host", "path").limit(MAX_RULES + 1).collect()
+        if len(some) > MAX_RULES:
+            return _by_join(parts, rules, default)
+        rules = some
+    rules = [tuple(r) for r in rules]
+    trie = build(rules)
+    if len(pickle.dumps(trie)) <= MAX_BYTES:
+        return _by_trie(parts, trie, default)
+    return _by_join(parts, urls.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), default)
+
+
+def with_verdicts(urls: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
+    """`urls` with host, path, rule and verdict; rules: (verdict, host, path), as a list or a table."""
+    names, taken = [], {c.lower() for c in urls.columns} | set(VERDICT)
+    for c in urls.columns:
+        name = c
+        while name.lower() in VERDICT or (name != c and name.lower() in taken):
+            name = f"own_{name}"
+        names.append(name)
+        taken.add(name.lower())
+    own = [F.col("_row").getField(c).alias(n) for c, n in zip(urls.columns, names, strict=True)]
+    return _judged(urls, rules, default, url).select(*own, *VERDICT)
+
+
+def filter_urls(urls: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
+    """Rows whose url is allowed, with their own columns."""
+    return _judged(urls, rules, default, url).where("verdict = 'allow'").select(*own_columns(urls.columns))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,5 +41,6 @@ def clashing(spark, own=None):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows() if own is None else own, SCHEMA)
-    names = ["key", "n", "h", "d", "k1", "k2", "spans", "begin", "node", "bands", "n_words", "base", "kept", "rule", "host", "score", "piece", "length", "part", "payload", "words", "row", "size", "label"]
-    return df.withColumns({c: F.lit(f"own {c}") for c in names})
+    names = "key n h d k1 k2 spans begin node bands n_words base kept rule host score piece length part payload words row size label path verdict own_host base_failed root class_id leader bucket members place at ids shard before".split()
+    names += "_row _text _words _lines _base _runs _cells _decoys _random _url _after _v _id _key _key_ _at _clean _upper _n_lines _ord _place _first _bucket".split()
+    return df.withColumns({c: F.lit(f"own {c}") for c in names}).withColumn("dotted.name `x`", F.lit("own"))

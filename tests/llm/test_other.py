@@ -57,14 +57,33 @@ def test_trie_against_every_rule():
             uf.build([bad])
 
 
-def test_url_frames(spark, monkeypatch):
+def test_url_frames(spark):
     df = spark.createDataFrame([("http://x.com/en/1", "h", "r"), ("http://x.de/", "h", "r"), (None, "h", "r")], "url string, host string, rule string")
     out = uf.filter_urls(df, uf.RULES)
     assert out.columns == df.columns and sorted(str(r.url) for r in out.collect()) == ["None", "http://x.de/"]
     assert uf.with_verdicts(df.select("url").limit(0), []).collect() == []
-    monkeypatch.setattr(uf, "MAX_BYTES", 10)
-    with pytest.raises(ValueError):
-        uf.with_verdicts(df.select("url"), uf.RULES)
+    both = uf.with_verdicts(df.withColumn("own_host", F.lit("x")), uf.RULES)
+    assert both.columns == ["url", "own_own_host", "own_rule", "own_host", "host", "path", "rule", "verdict"]
+    assert {(r.own_own_host, r.own_host, r.own_rule) for r in both.collect()} == {("h", "x", "r")} and sorted(r.host for r in both.collect()) == ["", "x.com", "x.de"]
+    wide = clashing(spark).withColumn("url", F.concat(F.lit("http://x.com/"), F.col("lang"), F.lit("/")))
+    kept = uf.filter_urls(wide, uf.RULES)
+    assert kept.columns == wide.columns and kept.count() == wide.where("lang IS NULL OR lang <> 'en'").count()
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    rng = random.Random(7)
+    labels, parts = ["a", "b", "com", "net"], ["x", "y", "xy", ""]
+    rules = [(rng.choice(["allow", "block"]), ".".join(rng.choice(labels) for _ in range(rng.randint(1, 3))), rng.choice(["", "/" + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))])) for _ in range(60)]
+    urls = URLS + [f"http://{'.'.join(rng.choice(labels) for _ in range(rng.randint(1, 4)))}/{'/'.join(rng.choice(parts) for _ in range(rng.randint(0, 4)))}" for _ in range(300)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    for own in (list(uf.RULES) + rules, []):
+        frame = spark.createDataFrame(own, "verdict string, host string, path string")
+        want = sorted(map(str, uf.with_verdicts(df, own).collect()))
+        assert sorted(map(str, uf.with_verdicts(df, frame).collect())) == want
+        monkeypatch.setattr(uf, "MAX_BYTES", 4)
+        monkeypatch.setattr(uf, "MAX_RULES", -1)
+        assert sorted(map(str, uf.with_verdicts(df, own).collect())) == want == sorted(map(str, uf.with_verdicts(df, frame).collect()))
+        monkeypatch.undo()
 
 
 # -- toxicity

@@ -46,7 +46,7 @@ def test_runs_beside_an_equals_sign_are_tested(spark):
         own.append((i, f"é {before}{run}{after}", run))
     own += [(100 + i, prose(rng, 30), None) for i in range(40)]
     docs = spark.createDataFrame(own, "doc_id long, text string, run string")
-    found = {r.doc_id: [(r._text[s.start : s.end]) for s in r.spans] for r in ss.scan(docs).collect()}
+    found = {r._row.doc_id: [r._row.text[s.start : s.end] for s in r.spans] for r in ss.scan(docs).collect()}
     for kind in range(4):
         assert sum(any(run in part for part in found[i]) for i, _, run in own[:40] if i % 4 == kind) >= 9
     assert not any(found[i] for i in range(100, 140))
