@@ -7,16 +7,18 @@ weight, and a component keeps the accepted point that comes first. Two texts the
 of their weighted Jaccard similarity. Points are drawn in order of time up to a limit that fills all components with
 high probability; where one stays empty the limit is doubled, so signatures never depend on it.
 
-Exact copies become one node first. A band bucket is not expanded into pairs: all nodes are compared with the bucket's
-least node and components are formed; twice, nodes outside the bucket's largest component are compared with one of its
-nodes. The nodes of buckets that still hold several components are joined on the rarest elements of their multisets (an
-exact prefix filter) and compared across components. What stays uncompared is in one class already or can't be similar
-enough, so no candidate link between classes is lost, and a hot bucket is never expanded into its pairs.
+Exact copies become one node first. All nodes of a band bucket are compared with the bucket's least node and components
+are formed. In buckets of very many nodes, nodes outside the largest component are compared with one of its nodes, a few
+times over. What is then still in several components is settled exactly: a bucket's nodes outside its largest component
+meet all its nodes in groups of bounded size, a large bucket being dealt into parts and every part meeting every other
+one. A group's task compares multisets there and then, skips pairs that are in one component or that an earlier shared
+bucket compares, and gives out links alone, never pairs. So no candidate link between classes is lost.
 With 30 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 7e-6.
 
 Defined cases: a text of fewer than 5 words is one shingle of all its words; null, empty and wordless texts are one
 class; class_id is the least doc_id of the class (null if it has none); repeated rows are copies; long texts are taken
-whole; other columns are ignored by `classes` and kept by `deduplicate`; an empty table gives an empty result.
+whole; other columns, whatever their names, are ignored by `classes` and kept by `deduplicate`, which takes the row of least
+hash among those of equal id and text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, runs, staged, text_blocks, text_or_empty, width
+from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, own_columns, quoted, runs, staged, text_blocks, text_or_empty, whole_row, width
 
 WORDS = 5
 BANDS, ROWS = 30, 5
@@ -36,8 +39,10 @@ BANDS, ROWS = 30, 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Members of one comparing group; a leader of more is handed out again.
 GROUP = 1000
-#: Turns in which a bucket's small components meet one node of its largest, before the prefix join.
-STARS = 2
+#: Turns in which the small components of a bucket of over GROUP nodes meet one node of its largest.
+STARS = 3
+#: Elements on either side of a comparing group, on average; either side has about GROUP nodes at most.
+SIDE = 400_000
 BLOCK = 1 << 20
 _words = kept(WordIds())
 
@@ -218,9 +223,9 @@ def _near_in_size() -> Column:
     return (F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR)
 
 
-def _open(buckets: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
-    """Rows (bucket, node, n, root, top) of the buckets that hold several components; top is the largest one's root."""
-    labelled = buckets.join(roots, "node", "left").select("bucket", "node", "n", *more, F.coalesce("root", "node").alias("root"))
+def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (bucket, band, node, n, size, root, top) of the buckets that hold several components; top is the largest one's root."""
+    labelled = buckets.join(roots, "node", "left").select("bucket", "band", "node", "n", "size", F.coalesce("root", "node").alias("root"))
     sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"))
     return staged(labelled.join(staged(largest, "largest"), "bucket"), "open")
@@ -234,48 +239,108 @@ def _star_pairs(open_: DataFrame, turn: int) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
-def _cross_pairs(open_: DataFrame) -> DataFrame:
-    """Nodes outside a prefix bucket's largest component with nodes of other components, where what follows the shared element may suffice."""
-    minor = open_.where("root <> top").select("bucket", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("other"))
-    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))  # of the overlap, if this element is the first shared one
-    enough = most * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("m")) * NUMERATOR
-    apart = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("top")) | (F.col("node") > F.col("leader")))
-    both = open_.withColumnRenamed("bucket", "_bucket")
-    met = both.join(minor, (F.col("_bucket") == F.col("bucket")) & apart & enough & _near_in_size())
-    return met.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-
-
-def _prefix_buckets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(bucket, node, n, place): each node's rarest elements, as many as two nodes must have one of in common to be similar enough.
-
-    An element is a shingle with the number of its occurrence. Of two multisets whose overlap is at least 4/5 of the larger,
-    the n - ceil(4 n / 5) + 1 rarest elements of each, in one order, can't be disjoint.
-    """
+def _elements(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, elements): sorted 64-bit hashes of each node's shingles with the number of their occurrence, so that multisets become sets."""
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, out = batch.column("node").to_numpy(), []
-        for i, texts in text_blocks(batch.column("text"), BLOCK):
+        out = []
+        for _, texts in text_blocks(batch.column("text"), BLOCK):
             rows, items, counts = shingles(texts.to_pylist())
             nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            out.append((node[np.repeat(rows, counts) + i], mix(np.repeat(items, counts) + nth.astype(U64) * M_LEVEL).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["node", "bucket"])
+            row, value = np.repeat(rows, counts), mix(np.repeat(items, counts) + nth.astype(U64) * M_LEVEL)
+            value = value[np.lexsort((value, row))]
+            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+            out += [value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "elements"])
+
+    return map_arrow(nodes.join(texts, "node").select("node", "text"), of_batch, "node long, elements binary")
+
+
+def _bits(which: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """Rows of bits: bit which[j] of row i for bounds[i] <= j < bounds[i + 1]."""
+    out = np.zeros((len(bounds) - 1, n // 64 + 1), U64)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    np.bitwise_or.at(out, (row, which >> 6), U64(1) << (which & 63).astype(U64))
+    return out
 
-    elements = staged(map_arrow(nodes.join(texts, "node").select("node", "text"), of_batch, "node long, bucket long"), "elements")
-    often = elements.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = elements.join(often, "bucket", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "bucket"))).alias("e"))
-    n = F.size("e").cast("long")
-    prefix = n - F.floor((n * NUMERATOR + DENOMINATOR - 1) / DENOMINATOR) + 1
-    first = ranked.select("node", n.alias("n"), F.posexplode(F.slice("e", 1, prefix.cast("int"))).alias("place", "e"))
-    return first.where("e.k > 1").select(F.col("e.bucket").alias("bucket"), "node", "n", "place")
+
+def _links(group: list[dict], band: int) -> list[tuple[int, int]]:
+    """Similar pairs of a leader and a member that no earlier band compares and that no component holds."""
+    leaders, members = [r for r in group if r["leads"]], [r for r in group if not r["leads"]]
+    sets = [[np.frombuffer(r["elements"], U64) for r in side] for side in (leaders, members)]
+    sizes = [np.array([len(e) for e in side], np.int64) for side in sets]
+    every = np.unique(np.concatenate(sets[0]))
+    flat = np.concatenate(sets[1])
+    place = np.minimum(np.searchsorted(every, flat), len(every) - 1)
+    shared = every[place] == flat
+    bounds = np.concatenate([[0], np.cumsum(sizes[1])])
+    held = _bits(place[shared], np.concatenate([[0], np.cumsum(shared)])[bounds], len(every))
+    own = _bits(np.searchsorted(every, np.concatenate(sets[0])), np.concatenate([[0], np.cumsum(sizes[0])]), len(every))
+    node, root = (np.array([r[k] for r in members]) for k in ("node", "root"))
+    bands = np.array([r["bands"] for r in members], np.int64)
+    out = []
+    for i, r in enumerate(leaders):
+        n = sizes[0][i]
+        near = np.minimum(n, sizes[1]) * DENOMINATOR >= np.maximum(n, sizes[1]) * NUMERATOR
+        at = np.flatnonzero(near & (root != r["root"]) & ~(bands[:, :band] == np.array(r["bands"][:band], np.int64)).any(1))
+        for k in range(0, len(at), 256):
+            some = at[k : k + 256]
+            least = np.bitwise_count(held[some] & own[i]).sum(1, dtype=np.int64)
+            alike = some[least * DENOMINATOR >= (n + sizes[1][some] - least) * NUMERATOR]
+            out += [(r["node"], m) for m in node[alike].tolist()]
+    return out
+
+
+_GROUP = ("bucket", "band", "first", "second")
+_MEMBER = ("leads", "node", "root", "bands", "elements")
+
+
+def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _GROUP and _MEMBER in order of the group -> links (a, b)."""
+
+    def solved(group: list[dict], band: int) -> pa.RecordBatch | None:
+        found = _links(group, band) if any(r["leads"] for r in group) and not all(r["leads"] for r in group) else []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"]) if found else None
+
+    now, held = None, []
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in _GROUP), strict=True)
+        for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in _MEMBER), strict=True):
+            if key != now:
+                if held and (out := solved(held, now[1])):  # type: ignore[index]
+                    yield out
+                now, held = key, []
+            held.append(dict(zip(_MEMBER, row, strict=True)))
+    if held and (out := solved(held, now[1])):  # type: ignore[index]
+        yield out
+
+
+def _settled(open_: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of open buckets: each node outside the largest component against all nodes."""
+    wanted = open_.select("node").distinct()
+    elements = staged(_elements(wanted, texts), "elements")
+    held = elements.join(nodes.select("node", "bands"), "node")
+    minor = F.col("root") != F.col("top")
+    parts = lambda of: F.greatest(F.ceil(F.sum(F.when(of, F.col("n"))) / SIDE), F.ceil(F.count_if(of) / GROUP))
+    sizes = open_.groupBy("bucket").agg(parts(minor).alias("lead_parts"), parts(F.lit(True)).alias("parts"))
+    placed = open_.join(staged(sizes, "sizes"), "bucket")
+    part = lambda of: F.pmod(F.xxhash64("node", "bucket"), F.col(of))
+    upto = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    own = ["bucket", "band", "node", "root"]
+    leaders = placed.where(minor).select(*own, part("lead_parts").alias("first"), upto("parts").alias("second"), F.lit(True).alias("leads"))
+    members = placed.select(*own, upto("lead_parts").alias("first"), part("parts").alias("second"), F.lit(False).alias("leads"))
+    rows = staged(leaders.unionByName(members), "dealt").join(held, "node").select(*_GROUP, *_MEMBER)
+    n = width(open_.sparkSession)
+    return rows.repartition(n, *_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_compare_groups, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key, root and class_id of every row; the root tells classes apart where ids are null or repeat."""
     rows = staged(signed(docs), "signed")
     nodes = staged(rows.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    exploded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    exploded = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = exploded.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("size")).where("size > 1")
-    buckets = staged(exploded.join(staged(shared, "shared"), "bucket").select("bucket", "node", "n", F.col("least.node").alias("leader"), F.col("least.n").alias("m")), "buckets")
+    buckets = staged(exploded.join(staged(shared, "shared"), "bucket").select("bucket", "band", "node", "n", "size", F.col("least.node").alias("leader"), F.col("least.n").alias("m")), "buckets")
     first = staged(buckets.where("node <> leader").where(_near_in_size()).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
 
     involved = buckets.select("node").distinct()
@@ -284,21 +349,23 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(involved, "node").select("key", "node")
     texts = staged(keyed.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "texts")
 
-    known = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = components(staged(verified(first, texts), "links"))
+    links = staged(verified(first, texts), "links")
+    roots = components(links)
     for turn in range(STARS + 1):
         open_ = _open(buckets, roots)
-        if turn < STARS:
-            pairs = _star_pairs(open_, turn)
+        if not open_.limit(1).count():
+            break
+        large = open_.where(F.col("size") > GROUP)
+        if turn < STARS and large.limit(1).count():
+            found = staged(verified(staged(_star_pairs(large, turn), "pairs"), texts), "links")
         else:
-            pairs = _cross_pairs(_open(staged(_prefix_buckets(open_.select("node").distinct(), texts), "prefixes"), roots, "place"))
-        pairs = staged(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        found = staged(verified(pairs, texts), "links")
-        known = known.unionByName(pairs)
+            turn = STARS
+            found = staged(_settled(open_, nodes, texts), "links")
         if found.limit(1).count():
-            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            links = links.unionByName(found)
+            roots = components(links)
+        if turn == STARS:
+            break
     named = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     placed = staged(rows.select("doc_id", "key").join(named, "key"), "placed")
     least = staged(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
@@ -307,11 +374,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, that of its least doc_id (a null id counts as the largest), with all its columns."""
-    columns = docs.columns
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    chosen = classes(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
-    keyed = docs.withColumn("_key_", _key(text_or_empty()))
-    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key"))).dropDuplicates(["_id", "_key_"]).select(*columns)
+    chosen = staged(classes(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")), "chosen")
+    plain = [F.col(quoted(f.name)) for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    keyed = docs.select(whole_row(docs), F.col("doc_id").alias("_own_id"), _key(text_or_empty()).alias("_own_key"), F.xxhash64(*plain).alias("_order"))
+    kept = keyed.join(chosen, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")))
+    one = kept.groupBy("_id", "_key").agg(F.min_by("_row", "_order").alias("_row"))
+    return one.select(*own_columns(docs.columns))
 
 
 def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

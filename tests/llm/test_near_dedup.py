@@ -13,8 +13,8 @@ def multiset(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([("short", *w)])
 
 
-def brute(rows):
-    """Least id of each row's single-link class at similarity 0.8."""
+def brute(rows, roots=False):
+    """Least id of each row's single-link class at similarity 0.8; or the classes' own numbers."""
     bags = [multiset(r[1]) for r in rows]
     root = list(range(len(rows)))
 
@@ -27,6 +27,8 @@ def brute(rows):
         low = sum((bags[i] & bags[j]).values())
         if 5 * low >= 4 * sum((bags[i] | bags[j]).values()):
             root[find(i)] = find(j)
+    if roots:
+        return [find(i) for i in range(len(rows))]
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
@@ -63,8 +65,44 @@ def test_links_across_components_are_found(spark, tmp_path):
 
 def test_small_groups_agree(spark, documents, monkeypatch):
     folder, rows = documents
-    monkeypatch.setattr(bm, "GROUP", 1)
-    assert sorted((str(r.doc_id), str(r.class_id)) for r in bm.op10_bag_minhash(spark, folder).collect()) == brute(rows)
+    for group, side in ((1, 60), (3, 10**6)):
+        monkeypatch.setattr(bm, "GROUP", group)
+        monkeypatch.setattr(bm, "SIDE", side)
+        assert sorted((str(r.doc_id), str(r.class_id)) for r in bm.op10_bag_minhash(spark, folder).collect()) == brute(rows)
+
+
+def test_templates_give_links_only(spark, tmp_path, monkeypatch):
+    """Documents of shared segments, most pairs of which share buckets and are not similar enough."""
+    rng = random.Random(6)
+    parts = [[prose(rng, 40) for _ in range(5)] for _ in range(3)]
+    tail = prose(rng, 90)
+    own = [" ".join([*(parts[i][k] for i, k in enumerate(which)), tail]) for which in itertools.product(range(5), repeat=3)]
+    own += [t + " one more" for t in own[::9]]
+    rows = [(i, t, None, None, None) for i, t in enumerate(own)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(bm, "GROUP", 40)
+    found = []
+    settled = bm._settled
+    monkeypatch.setattr(bm, "_settled", lambda *a: found.append(settled(*a)) or found[-1])
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in bm.op10_bag_minhash(spark, str(tmp_path)).collect())
+    assert got == brute(rows) and found and found[0].count() < 3 * len(rows)
+
+
+def test_links_of_a_group_against_brute_force():
+    rng = np.random.default_rng(7)
+    base = bm.mix(rng.integers(1, 1 << 40, 300).astype(np.uint64))
+    group = []
+    for i in range(40):
+        own = np.sort(rng.choice(base, rng.integers(150, 300), replace=False))
+        group.append({"leads": i % 3 == 0, "node": i, "root": i // 2, "bands": rng.integers(0, 6, 30).tolist(), "elements": own.tobytes()})
+    want = set()
+    for a in group:
+        for b in group:
+            x, y = (set(np.frombuffer(r["elements"], np.uint64).tolist()) for r in (a, b))
+            earlier = any(p == q for p, q in zip(a["bands"][:2], b["bands"][:2]))
+            if a["leads"] and not b["leads"] and a["root"] != b["root"] and not earlier and 5 * len(x & y) >= 4 * len(x | y):
+                want.add((a["node"], b["node"]))
+    assert set(bm._links(group, 2)) == want and want
 
 
 def test_signatures_estimate_weighted_jaccard():
@@ -111,7 +149,14 @@ def test_deduplicate(spark):
     classes = {c for _, c in want if c != "None"}
     kept = [r.doc_id for r in out.collect()]
     assert out.columns == df.columns and {str(k) for k in kept if k is not None} == classes
-    assert len(kept) == len(classes) + len({c for _, c in want if c == "None"})
+    assert len(kept) == len(set(brute(df.collect(), True)))  # two classes may have one id as their least
+
+
+def test_deduplicate_is_settled_by_the_row(spark):
+    text = prose(random.Random(1), 60)
+    own = [(1, text, "en", f"s{i}", i) for i in range(6)] + [(2, text + " x", "de", "s", 1)]
+    kept = {bm.deduplicate(spark.createDataFrame(own[i:] + own[:i], SCHEMA).repartition(3)).first() for i in range(3)}
+    assert len(kept) == 1
 
 
 def test_empty_table(spark, nothing):
