@@ -1,11 +1,15 @@
 """Best-fit packing by bin completion over a histogram of piece lengths.
 
-Only 2048 lengths exist, so the search works on their counts: it takes the largest length left, enumerates undominated
-fillings of the room beside it (no unused piece fits into what a filling leaves, largest pieces first), takes the one of
-least waste as often as the counts allow, and goes on; that first descent is the best-fit incumbent. If it needs more
-sequences than the sum of lengths forces, branch-and-bound goes back over the decisions and tries other fillings, cut
-off where the waste so far cannot beat the incumbent. The search's size depends on the number of lengths, never on the
-number of documents; pieces find their place by their rank within their length, with one small join.
+Only 2048 lengths exist, so the search works on their counts. It takes the largest length left and enumerates, least waste
+first, the fillings of the room beside it that no other dominates (Martello and Toth: none whose pieces, in groups, fit
+into another one's pieces). A decision is a filling and how many sequences get it: all that the counts allow, half, a
+quarter ... or one. The first descent, always the least waste and as often as it goes, is the best-fit incumbent. While it
+needs more sequences than a lower bound (the sum of lengths, and Martello and Toth's L2) branch-and-bound revisits any
+decision, by limited discrepancy: first all packings that leave the descent once, then twice, and so on, cut off where the
+waste so far cannot beat the incumbent. The search is over when the bound is met, when nothing was left out (the packing
+is then optimal), or after EFFORT units of work, a unit being one decision over one length; more effort never harms. The
+search's size depends on the number of lengths, never on the number of documents; pieces find their place by their rank
+within their length, with one small join.
 
 Defined cases: a null text is an empty one, which is one piece with the end id alone; repeated rows and repeated ids are
 packed as often as they come; pieces of one length are interchangeable, so ties only decide which sequence of equal
@@ -29,8 +33,8 @@ from quillbase.llm.common import documents, encoder, give_back, staged, text_blo
 ROOM = 2048
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-#: Nodes of one enumeration of fillings, fillings kept of it, and decisions that branch-and-bound may redo.
-NODES, FILLINGS, REDONE = 4000, 8, 400
+#: Decisions times lengths after which the search for a better packing ends.
+EFFORT = 600_000
 #: Bytes of text encoded at once.
 BLOCK = 8 << 20
 
@@ -61,37 +65,70 @@ def pieces(docs: DataFrame, vocabulary_file: str, room: int = ROOM, end: int = E
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, pieces) of undominated fillings of `room`, least waste first, of `lengths` in falling order."""
-    out: list[tuple[int, tuple[int, ...]]] = []
-    nodes = 0
-
-    def go(first: int, left: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal nodes
-        fits = False
-        lo, hi = first, len(lengths)
-        while lo < hi:  # the first length that fits
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
-        for i in range(lo, len(lengths)):
-            n = lengths[i]
-            if counts[n] <= chosen.count(n):
-                continue
-            fits = True
-            nodes += 1
-            if go(i, left - n, (*chosen, n)) or nodes > NODES:
-                return True
-            if out and len(chosen) and left - n > out[0][0] and n * 8 < room:
-                break
-        if not fits:
-            out.append((left, chosen))
-            out.sort(key=lambda x: (x[0], len(x[1])))
-            del out[FILLINGS:]
-            return left == 0
-        return False
-
-    go(0, room, ())
-    return out or [(room, ())]
+def _reachable(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each i the sums up to `room` of pieces of lengths[i:], as the bits of a number."""
+    out, sums, most = [1] * (len(lengths) + 1), 1, (1 << (room + 1)) - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        n, left, k = lengths[i], min(counts[lengths[i]], room // lengths[i]), 1
+        while left:  # 1, 2, 4 ... pieces at once
+            k = min(k, left)
+            sums |= sums << n * k & most
+            left, k = left - k, 2 * k
+        out[i] = sums
+    return out
+
+
+def _exact(lengths: list[int], counts: dict[int, int], reach: list[int], i: int, left: int) -> Iterator[tuple[int, ...]]:
+    """Pieces of lengths[i:] of sum `left`, the largest first; every branch leads to one."""
+    if not left:
+        yield ()
+        return
+    while reach[i] >> left & 1:
+        n = lengths[i]
+        for k in range(min(counts[n], left // n), 0, -1):
+            if reach[i + 1] >> left - n * k & 1:
+                for rest in _exact(lengths, counts, reach, i + 1, left - n * k):
+                    yield (n,) * k + rest
+        i += 1
+
+
+def dominated(filling: tuple[int, ...], counts: dict[int, int], waste: int) -> bool:
+    """Whether a piece that is left could take the place of some of the filling's (or of none) in the same room.
+
+    That is Martello and Toth's dominance, a step at a time: pieces of sum x - waste to x give way to one of length x.
+    Two or more of sum x do so too, as smaller pieces are easier to place.
+    """
+    one, many = 0, 0  # sums of single pieces, of several
+    for n in filling:
+        many |= (many | one) << n
+        one |= 1 << n
+    left = 0
+    for n, c in counts.items():
+        if c > filling.count(n):
+            left |= 1 << n
+    if left & many:
+        return True
+    less = (one | many | 1) << 1  # 1 to `waste` more
+    reach = 1
+    while reach < waste:
+        step = min(reach, waste - reach)
+        less |= less << step
+        reach += step
+    return bool(waste and left & less)
+
+
+def completions(counts: dict[int, int], room: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, pieces) of the undominated fillings of `room`, least waste first, then largest pieces first."""
+    if counts.get(room):
+        yield 0, (room,)  # one piece that fits exactly dominates all else
+        return
+    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    reach = _reachable(lengths, counts, room)
+    for waste in range(room + 1):
+        if reach[0] >> room - waste & 1:
+            for filling in _exact(lengths, counts, reach, 0, room - waste):
+                if not dominated(filling, {n: counts[n] for n in lengths}, waste):
+                    yield waste, filling
 
 
 @dataclass(frozen=True)
@@ -102,56 +139,108 @@ class Pattern:
     times: int
 
 
-def solve(histogram: dict[int, int], room: int = ROOM) -> list[Pattern]:
-    """Patterns that use every piece of the histogram once."""
-    need = -(-sum(n * c for n, c in histogram.items()) // room)
+def lower_bound(histogram: dict[int, int], room: int = ROOM) -> int:
+    """Sequences that any packing needs: the sum of lengths, and L2 (for each k, pieces over half a room beside those under k)."""
+    counts = np.zeros(room + 1, np.int64)
+    for n, c in histogram.items():
+        counts[n] = c
+    number, total = np.cumsum(counts), np.cumsum(counts * np.arange(room + 1))
+    best = -(-int(total[-1]) // room)
+    half = room // 2
+    for k in range(half + 1):
+        alone = int(number[room] - number[room - k])  # over room - k: no piece of k or more fits beside
+        large, sum_large = int(number[room - k] - number[half]), int(total[room - k] - total[half])
+        small = int(total[half] - (total[k - 1] if k else 0))
+        best = max(best, alone + large + max(0, -(-(small - (large * room - sum_large)) // room)))
+    return best
+
 
-    def take(counts: dict[int, int], rank: int) -> Pattern:
+class _Search:
+    """Limited discrepancy search over decisions (filling, times)."""
+
+    def __init__(self, histogram: dict[int, int], room: int, effort: int):
+        self.room, self.effort, self.cut = room, effort, False
+        self.counts = {n: c for n, c in histogram.items() if c}
+        self.total = sum(n * c for n, c in self.counts.items())
+        self.best: list[Pattern] = []
+        self.used = 0
+
+    def sequences(self) -> int:
+        return sum(p.times for p in self.best)
+
+    def options(self, counts: dict[int, int]) -> Iterator[Pattern]:
+        """Decisions for the largest length: fillings by waste, each as often as it goes, half as often ... once."""
         top = max(counts)
-        counts[top] -= 1
-        lengths = sorted((n for n, c in counts.items() if c and n <= room - top), reverse=True)
-        options = fillings(lengths, counts, room - top) if room > top else [(0, ())]
-        counts[top] += 1
-        chosen = (top, *options[min(rank, len(options) - 1)][1])
-        times = min(counts[n] // chosen.count(n) for n in set(chosen))
-        for n in set(chosen):
-            counts[n] -= times * chosen.count(n)
+        rest = dict(counts)
+        rest[top] -= 1
+        for _, filling in completions(rest, self.room - top):
+            lengths = (top, *filling)
+            times = min(counts[n] // lengths.count(n) for n in set(lengths))
+            while times:
+                yield Pattern(lengths, times)
+                times //= 2
+
+    def apply(self, counts: dict[int, int], p: Pattern) -> int:
+        """Takes the pattern's pieces out of `counts`; its waste."""
+        for n in set(p.lengths):
+            counts[n] -= p.times * p.lengths.count(n)
             if not counts[n]:
                 del counts[n]
-        return Pattern(chosen, times)
-
-    def descend(counts: dict[int, int], done: list[Pattern], rank: int, most: float) -> list[Pattern] | None:
-        """Best fit from here, but with the filling of that rank as long as the largest length stays; None once the waste forbids under `most` sequences."""
-        done, wasted = list(done), sum(p.times * (room - sum(p.lengths)) for p in done)
-        allowed = (most - 1) * room - total
-        top = max(counts, default=0)
-        while counts:
-            pattern = take(counts, rank if max(counts) == top else 0)
-            done.append(pattern)
-            wasted += pattern.times * (room - sum(pattern.lengths)) if counts else 0
-            if wasted > allowed:
-                return None
-        return done if sum(p.times for p in done) < most else None
-
-    total = sum(n * c for n, c in histogram.items())
-    counts = {n: c for n, c in histogram.items() if c}
-    best = descend(dict(counts), [], 0, float("inf")) or []
-    redone = 0
-    back = len(best) - 1
-    while sum(p.times for p in best) > need and back >= 0 and redone < REDONE:
-        left = dict(counts)
-        for p in best[:back]:
-            for n in p.lengths:
-                left[n] -= p.times
-        left = {n: c for n, c in left.items() if c}
-        for rank in range(1, FILLINGS):
-            redone += 1
-            other = descend(dict(left), best[:back], rank, sum(p.times for p in best))
-            if other:
-                best, back = other, len(other)
+        return p.times * (self.room - sum(p.lengths))
+
+    def allowed(self) -> float:
+        return (self.sequences() - 1) * self.room - self.total if self.best else float("inf")
+
+    def wave(self, counts: dict[int, int], done: list[Pattern], wasted: int, discrepancies: int) -> None:
+        """All packings that begin with `done` and leave the first options so many times."""
+        begin, start, first = len(done), dict(counts), list(done)
+        spent = [wasted]
+        while counts and wasted <= self.allowed():
+            self.used += 1
+            p = next(self.options(counts))
+            wasted += self.apply(counts, p)
+            first.append(p)
+            spent.append(wasted)
+        if not counts and wasted <= self.allowed():
+            self.best = first
+        for k, p in enumerate(first[begin:]):
+            if self.done():
+                return
+            if spent[k] > self.allowed():
                 break
-        back -= 1
-    return best
+            for i, other in enumerate(self.options(start)):
+                if i == 0:
+                    continue
+                if spent[k] + self.room - sum(other.lengths) > self.allowed():
+                    break  # fillings come by waste, so no later one will do
+                if not discrepancies:
+                    self.cut = True
+                    break
+                branch = dict(start)
+                waste = self.apply(branch, other)
+                if spent[k] + waste <= self.allowed():
+                    self.wave(branch, [*first[: begin + k], other], spent[k] + waste, discrepancies - 1)
+                if self.done():
+                    return
+            self.apply(start, p)
+
+    def done(self) -> bool:
+        return self.sequences() <= self.need or self.used * (len(self.counts) + 10) > self.effort
+
+    def run(self) -> list[Pattern]:
+        self.need = lower_bound(self.counts, self.room)
+        self.wave(dict(self.counts), [], 0, 0)
+        discrepancies = 1
+        while self.cut and not self.done():
+            self.cut = False
+            self.wave(dict(self.counts), [], 0, discrepancies)
+            discrepancies += 1
+        return self.best
+
+
+def solve(histogram: dict[int, int], room: int = ROOM, effort: int = EFFORT) -> list[Pattern]:
+    """Patterns that use every piece of the histogram once."""
+    return _Search(histogram, room, effort).run()
 
 
 def _places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
