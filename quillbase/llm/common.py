@@ -176,6 +176,8 @@ class PieceCache:
         #: Two generations: what was used since the younger one began, and what was known before.
         self.cache: dict[str, bytes] = kept({})
         self.old: dict[str, bytes] = kept({})
+        #: Strings whose texts are encoded in one go.
+        self.openings: list[str] = []
         #: Ids of marks that are tokens of their own after a letter; a piece that ends in one is put together.
         self.marks: dict[str, bytes] = {}
 
@@ -245,7 +247,9 @@ class PieceCache:
         piece, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.cache.get, words))
         missing = [i for i, b in enumerate(ids) if b is None]
-        whole = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False) if self.joined else np.zeros(len(texts), bool)
+        whole = np.zeros(len(texts), bool)
+        for s in [*self.openings, "\0"] if self.joined else self.openings:
+            whole |= pc.match_substring(texts, s, ignore_case=s != "\0").to_numpy(zero_copy_only=False)
         if missing:
             bound = self._fill(words, ids, missing)
             if bound:
@@ -266,7 +270,7 @@ class PieceCache:
         return out
 
 
-_encoders: dict[tuple[str, bool], CachedEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], CachedEncoder] = {}
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -280,17 +284,21 @@ _BYTE_ALPHABET = _byte_alphabet()
 
 
 class CachedEncoder(PieceCache):
-    """The tokenizers library's ids. Both vocabularies split at spaces and line feeds before anything else."""
+    """The tokenizers library's ids. Both vocabularies split at spaces and line feeds before anything else.
+
+    Strings of special tokens are ordinary text, or with `special` those tokens; texts that may hold one are then encoded in one go.
+    """
 
     MARKS = ".,;:!?"
     PROBES = ("a", "The", " the", " Word", "naïve", " Größe", " ÉCOLE", "œuvre", " ñandú", "verständigung", " supercalifragilistic")
 
-    def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES, special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__(joined, entries)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.openings = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}) if special else []
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         # a word of letters is one pre-token; whether its model ids are the tokenizer's is tried out once
@@ -333,11 +341,11 @@ class CachedEncoder(PieceCache):
         return not piece or piece[-1].isspace() or piece[1:2].isspace()
 
 
-def encoder(path: str, joined: bool, entries: int = CACHE_ENTRIES) -> CachedEncoder:
+def encoder(path: str, joined: bool, entries: int = CACHE_ENTRIES, special: bool = False) -> CachedEncoder:
     """One encoder for each Python worker."""
-    key = (path, joined)
+    key = (path, joined, special)
     if key not in _encoders:
-        _encoders[key] = CachedEncoder(path, joined, entries)
+        _encoders[key] = CachedEncoder(path, joined, entries, special)
     return _encoders[key]
 
 

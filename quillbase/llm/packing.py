@@ -11,6 +11,8 @@ is then optimal), or after EFFORT units of work, a unit being one decision over
 search's size depends on the number of lengths, never on the number of documents; pieces find their place by their rank
 within their length, with one small join.
 
+The strings of the vocabulary's special tokens are ordinary text, as in token files; `special=True` gives their ids.
+
 Defined cases: a null text is an empty one, which is one piece with the end id alone; repeated rows and repeated ids are
 packed as often as they come; pieces of one length are interchangeable, so ties only decide which sequence of equal
 makeup a piece goes to; other columns are ignored; an empty table gives an empty result.
@@ -39,11 +41,11 @@ EFFORT = 600_000
 BLOCK = 8 << 20
 
 
-def pieces(docs: DataFrame, vocabulary_file: str, room: int = ROOM, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary_file: str, room: int = ROOM, end: int = END, special: bool = False) -> DataFrame:
     """Every document's ids and end id, cut into pieces; `nth` counts the pieces of a length within the partition `part`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = encoder(vocabulary_file, False), TaskContext.get().partitionId()
+        tokens, part = encoder(vocabulary_file, False, special=special), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
@@ -285,8 +287,9 @@ def place(cut: DataFrame, room: int = ROOM) -> DataFrame:
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, vocabulary_file: str | None = None) -> DataFrame:
-    return place(staged(pieces(docs, vocabulary_file or vocabulary("word_bpe_49k.json")), "pieces"))
+def pack(docs: DataFrame, vocabulary_file: str | None = None, special: bool = False) -> DataFrame:
+    """Pieces and their places; `special`: strings of special tokens in a text become those tokens."""
+    return place(staged(pieces(docs, vocabulary_file or vocabulary("word_bpe_49k.json"), special=special), "pieces"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

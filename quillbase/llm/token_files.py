@@ -1,14 +1,19 @@
 """Token-ID output: shards of ids under Re-Pair grammar compression, with random access.
 
-Documents are dealt by ranges of doc_id, encoded, and cut into shards of about SHARD ids. Within a shard, rounds of
-Re-Pair count all adjacent pairs, give the most frequent ones a nonterminal each and replace them from the left; pairs
-never cross a document's end id, so a document starts at a symbol. A shard's record is a binary file body: header,
-rules, expansion lengths, the documents' first symbols, symbols. All ids and nonterminals fit 16 bits, as the
-vocabulary leaves room for 65536 - 50257 nonterminals. Spark writes the records into Parquet files, so any store that
-Spark can reach will do, and a lost task leaves nothing behind.
-
-Defined cases: a null text is empty and holds the end id alone; null ids come first; repeated ids and rows stay apart,
-in order of text; very long texts make a larger shard; other columns are ignored; an empty table gives empty files.
+Documents are dealt by ranges of doc_id, encoded, and cut into shards of about SHARD ids. Within a shard Re-Pair replaces
+adjacent pairs that occur LEAST times or more by nonterminals until none is left or 16 bits name no more. It works in
+rounds: a round counts all pairs, and where frequent pairs overlap the more frequent one wins, so the most frequent pair
+of a round is always replaced; what it leaves and what its nonterminals form is counted again in the next round. Pairs
+never cross a document's end id, so a document starts at a symbol. A shard's record is a binary file body: header, rules,
+expansion lengths, the documents' first symbols, symbols. Memory is bounded by the shard. Spark writes the records into
+Parquet files, so any store that Spark can reach will do, and a lost task leaves nothing behind.
+
+The strings of the vocabulary's special tokens are ordinary text, as the vocabularies' own notes set it
+(encode_special_tokens); `special=True` gives their ids instead, which is what the library does when nothing is set.
+
+Defined cases: a null text is empty and holds the end id alone; null ids come first; repeated ids and rows stay apart, in
+order of their place in the input, and are dealt to several tasks if they are many; very long texts make a larger shard;
+other columns are ignored; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -29,56 +34,73 @@ END = 2
 #: First nonterminal.
 TERMINALS = 50257
 SHARD = 1 << 18
-ROUNDS, RULES_A_ROUND, LEAST = 3, 2000, 16
+#: Occurrences that a pair needs.
+LEAST = 16
 MAGIC = b"QRPR1\0\0\0"
 FILES = "part int, shard int, before long, n_ids long, docs array<long>, body binary"
 BLOCK = 8 << 20
 #: Pieces a worker keeps; it compresses besides.
 ENTRIES = 1_400_000
-_BUCKETS = 16
-
-
-def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray]:
+#: Bits of the hash by which pairs are counted.
+_BITS = 18
+#: Longest expansion that is looked up whole when symbols are expanded.
+SHORT = 64
+
+
+def _frequent(symbols: np.ndarray, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that occur `least` times or more, overlaps counted, and the pairs there."""
+    key = symbols[:-1] << np.uint32(16) | symbols[1:]
+    bucket = (key * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
+    often = np.bincount(bucket, minlength=1 << _BITS) >= least
+    at = np.flatnonzero(often[bucket])
+    key = key[at]
+    inside = (key >> np.uint32(16) != end) & (key & np.uint32(65535) != end)
+    return at[inside], key[inside]
+
+
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which places are replaced: those whose pair ranks before the pairs that overlap it; of equal ones every other, from the left."""
+    first = np.r_[True, (np.diff(at) > 1) | (rank[1:] != rank[:-1])]
+    nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    order = 2 * rank + (nth & 1)
+    beside = np.diff(at) == 1
+    lower = order[1:] < order[:-1]
+    return np.r_[True, ~beside | lower] & np.r_[~beside | ~lower, True]
+
+
+def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules[i] is the pair that nonterminal terminals + i stands for."""
-    symbols, rules = ids.astype(np.uint32), []
-    made = terminals
-    for _ in range(ROUNDS):
-        room = min(RULES_A_ROUND, 65536 - made)
-        if len(symbols) < 2 or room < 1:
-            break
-        key = symbols[:-1] << np.uint32(16) | symbols[1:]
-        bucket = (key * np.uint32(2654435761)) >> np.uint32(32 - _BUCKETS)
-        counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-        floor = max(LEAST, int(np.partition(counts, -room)[-room]))
-        at = np.flatnonzero((counts >= floor)[bucket] & (symbols[:-1] != end) & (symbols[1:] != end))
-        if not len(at):
-            break
-        pairs = np.sort(key[at])
-        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        sizes = np.diff(np.r_[starts, len(pairs)])
-        best = np.argsort(-sizes, kind="stable")[:room]
-        best = pairs[starts[best[sizes[best] >= LEAST]]]
-        # of the pairs of a bucket the most frequent is replaced now, the others in a later round
-        best = best[np.sort(np.unique((best * np.uint32(2654435761)) >> np.uint32(32 - _BUCKETS), return_index=True)[1])]
+    symbols, rules, made = ids.astype(np.uint32), [], terminals
+    while len(symbols) > 1 and made < 65536:
+        at, key = _frequent(symbols, end, least)
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(at) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(at)])
+        best = np.flatnonzero(sizes >= least)
         if not len(best):
             break
-        place = (best * np.uint32(2654435761)) >> np.uint32(32 - _BUCKETS)
-        wanted, name = np.zeros(1 << _BUCKETS, np.uint32), np.zeros(1 << _BUCKETS, np.uint32)
-        wanted[place], name[place] = best, made + np.arange(len(best))
-        chosen = np.zeros(1 << _BUCKETS, bool)
-        chosen[place] = True
-        own = bucket[at]
-        hit = chosen[own] & (wanted[own] == key[at])
-        at, names = at[hit], name[own[hit]]
-        rules.append(np.stack([best >> np.uint32(16), best & np.uint32(65535)], 1).astype(np.uint16))
-        new_run = np.r_[True, np.diff(at) > 1]  # of overlapping pairs, every other one from the left
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at, names = at[nth % 2 == 0], names[nth % 2 == 0]
-        symbols[at] = names
+        best = best[np.argsort(-sizes[best], kind="stable")]
+        rank = np.full(len(starts), -1)
+        rank[best] = np.arange(len(best))
+        of = np.empty(len(at), np.int64)
+        of[order] = np.repeat(rank, sizes)
+        at, of = at[of >= 0], of[of >= 0]
+        won = _winners(at, of)
+        at, of = at[won], of[won]
+        # a rule takes as much room as four symbols: pairs that overlaps leave few of wait for a later round, but for the first
+        used = np.bincount(of, minlength=len(best)) >= least // 2
+        used[0] = True
+        used[np.flatnonzero(used)[65536 - made :]] = False
+        name = np.cumsum(used) - 1 + made
+        at, of = at[used[of]], of[used[of]]
+        pairs = ordered[starts[best[used]]]
+        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(65535)], 1).astype(np.uint16))
+        symbols[at] = name[of]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        made += len(best)
+        made += len(pairs)
     return symbols.astype(np.uint16), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
 
@@ -110,24 +132,32 @@ class Shard:
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All symbols' expansions one after another, and where each begins."""
+        """Expansions of up to SHORT ids one after another, and where each symbol's begins; longer ones are left out."""
         if self._table is None:
-            sizes = np.concatenate([np.ones(self.terminals, np.int32), self.lengths.astype(np.int32)])
+            short = self.lengths <= SHORT
+            sizes = np.concatenate([np.ones(self.terminals, np.int32), np.where(short, self.lengths, 0).astype(np.int32)])
             begin = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
-            made = self.rules.reshape(-1).astype(np.int32)
-            while len(rule := np.flatnonzero(made >= self.terminals)):  # a rule names pairs of earlier rounds only
-                size = np.ones(len(made), np.int32)
-                size[rule] = 2
-                first = (np.cumsum(size) - size)[rule]
-                pair = self.rules[made[rule] - self.terminals]
-                made = np.repeat(made, size)
-                made[first], made[first + 1] = pair[:, 0], pair[:, 1]
-            flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), made.astype(np.uint32)])
-            self._table = (flat, begin)
+            made = self._halved(self.rules[short].reshape(-1), 1)
+            self._table = (np.concatenate([np.arange(self.terminals, dtype=np.uint32), made.astype(np.uint32)]), begin)
         return self._table
 
+    def _halved(self, symbols: np.ndarray, most: int) -> np.ndarray:
+        """Symbols of expansions of over `most` ids replaced by their pairs, again and again."""
+        made = symbols.astype(np.int32)
+        lengths = np.concatenate([np.ones(self.terminals, np.int64), self.lengths])
+        while len(rule := np.flatnonzero(lengths[made] > most)):
+            size = np.ones(len(made), np.int32)
+            size[rule] = 2
+            first = (np.cumsum(size) - size)[rule]
+            pair = self.rules[made[rule] - self.terminals]
+            made = np.repeat(made, size)
+            made[first], made[first + 1] = pair[:, 0], pair[:, 1]
+        return made
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, begin = self._expansions()
+        if len(self.lengths) and self.lengths.max() > SHORT:
+            symbols = self._halved(symbols, SHORT)
         start = begin[symbols]
         size = begin[1:][symbols] - start
         out = np.cumsum(size, dtype=np.int64)
@@ -172,11 +202,11 @@ def body(documents_: list[bytes], end: int = END, terminals: int = TERMINALS) ->
     return b"".join([head, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), first.astype("<u4").tobytes(), symbols.astype("<u2").tobytes()])
 
 
-def encode(docs: DataFrame, vocabulary_file: str, end: int = END) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_file: str, end: int = END, special: bool = False) -> DataFrame:
     """Records of FILES; partitions and shards are in ascending order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = encoder(vocabulary_file, True, ENTRIES), TaskContext.get().partitionId()
+        tokens, part = encoder(vocabulary_file, True, ENTRIES, special), TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         held: list[bytes] = []
         ids: list[int] = []
@@ -202,8 +232,8 @@ def encode(docs: DataFrame, vocabulary_file: str, end: int = END) -> DataFrame:
             yield flush()
         give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(width(docs.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place")
     return ordered.mapInArrow(run, FILES)
 
 

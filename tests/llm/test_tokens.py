@@ -3,22 +3,25 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from cases import SCHEMA, clashing, prose, table
+from pyspark.sql import functions as F
 
 from quillbase.llm import common, packing, piece_fst, token_files
 
 BYTE, WORD, PIECE = (common.vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
 
-def library(path):
+def library(path, special=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if not special:
+        t.encode_special_tokens = True  # as the vocabularies' README has it
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -41,12 +44,22 @@ def test_cached_encoder(path, joined):
     assert own.encode(sliced) == [np.array(want(t), "<u4").tobytes() for t in ODD]
 
 
+@pytest.mark.parametrize(("path", "joined"), [(BYTE, True), (WORD, False)])
+def test_special_tokens_in_texts(path, joined):
+    own, want = common.CachedEncoder(path, joined, 40, special=True), library(path, True)
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|>", "<|startoftext|>x", "a <| b", "<|endoftext|>" * 3, " <|endoftext|>\n", "plain, text. é", *ODD]
+    assert own.encode(pa.array(texts)) == [np.array(want(t), "<u4").tobytes() for t in texts]
+    assert own.encode(pa.array(texts[:1])) != common.CachedEncoder(path, joined, 40).encode(pa.array(texts[:1]))
+
+
 def test_token_files(spark, documents):
     folder, rows = documents
     got = token_files.op3_token_files(spark, folder).orderBy("start").collect()
     encode = library(BYTE)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    files = token_files.encode(spark.read.parquet(f"{folder}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long")), BYTE)
+    assert files.select("part").distinct().count() > 1  # rows of one id are dealt to several tasks
     want = sorted(str((r[0], len(encode(r[1])) + 1, crc([*encode(r[1]), 2]))) for r in rows)
     assert sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got) == want
 
@@ -83,6 +96,21 @@ def test_repair_is_a_grammar():
         token_files.body([np.array([60000], "<u4").tobytes()])
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(2)
+    phrase = rng.integers(3, 50257, 400)
+    words = [rng.integers(3, 300, rng.integers(1, 30)) for _ in range(200)]
+    text = np.concatenate([words[min(int(k), 199)] for k in rng.exponential(30, 4000)])
+    for ids in (np.tile(phrase, 600), np.full(70_000, 9), text, np.where(rng.random(len(text)) < 0.01, 2, text), np.tile([5, 6, 5, 7, 5], 5000)):
+        symbols, rules = token_files.repair(ids.astype(np.uint32))
+        pairs = Counter((a, b) for a, b in zip(symbols.tolist(), symbols[1:].tolist()) if 2 not in (a, b))
+        assert max(pairs.values(), default=0) < token_files.LEAST and len(rules) < 65536 - token_files.TERMINALS
+    symbols, rules = token_files.repair(np.tile(phrase, 600).astype(np.uint32))
+    assert len(symbols) + 2 * len(rules) < 2500 and token_files.expansion_lengths(rules).max() > 400
+    shard = token_files.Shard(token_files.body([np.tile(phrase, 600).astype("<u4").tobytes()]))
+    assert (shard.document(0) == np.tile(phrase, 600)).all() and (shard.ids(777, 200_001) == np.tile(phrase, 600)[777:200_001]).all()
+
+
 def test_packing(spark, documents):
     folder, rows = documents
     got = packing.op6_best_fit_packing(spark, folder).collect()
