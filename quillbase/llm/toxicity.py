@@ -1,14 +1,15 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words are lower-cased letter runs split at white space and stripped of punctuation; features are words, word pairs and
-pairs with one word between, hashed into 2 ** BITS weights. Training is follow-the-regularised-leader with a rate of its
+Words are lower-cased letter runs split at white space and stripped of punctuation (Arrow's rules, in training and scoring
+alike); features are words, word pairs and pairs with one word between, hashed into 2 ** BITS weights. Training is follow-the-regularised-leader with a rate of its
 own for every coordinate and L1, so most weights are exactly 0 and the rest are a small broadcast. It runs on the driver
 over at most `rows` labelled documents (those of least hashed id, half of them toxic where there are enough), whose
 features executors compute; scoring covers every document.
 
 Defined cases: a null text scores as an empty one, by the bias alone; a text's score depends on its words only, so
-repeated rows get equal scores; a null doc_id is held out of training; contradictory labels of an id count as toxic;
-without labels every score is 0.5 by the zero weights; other columns are ignored.
+repeated rows get equal scores; a null doc_id is held out of training; contradictory labels of an id count as toxic; of
+rows that share a labelled id the one of least text is learned from, so the sample is bounded in rows; without labels every
+score is 0.5 by the zero weights; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,21 +21,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, text_or_empty
+from quillbase.llm.common import GOLDEN, U64, WordIds, documents, kept, map_arrow, mix, text_blocks, text_or_empty
 
 BITS = 20
 #: Labelled documents that training may use, each with all its features.
 ROWS = 4000
+#: Bytes of text scored at once.
+BLOCK = 2 << 20
 _STRIP = " .,;:!?\"'()[]{}<>|*#$%&-_/\\+=~`@^"
 _words = kept(WordIds())
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all texts one after another, and the row of each."""
-    split = [[w for w in (p.strip(_STRIP) for p in t.lower().split()) if w] for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    flat = _words.hashes([w for s in split for w in s]) if sizes.sum() else np.zeros(0, U64)
-    rows = np.repeat(np.arange(len(texts)), sizes)
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all texts one after another, and the row of each; only distinct words become Python strings."""
+    import pyarrow.compute as pc
+
+    split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    words = pc.utf8_trim(split.flatten(), characters=_STRIP)
+    parents = pc.list_parent_indices(split).to_numpy()
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    known = _words.hashes(distinct)[coded.indices.to_numpy()] if distinct else np.zeros(0, U64)
+    some = pc.not_equal(words, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)
+    flat, rows = known[some], parents[some].astype(np.int64)
     near, far = rows[1:] == rows[:-1], rows[2:] == rows[:-2]
     pair = mix(flat[:-1] * GOLDEN + flat[1:])[near]
     skip = mix(flat[:-2] * GOLDEN + flat[2:] + U64(1))[far]
@@ -79,9 +88,10 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def scores(self, texts: list[str], dense: np.ndarray) -> np.ndarray:
+    def scores(self, texts: pa.Array, dense: np.ndarray) -> np.ndarray:
         every, rows = features(texts)
-        pairs = np.unique(rows * (1 << BITS) + every)  # a feature counts once
+        held = dense[every] != 0  # most features weigh nothing
+        pairs = np.unique(rows[held] * (1 << BITS) + every[held])  # a feature counts once
         rows, every = pairs >> BITS, pairs & ((1 << BITS) - 1)
         total = np.bincount(rows, dense[every], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
@@ -93,17 +103,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> list[tuple[int, np.ndarray]]:
-    """(label, distinct features) of at most `rows` documents: half of each label at most, of least hashed id."""
+    """(label, distinct features) of at most `rows` documents, one for each id: half of each label at most, of least hashed id."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     some = known.where("label = 1").orderBy(*order).limit(rows // 2).unionByName(known.where("label = 0").orderBy(*order).limit(rows // 2))
-    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    held = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    chosen = held.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        every, row = features(batch.column("text").to_pylist())
-        out = []
-        for i in range(batch.num_rows):
-            out.append(np.unique(every[row == i]).astype("<i4").tobytes())
+        every, row = features(batch.column("text"))
+        pairs = np.unique(row * (1 << BITS) + every)
+        bounds = np.searchsorted(pairs >> BITS, np.arange(batch.num_rows + 1))
+        out = [(pairs[a:b] & ((1 << BITS) - 1)).astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "label", "at"])
 
     got = map_arrow(chosen, of_batch, "doc_id long, label int, at binary").collect()
@@ -138,9 +149,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if not dense:
             dense.append(np.zeros(1 << BITS))
             dense[0][model.at] = model.weight
-        texts, out = batch.column("text").to_pylist(), []
-        for i in range(0, len(texts), 512):
-            out.append(model.scores(texts[i : i + 512], dense[0]))
+        out = [model.scores(texts, dense[0]) for _, texts in text_blocks(batch.column("text"), BLOCK)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(np.concatenate(out))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text"), held_out().alias("held_out"))

@@ -1,12 +1,14 @@
 """URL filter, toxicity, media chunks and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import SCHEMA, clashing, prose, rows, table
 from pyspark.sql import functions as F
@@ -116,10 +118,57 @@ def test_toxicity_edges(spark, nothing, documents):
     assert tx.op5_toxicity(spark, folder).count() == len(own)
     none = tx.fit(clashing(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in tx.score(clashing(spark), none).collect()} == {0.5}
-    every, row = tx.features(["", "One two three", "one TWO, three."])
+    every, row = tx.features(pa.array(["", "One two three", "one TWO, three."]))
     assert row.tolist().count(1) == row.tolist().count(2) == 6 and sorted(every[row == 1]) == sorted(every[row == 2])
 
 
+def plain_ftrl(rows, epochs, alpha, beta, l1):
+    """FTRL-proximal coordinate by coordinate, in plain Python."""
+    z, n, bias = {}, {}, [0.0, 0.0]
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha)
+
+    for _ in range(epochs):
+        for label, at in rows:
+            w = {i: weight(i) for i in at}
+            b = -bias[0] / ((beta + bias[1] ** 0.5) / alpha)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - label
+            for i in at:
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias = [bias[0] + g - ((bias[1] + g * g) ** 0.5 - bias[1] ** 0.5) / alpha * b, bias[1] + g * g]
+    return {i: weight(i) for i in z if weight(i)}, -bias[0] / ((beta + bias[1] ** 0.5) / alpha)
+
+
+def test_weights_and_scores_against_plain_python(spark, tmp_path):
+    rng = random.Random(8)
+    words = prose(rng, 40).split()
+    own = [(i, " ".join([*rng.choices(words, k=rng.randint(0, 30)), *(["Scum!"] if i % 4 == 0 else [])]), None, None, None) for i in range(200)]
+    table(spark, str(tmp_path), own, [(i, 1, int(i % 4 == 0)) for i in range(200)])
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    sample = tx.training_rows(docs, labels, 90)
+    assert len(sample) <= 90 and sum(y for y, _ in sample) <= 45
+    model = tx.fit(docs, labels, rows=90, epochs=6, l1_of_root=0.1)
+    weights, bias = plain_ftrl([(y, at.tolist()) for y, at in sample], 6, 0.5, 1.0, 0.1 * len(sample) ** 0.5)
+    assert set(model.at.tolist()) == set(weights) and len(weights) > 3
+    assert max(abs(weights[i] - w) for i, w in zip(model.at.tolist(), model.weight)) < 1e-9 and abs(bias - model.bias) < 1e-9
+    for r in tx.score(docs, model).collect():
+        (text,) = (t for i, t, *_ in own if i == r.doc_id)
+        ids = {int(x) for x in tx.features(pa.array([text]))[0]}
+        w = [p for p in (q.strip(tx._STRIP) for q in text.lower().split()) if p]
+        assert len(ids) <= len(set(w)) + len(set(zip(w, w[1:]))) + len(set(zip(w, w[2:])))
+        assert abs(r.score - 1 / (1 + math.exp(-sum(weights.get(i, 0.0) for i in ids) - bias))) < 1e-9
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (7, 1)], "doc_id long, toxic int")
+    assert len(tx.training_rows(docs, labels, 10)) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2))
+
+
 def test_ftrl_is_sparse():
     model, rng = tx.Ftrl(l1=5.0), np.random.default_rng(0)
     for _ in range(2000):

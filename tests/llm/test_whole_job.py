@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from cases import SCHEMA, prose
 
 from quillbase.llm import bag_minhash as bm
@@ -68,5 +69,5 @@ def test_training_takes_all_features_of_a_row(spark):
     docs = spark.createDataFrame([(i, text, None, None, None) for i in range(8)], SCHEMA)
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
     sample = tx.training_rows(docs, labels, 100)
-    want = len(set(tx.features([text])[0].tolist()))
+    want = len(set(tx.features(pa.array([text]))[0].tolist()))
     assert want > 8000 and sample and all(len(at) == want for _, at in sample)
