@@ -1,15 +1,19 @@
-"""Media columns: content-defined chunking, chunk store and verified reconstruction.
+"""Media columns: content-defined chunking, deduplicated chunks and verified reconstruction.
 
 A payload is cut where a rolling gear hash of its last 32 bytes has a number of leading zeros, between a least and a most
-number of bytes after the last cut; texts are cut by TEXT, well under the length of a typical text. Tasks write what they chunk as packs, with no shuffle; of all copies of a digest one row becomes
-canonical (an aggregation over digests alone), and an ordered chunk list names each payload's digests. Reading goes
-through the list: payloads of one chunk are verified where their chunk lies, longer ones pull their canonical chunks by
-a join, come together by payload in order, and are hashed as a stream, so no payload is held whole. Copies that are not
-canonical are never read and can be dropped by a compaction.
+number of bytes after the last cut; texts are cut by TEXT, well under the length of a typical text. Tasks write what they
+cut as packs, with no shuffle: one row for each payload, its bytes and the digests and sizes of its chunks, the first time
+a batch meets it. Of all rows of a payload one is its reader, and of all places of a digest among readers one is canonical,
+by aggregations and joins over digests alone. A payload is read back through its ordered chunk list, each chunk from its
+canonical place: if all are its own they are read where they lie; others are fetched by joins over digests and come
+together by payload, in order. Rows that are neither are not read, and could be dropped.
 
-A payload's stored form is its chunk list file (magic, count, and for each chunk its SHA-256, length and stored length)
-followed by its chunks, zstd-compressed; `media_bytes` is the length of both, `media_sha256` the digest of the list,
-which fixes the rest. A payload that does not hash to the key under which it was stored raises an error.
+Which rows need a join is told by a bit filter over their places, a broadcast of BITS / 8 bytes at any size of the
+corpus: a row that the filter names by chance takes the join too, to the same result.
+
+A payload's stored form is its chunk list file (magic, count, and for each chunk its SHA-256 and length) followed by its
+chunks' 8-bit samples in order. `media_bytes` is its length and `media_sha256` its digest, both taken as it is read back.
+A payload that does not hash to the key under which it was stored raises an error, as does a chunk that is missing.
 
 Defined cases: null and empty texts have a payload of 576 bytes 255; rows are keyed by payload, not by id, so repeated
 rows, repeated ids and equal texts get equal values, one row for each input row; other columns are ignored; an empty
@@ -21,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +39,18 @@ UNIT = 576
 LEAST, MOST, CUT_BITS = 2048, 131072, 15
 #: Least, most and leading zeros by which texts are cut: chunks of about 1.3 KB.
 TEXT = (256, 8192, 10)
-MAGIC = b"QCDC1\0\0\0"
-LEVEL = 3
+MAGIC = b"QCDC2\0\0\0"
 #: Bytes hashed at once within a batch.
 BLOCK = 4 << 20
+#: Bits of the filter over places, and bits that a place sets.
+BITS, HASHES = 1 << 25, 4
 
-PACK = "doc_id long, payload binary, seq int, n_chunks int, n_bytes long, digest binary, data binary, list binary, media_bytes long"
-READ = "payload binary, payload_bytes long, tail_crc32 long, feature string"
+PACK = "doc_id long, payload binary, n_bytes long, digests array<binary>, sizes array<int>, data binary"
+READ = "payload binary, payload_bytes long, tail_crc32 long, media_bytes long, media binary, feature string"
+_HELD = ("place", "payload", "digests", "sizes", "data")
+_HELD_TYPES = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+_NAMES = tuple(c.split()[0] for c in READ.split(", "))
+_TYPES = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -79,43 +88,26 @@ def payloads(column: pa.Array) -> tuple[list[bytes], list[int]]:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """One row for each chunk of each document, with the compressed bytes the first time a batch meets them.
-
-    The first chunk's row has the payload's chunk list file and the length of the stored form.
-    """
+    """One row for each document; chunks and bytes of its payload the first time a batch meets it. `place` numbers the rows."""
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=LEVEL)
         whole, lengths = payloads(batch.column("text"))
-        seen: dict[bytes, int] = {}
-        held: set[tuple[bytes, bool]] = set()  # payloads of one chunk are read without a join, so they hold their own copy
+        seen: set[bytes] = set()
         rows: list[tuple] = []
         for i, j in runs([len(p) for p in whole], BLOCK):
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in whole[i:j]])])
             for k, ends in enumerate(cuts(np.frombuffer(b"".join(whole[i:j]), np.uint8), offsets, *TEXT), i):
-                key, at, base, first = hashlib.sha256(whole[k]).digest(), 0, int(offsets[k - i]), len(rows)
-                entries, media = [], 0
-                for seq, end in enumerate(ends):
-                    part = whole[k][at : end - base]
-                    at = end - base
-                    digest = key if len(ends) == 1 else hashlib.sha256(part).digest()
-                    data, kind = None, (digest, len(ends) == 1)
-                    if kind not in held:
-                        data = press.compress(part)
-                        seen[digest] = len(data)
-                        held.add(kind)
-                    entries.append(digest + struct.pack(">II", len(part), seen[digest]))
-                    media += seen[digest]
-                    rows.append((k, key, seq, len(ends), lengths[k], digest, data, None, None))
-                listed = MAGIC + struct.pack(">I", len(ends)) + b"".join(entries)
-                rows[first] = (*rows[first][:-2], listed, media + len(listed))
-        cols = list(zip(*rows, strict=True))
-        ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(cols[0], pa.int64()))
-        types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+                key = hashlib.sha256(whole[k]).digest()
+                if key in seen:
+                    rows.append((key, lengths[k], None, None, None))
+                    continue
+                seen.add(key)
+                bounds = [0, *[e - int(offsets[k - i]) for e in ends]]
+                digests = [key] if len(ends) == 1 else [hashlib.sha256(whole[k][a:b]).digest() for a, b in zip(bounds[:-1], bounds[1:])]
+                rows.append((key, lengths[k], digests, [b - a for a, b in zip(bounds[:-1], bounds[1:])], whole[k]))
+        types = (pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
         names = [c.split()[0] for c in PACK.split(", ")]
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=names)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 
     return map_arrow(docs.select("doc_id", "text"), of_batch, PACK).withColumn("place", F.monotonically_increasing_id())
 
@@ -128,96 +120,171 @@ def feature(histogram: np.ndarray) -> str:
     return f"samples={n};mean={mean:.4f};deviation={spread:.4f};entropy={-float((p * np.log2(p)).sum()):.4f}"
 
 
-class _Stream:
-    """Digest, tail and histogram of a payload that arrives in parts."""
+def listing(digests: Sequence[bytes], sizes: Sequence[int]) -> bytes:
+    """The chunk list file."""
+    return MAGIC + struct.pack(">I", len(digests)) + b"".join(d + struct.pack(">I", n) for d, n in zip(digests, sizes, strict=True))
 
-    def __init__(self, key: bytes):
-        self.key, self.n, self.sha, self.tail, self.histogram = key, 0, hashlib.sha256(), b"", np.zeros(256, np.int64)
 
-    def add(self, part: bytes) -> None:
-        self.n += len(part)
-        self.sha.update(part)
-        self.tail = (self.tail + part)[-32:]
-        self.histogram += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+def _row(key: bytes, digests: Sequence[bytes], sizes: Sequence[int], chunks: Iterator[bytes]) -> tuple:
+    """A row of READ from a payload's chunk list and its chunks in order, which are hashed as they come."""
+    head = listing(digests, sizes)
+    own, media, n, tail, histogram = hashlib.sha256(), hashlib.sha256(head), 0, b"", np.zeros(256, np.int64)
+    for chunk in chunks:
+        n += len(chunk)
+        own.update(chunk)
+        media.update(chunk)
+        tail = (tail + chunk)[-32:]
+        histogram += np.bincount(np.frombuffer(chunk, np.uint8), minlength=256)
+    if own.digest() != key:
+        raise ValueError(f"stored payload {key.hex()} reads back as {own.hexdigest()}")
+    return own.digest(), n, zlib.crc32(tail), len(head) + n, media.digest(), feature(histogram)
 
-    def row(self) -> tuple:
-        if self.sha.digest() != self.key:
-            raise ValueError(f"stored payload {self.key.hex()} reads back as {self.sha.hexdigest()}")
-        return self.sha.digest(), self.n, zlib.crc32(self.tail), feature(self.histogram)
 
+def _columns(rows: list[tuple], types: Sequence[pa.DataType]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
 
-_NAMES = [c.split()[0] for c in READ.split(", ")]
-_TYPES = (pa.binary(), pa.int64(), pa.int64(), pa.string())
 
+def _reads(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(_columns(rows, _TYPES), names=list(_NAMES))
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (payload, data) in order of payload and sequence -> one row of READ for each payload."""
-    import zstandard
 
-    press, now = zstandard.ZstdDecompressor(), None
-    for batch in batches:
-        done = []
-        for key, data in zip(batch.column("payload").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if now is None or now.key != key:
-                done += [now.row()] if now else []
-                now = _Stream(key)
-            now.add(press.decompress(data))
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), _TYPES, strict=True)], names=_NAMES)
-    if now:
-        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(now.row(), _TYPES, strict=True)], names=_NAMES)
+# -- which chunk is read where
 
 
-def _places(packs: DataFrame) -> DataFrame:
-    """(digest, single) -> the place of the one row that is read, for payloads of one chunk and for longer ones."""
-    held = packs.where(F.col("data").isNotNull()).select("digest", (F.col("n_chunks") == 1).alias("single"), "place")
-    return held.groupBy("digest", "single").agg(F.min("place").alias("place"))
+def _held(packs: DataFrame) -> DataFrame:
+    return packs.where(F.col("data").isNotNull())
 
 
-def canonical(packs: DataFrame) -> DataFrame:
-    """digest -> the place of its one row that is kept; a row of a payload of several chunks if there is one."""
-    return _places(packs).groupBy("digest").agg(F.min(F.struct("single", "place")).alias("best")).select("digest", F.col("best.place").alias("place"))
+def readers(packs: DataFrame) -> DataFrame:
+    """payload -> the place of the one row that it is read from."""
+    return _held(packs).groupBy("payload").agg(F.min("place").alias("place"))
 
 
-def reconstruct(packs: DataFrame) -> DataFrame:
-    """READ for each payload, from canonical chunks in the order of its list."""
-    n = width(packs.sparkSession)
-    index = _places(packs)
-    single = packs.where((F.col("n_chunks") == 1) & F.col("data").isNotNull())
-    alone = single.select("place", "payload", "data").mapInArrow(_read_each, "place long, " + READ)
-    one = index.where("single").select("place").join(alone, "place").drop("place")
-    wanted = packs.where("n_chunks > 1").select("payload", "seq", "digest").distinct().join(index.where("NOT single"), "digest", "left").select("place", "payload", "seq")
-    several = packs.where((F.col("n_chunks") > 1) & F.col("data").isNotNull()).select("place", "data")
-    ordered = wanted.join(several, "place", "left").select("payload", "seq", "data").repartition(n, "payload").sortWithinPartitions("payload", "seq")
-    found = ordered.select("payload", F.coalesce("data", F.raise_error(F.lit("a chunk is missing")).cast("binary")).alias("data"))
-    return one.unionByName(found.mapInArrow(_read, READ)).dropDuplicates(["payload"])
-
-
-def _read_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (place, payload, data), each a whole payload -> place and READ."""
-    import zstandard
-
-    press = zstandard.ZstdDecompressor()
-    for batch in batches:
-        done = []
-        for key, data in zip(batch.column("payload").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            now = _Stream(key)
-            now.add(press.decompress(data))
-            done.append(now.row())
-        if done:
-            cols = zip(zip(*done, strict=True), _TYPES, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("place"), *(pa.array(c, t) for c, t in cols)], names=["place", *_NAMES])
+def chunks(packs: DataFrame, readers_: DataFrame) -> DataFrame:
+    """(place, seq, digest) of all chunks of the readers."""
+    return _held(packs).select("place", "digests").join(readers_.select("place"), "place").select("place", F.posexplode("digests").alias("seq", "digest"))
+
+
+def canonical(chunks_: DataFrame) -> DataFrame:
+    """digest -> its canonical (place, seq), and the number of its places."""
+    return chunks_.groupBy("digest").agg(F.min(F.struct("place", "seq")).alias("best"), F.count("*").alias("n"))
 
 
-def chunk_lists(packs: DataFrame) -> DataFrame:
-    """doc_id, payload, n_bytes, the chunk list file and the length of the stored form of each row's payload."""
-    return packs.where("seq = 0").select("doc_id", "payload", "n_bytes", "list", "media_bytes")
+def requests(chunks_: DataFrame) -> DataFrame:
+    """(place, seq, digest, holder, holder_seq) of the chunks whose canonical place is another one."""
+    shared = staged(canonical(chunks_).where("n > 1"), "shared")
+    both = chunks_.join(shared, "digest").where((F.col("place") != F.col("best.place")) | (F.col("seq") != F.col("best.seq")))
+    return both.select("place", "seq", "digest", F.col("best.place").alias("holder"), F.col("best.seq").alias("holder_seq"))
+
+
+def _positions(places: np.ndarray, bits: int) -> np.ndarray:
+    """HASHES bits of the filter for each place; `bits` is a power of 2."""
+    h = mix(places.astype(U64) + GOLDEN)
+    return np.stack([(mix(h + np.array(k, U64)) & U64(bits - 1)).astype(np.int64) for k in range(HASHES)])
+
+
+def bit_filter(places: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The filter as 32-bit words. Bits are joined before they reach the driver: bits / 32 rows at most."""
+
+    def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.unique(_positions(batch.column(0).to_numpy(), bits))
+        first = np.flatnonzero(np.r_[True, np.diff(at >> 5) > 0])
+        return pa.RecordBatch.from_arrays([pa.array(at[first] >> 5), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 31), first))], names=["word", "bits"])
+
+    words = map_arrow(places, of_batch, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits >> 5, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _named(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    at = _positions(places, 32 * len(words))
+    return (words[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(0)
+
+
+# -- reading
+
+
+def _read_own(packs: DataFrame, words: np.ndarray) -> DataFrame:
+    """READ of the rows that the filter does not name; the others as they are, with READ null."""
+    shared = packs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            named = _named(shared.value, batch.column("place").to_numpy())
+            other = batch.filter(pa.array(named))
+            rows = []
+            for key, digests, sizes, data in zip(*(batch.filter(pa.array(~named)).column(c).to_pylist() for c in _HELD[1:]), strict=True):
+                ends = np.cumsum(sizes).tolist()
+                rows.append(_row(key, digests, sizes, (data[e - n : e] for e, n in zip(ends, sizes, strict=True))))
+            reads = _columns(rows, _TYPES)
+            left = [pa.chunked_array([pa.nulls(len(rows), t), other.column(c).cast(t)]).combine_chunks() for c, t in zip(_HELD, _HELD_TYPES, strict=True)]
+            done = [pa.chunked_array([r, pa.nulls(other.num_rows, t)]).combine_chunks() for r, t in zip(reads, _TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*left, *done], names=[*_HELD, *(f"read_{c}" for c in _NAMES)])
+
+    kinds = "place long, payload binary, digests array<binary>, sizes array<int>, data binary, " + ", ".join(f"read_{c}" for c in READ.split(", "))
+    return _held(packs).select(*_HELD).mapInArrow(run, kinds)
+
+
+def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (digests, sizes, data, wanted) -> (digest, chunk) of the wanted ones."""
+    out = []
+    for digests, sizes, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("digests", "sizes", "data", "wanted")), strict=True):
+        ends = np.cumsum(sizes).tolist()
+        out += [(digests[k], data[ends[k] - sizes[k] : ends[k]]) for k in wanted]
+    return pa.RecordBatch.from_arrays(_columns(out, (pa.binary(), pa.binary())), names=["digest", "chunk"])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (place, seq): a payload's own row under seq -1, then the chunks fetched for it -> READ."""
+
+    def done(own: tuple, fetched: dict[int, bytes]) -> tuple:
+        _, key, digests, sizes, data = own
+        ends = np.cumsum(sizes).tolist()
+        return _row(key, digests, sizes, (fetched.get(k, data[e - n : e]) for k, (e, n) in enumerate(zip(ends, sizes, strict=True))))
+
+    own, fetched = None, {}
+    for batch in batches:
+        out = []
+        for *row, seq, chunk in zip(*(batch.column(c).to_pylist() for c in (*_HELD, "seq", "chunk")), strict=True):
+            if seq < 0:
+                out += [done(own, fetched)] if own else []
+                own, fetched = tuple(row), {}
+            elif own is None or own[0] != row[0] or chunk is None:
+                raise ValueError("a chunk is missing")
+            else:
+                fetched[seq] = chunk
+        if out:
+            yield _reads(out)
+    if own:
+        yield _reads([done(own, fetched)])
+
+
+def reconstruct(packs: DataFrame, bits: int = BITS) -> DataFrame:
+    """READ for each payload, from canonical chunks in the order of its list."""
+    n = width(packs.sparkSession)
+    read_from = staged(readers(packs), "readers")
+    every = staged(chunks(packs, read_from), "chunks")
+    wanted = staged(requests(every), "requests")
+    idle = staged(_held(packs).select("place").join(read_from.select("place"), "place", "left_anti"), "idle")
+    moved = idle.unionByName(wanted.select("place")).unionByName(wanted.select(F.col("holder").alias("place")))
+    both = staged(_read_own(packs, bit_filter(moved, bits)), "read", compression="zstd")
+    alone = both.where("place IS NULL").select(*[F.col(f"read_{c}").alias(c) for c in _NAMES])
+    held = both.where("place IS NOT NULL").select(*_HELD)
+
+    sought = wanted.select(F.col("holder").alias("place"), "holder_seq").distinct().groupBy("place").agg(F.collect_list("holder_seq").alias("wanted"))
+    bytes_ = staged(map_arrow(held.join(sought, "place").select("digests", "sizes", "data", "wanted"), _cut, "digest binary, chunk binary"), "fetched", compression="zstd")
+    fetched = wanted.select("place", "seq", "digest").join(bytes_, "digest", "left").select("place", "seq", "chunk")
+    own = held.join(idle, "place", "left_anti").withColumn("seq", F.lit(-1)).withColumn("chunk", F.lit(None).cast("binary"))
+    rows = own.unionByName(fetched, allowMissingColumns=True).repartition(n, "place").sortWithinPartitions("place", "seq")
+    return alone.unionByName(rows.select(*_HELD, "seq", "chunk").mapInArrow(_assemble, READ))
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packs = staged(pack(documents(spark, sf_dir)), "packs")
-    lists = chunk_lists(packs).select("doc_id", "payload", "n_bytes", "media_bytes", F.unhex(F.sha2("list", 256)).alias("media"))
-    both = lists.join(reconstruct(packs), "payload", "left")
+    packs = staged(pack(documents(spark, sf_dir)), "packs", compression="zstd")
+    both = packs.select("doc_id", "payload", "n_bytes").join(staged(reconstruct(packs), "payloads"), "payload", "left")
     both = both.withColumn("payload_bytes", F.coalesce("payload_bytes", F.raise_error(F.lit("a payload is missing")).cast("long")))
     hexed = lambda c: F.lower(F.hex(c))
     return both.select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature")

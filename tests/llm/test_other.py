@@ -198,6 +198,18 @@ def test_media(spark, documents):
     for r in got:
         assert same.setdefault(r.payload_sha256, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
     assert len({r.media_sha256 for r in got}) == len({r.payload_sha256 for r in got})
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None and sum(x.doc_id == r.doc_id for x in got) == 1}
+    for i, text in ((r[0], r[1]) for r in own if r[0] in by_id):
+        whole = payload(text)[1]
+        (ends,) = mc.cuts(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]), *mc.TEXT)
+        parts = [whole[a:b] for a, b in zip([0, *ends], ends)]
+        stored = b"QCDC2\0\0\0" + len(parts).to_bytes(4, "big") + b"".join(hashlib.sha256(x).digest() + len(x).to_bytes(4, "big") for x in parts) + whole
+        assert (by_id[i].media_bytes, by_id[i].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        counts = np.bincount(np.frombuffer(whole, np.uint8), minlength=256) / len(whole)
+        values = dict(x.split("=") for x in by_id[i].feature.split(";"))
+        mean = (counts * np.arange(256)).sum()
+        want = (len(whole), mean, ((counts * np.arange(256) ** 2).sum() - mean**2) ** 0.5, -sum(p * math.log2(p) for p in counts if p))
+        assert all(abs(float(values[k]) - w) < 1e-3 for k, w in zip(("samples", "mean", "deviation", "entropy"), want))
 
 
 def test_chunks_are_shared(spark, tmp_path):
@@ -206,8 +218,9 @@ def test_chunks_are_shared(spark, tmp_path):
     own = [(i, prose(rng, 300) + middle + prose(rng, 300), None, None, None) for i in range(4)]
     table(spark, str(tmp_path), own)
     packs = mc.pack(spark.read.parquet(f"{tmp_path}/documents.parquet")).cache()
-    total, distinct = packs.count(), packs.select("digest").distinct().count()
-    assert distinct < 0.5 * total and mc.canonical(packs).count() == distinct
+    every = mc.chunks(packs, mc.readers(packs)).cache()
+    distinct = every.select("digest").distinct().count()
+    assert distinct < 0.5 * every.count() and mc.canonical(every).count() == distinct == every.count() - mc.requests(every).count()
     got = {r.doc_id: r for r in mc.op9_media_chunks(spark, str(tmp_path)).collect()}
     for i, t, *_ in own:
         assert got[i].payload_sha256 == hashlib.sha256(payload(t)[1]).hexdigest()
@@ -216,6 +229,14 @@ def test_chunks_are_shared(spark, tmp_path):
         mc.reconstruct(broken).collect()
 
 
+@pytest.mark.parametrize("bits", [32, 256])
+def test_any_filter_gives_the_same_rows(spark, documents, bits):
+    folder, own = documents
+    packs = mc.pack(spark.read.parquet(f"{folder}/documents.parquet")).cache()
+    got = mc.reconstruct(packs, bits).collect()
+    assert sorted(r.payload.hex() for r in got) == sorted({hashlib.sha256(payload(r[1])[1]).hexdigest() for r in own})
+
+
 def test_cuts():
     rng = np.random.default_rng(4)
     data = rng.integers(0, 256, 2_000_000).astype(np.uint8)
@@ -235,7 +256,8 @@ def test_cuts():
 
 def test_media_empty(spark, nothing):
     assert mc.op9_media_chunks(spark, nothing).collect() == []
-    assert mc.chunk_lists(mc.pack(clashing(spark))).count() == len(rows())
+    assert mc.pack(clashing(spark)).count() == len(rows())
+    assert mc.reconstruct(mc.pack(clashing(spark)).cache()).count() == len({payload(r[1])[1] for r in rows()})
 
 
 # -- the pipeline
