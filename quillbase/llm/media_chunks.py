@@ -6,10 +6,10 @@ cut as packs, with no shuffle: one row for each payload, its bytes and the diges
 a batch meets it. Of all rows of a payload one is its reader, and of all places of a digest among readers one is canonical,
 by aggregations and joins over digests alone. A payload is read back through its ordered chunk list, each chunk from its
 canonical place: if all are its own they are read where they lie; others are fetched by joins over digests and come
-together by payload, in order. Rows that are neither are not read, and could be dropped.
+together by payload, in order.
 
-Which rows need a join is told by a bit filter over their places, a broadcast of BITS / 8 bytes at any size of the
-corpus: a row that the filter names by chance takes the join too, to the same result.
+Which rows ask for chunks of others, and which hold such chunks, is told by two bit filters over their places, broadcasts
+of BITS / 8 bytes at any size of the corpus: a row that a filter names by chance takes the join too, to the same result.
 
 A payload's stored form is its chunk list file (magic, count, and for each chunk its SHA-256 and length) followed by its
 chunks' 8-bit samples in order. `media_bytes` is its length and `media_sha256` its digest, both taken as it is read back.
@@ -205,26 +205,27 @@ def _named(words: np.ndarray, places: np.ndarray) -> np.ndarray:
 # -- reading
 
 
-def _read_own(packs: DataFrame, words: np.ndarray) -> DataFrame:
-    """READ of the rows that the filter does not name; the others as they are, with READ null."""
-    shared = packs.sparkSession.sparkContext.broadcast(words)
+def _read_own(packs: DataFrame, asks: np.ndarray, holds: np.ndarray) -> DataFrame:
+    """READ of the rows that do not ask for chunks of others (columns read_*), and as they are those that ask or hold."""
+    shared = packs.sparkSession.sparkContext.broadcast((asks, holds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            named = _named(shared.value, batch.column("place").to_numpy())
-            other = batch.filter(pa.array(named))
+            asking, holding = (_named(words, batch.column("place").to_numpy()) for words in shared.value)
+            other = batch.filter(pa.array(asking | holding))
             rows = []
-            for key, digests, sizes, data in zip(*(batch.filter(pa.array(~named)).column(c).to_pylist() for c in _HELD[1:]), strict=True):
+            for key, digests, sizes, data in zip(*(batch.filter(pa.array(~asking)).column(c).to_pylist() for c in _HELD[1:]), strict=True):
                 ends = np.cumsum(sizes).tolist()
                 rows.append(_row(key, digests, sizes, (data[e - n : e] for e, n in zip(ends, sizes, strict=True))))
-            reads = _columns(rows, _TYPES)
-            left = [pa.chunked_array([pa.nulls(len(rows), t), other.column(c).cast(t)]).combine_chunks() for c, t in zip(_HELD, _HELD_TYPES, strict=True)]
-            done = [pa.chunked_array([r, pa.nulls(other.num_rows, t)]).combine_chunks() for r, t in zip(reads, _TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([*left, *done], names=[*_HELD, *(f"read_{c}" for c in _NAMES)])
+            both = lambda first, then: pa.chunked_array([first, then]).combine_chunks()
+            done = [both(r, pa.nulls(other.num_rows, t)) for r, t in zip(_columns(rows, _TYPES), _TYPES, strict=True)]
+            left = [both(pa.nulls(len(rows), t), other.column(c).cast(t)) for c, t in zip(_HELD, _HELD_TYPES, strict=True)]
+            some = [both(pa.nulls(len(rows), pa.bool_()), pa.array(x[asking | holding])) for x in (asking, holding)]
+            yield pa.RecordBatch.from_arrays([*left, *some, *done], names=[*_HELD, "asks", "holds", *(f"read_{c}" for c in _NAMES)])
 
-    kinds = "place long, payload binary, digests array<binary>, sizes array<int>, data binary, " + ", ".join(f"read_{c}" for c in READ.split(", "))
+    kinds = "place long, payload binary, digests array<binary>, sizes array<int>, data binary, asks boolean, holds boolean, " + ", ".join(f"read_{c}" for c in READ.split(", "))
     return _held(packs).select(*_HELD).mapInArrow(run, kinds)
 
 
@@ -265,26 +266,25 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reconstruct(packs: DataFrame, bits: int = BITS) -> DataFrame:
     """READ for each payload, from canonical chunks in the order of its list."""
     n = width(packs.sparkSession)
-    read_from = staged(readers(packs), "readers")
-    every = staged(chunks(packs, read_from), "chunks")
-    wanted = staged(requests(every), "requests")
-    idle = staged(_held(packs).select("place").join(read_from.select("place"), "place", "left_anti"), "idle")
-    moved = idle.unionByName(wanted.select("place")).unionByName(wanted.select(F.col("holder").alias("place")))
-    both = staged(_read_own(packs, bit_filter(moved, bits)), "read", compression="zstd")
+    read_from = readers(packs)
+    wanted = staged(requests(staged(chunks(packs, read_from), "chunks")), "requests")
+    asks, holds = (bit_filter(wanted.select(c), bits) for c in ("place", "holder"))
+    both = staged(_read_own(packs, asks, holds), "read", compression="zstd")
     alone = both.where("place IS NULL").select(*[F.col(f"read_{c}").alias(c) for c in _NAMES])
-    held = both.where("place IS NOT NULL").select(*_HELD)
 
     sought = wanted.select(F.col("holder").alias("place"), "holder_seq").distinct().groupBy("place").agg(F.collect_list("holder_seq").alias("wanted"))
-    bytes_ = staged(map_arrow(held.join(sought, "place").select("digests", "sizes", "data", "wanted"), _cut, "digest binary, chunk binary"), "fetched", compression="zstd")
+    held = both.where("holds").select(*_HELD).join(sought, "place").select("digests", "sizes", "data", "wanted")
+    bytes_ = staged(map_arrow(held, _cut, "digest binary, chunk binary"), "fetched", compression="zstd")
     fetched = wanted.select("place", "seq", "digest").join(bytes_, "digest", "left").select("place", "seq", "chunk")
-    own = held.join(idle, "place", "left_anti").withColumn("seq", F.lit(-1)).withColumn("chunk", F.lit(None).cast("binary"))
+    own = both.where("asks").select(*_HELD, F.lit(-1).alias("seq"), F.lit(None).cast("binary").alias("chunk"))
     rows = own.unionByName(fetched, allowMissingColumns=True).repartition(n, "place").sortWithinPartitions("place", "seq")
-    return alone.unionByName(rows.select(*_HELD, "seq", "chunk").mapInArrow(_assemble, READ))
+    reads = alone.unionByName(rows.select(*_HELD, "seq", "chunk").mapInArrow(_assemble, READ))
+    return reads.dropDuplicates(["payload"])  # a batch reads its own row of a payload, even if another one is the reader
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = staged(pack(documents(spark, sf_dir)), "packs", compression="zstd")
-    both = packs.select("doc_id", "payload", "n_bytes").join(staged(reconstruct(packs), "payloads"), "payload", "left")
+    both = packs.select("doc_id", "payload", "n_bytes").join(reconstruct(packs), "payload", "left")
     both = both.withColumn("payload_bytes", F.coalesce("payload_bytes", F.raise_error(F.lit("a payload is missing")).cast("long")))
     hexed = lambda c: F.lower(F.hex(c))
     return both.select("doc_id", "n_bytes", "payload_bytes", hexed("payload").alias("payload_sha256"), "tail_crc32", "media_bytes", hexed("media").alias("media_sha256"), "feature")
