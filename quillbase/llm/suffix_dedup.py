@@ -3,20 +3,24 @@
 Two equal strings of LENGTH bytes share the least hash of their GRAM-byte grams (minimum substring partitioning), so the
 suffixes of the corpus fall into buckets by that hash, and a common-prefix interval of depth LENGTH or more lies in one
 bucket. Neighbouring suffixes of one bucket form a run, which is located by (text, start, count) and carries a digest
-of its bytes. One aggregation over the buckets drops those of a single run; a bucket whose runs all have one digest is
-one repeat without a look at the text. Only of the others are the distinct runs' bytes fetched, each once, and the
-enhanced suffix array of each bucket is built: order by prefix doubling, common prefixes from the levels of the
-doubling, and a stack scan of the interval tree that tests the left extensions of an interval's suffixes and reports the
-maximal repeats with all their occurrences. A bucket of very many distinct runs is split by whole LENGTH-byte prefixes,
-where each part is one interval, and counted.
+of its bytes; runs of over MOST suffixes (periodic text) are cut. One aggregation over the buckets drops those of a single
+run, and equal runs become one leaf with a multiplicity. A bucket of one leaf is a tree of one interval, the run itself,
+and needs no look at the text. Of the others the leaves' bytes are fetched, each once, and the enhanced suffix array of
+each bucket is built: suffixes in order (equal windows of LENGTH bytes first, then what follows them by prefix doubling,
+until no class splits any more), common prefixes from the levels of the doubling, and a stack scan of the interval tree
+that tests the left extensions of an interval's suffixes. The maximal repeats come out with all their occurrences: each
+suffix under its deepest one, the others being the tree's ancestors.
 
-Gram hashes are polynomial, 64 bits, over random byte values; a run is identified by its bucket and a digest of another
-base, 128 bits in all.
+A bucket of over WIDE suffixes (one passage amid ever other text) is thinned out first: windows that come once in the
+bucket are in no repeat, an aggregation over window hashes finds them, and what is left of its runs are new leaves, now of
+the passage alone. Where even those are over WIDE, each of their windows is reported as a repeat of LENGTH bytes.
+
+Gram hashes are polynomial, 64 bits, over random byte values; runs and windows are identified by two, of different bases.
 
 Defined cases: a null text is empty; texts under LENGTH bytes keep all; matches never cross texts; equal texts are
 located by one 128-bit key, so repeated rows and repeated ids are copies of each other and get equal values; overlapping
-occurrences count; in `deduplicate` a character cut apart at a span's edge goes whole, other columns stay, and a row
-stays even if its text becomes empty; an empty table gives an empty result.
+occurrences count; in `deduplicate` a character cut apart at a span's edge goes whole, other columns, whatever their
+names, stay, and a row stays even if its text becomes empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbase.llm.common import GOLDEN, U64, documents, map_arrow, mix, runs, staged, text_bytes, text_or_empty, width
+from quillbase.llm.common import GOLDEN, U64, documents, map_arrow, mix, own_columns, runs, staged, text_bytes, text_or_empty, whole_row, width
 
 LENGTH = 200
 GRAM = 64
-#: Bytes of text hashed, and bytes of runs put into one suffix array, at a time.
+#: Bytes of text hashed, and suffixes put into one suffix array, at a time.
 BLOCK, ARRAY = 1 << 17, 1 << 18
-#: Distinct runs beyond which a bucket is split.
-WIDE = 4000
+#: Suffixes of leaves beyond which a bucket is thinned out.
+WIDE = 1 << 16
+#: Suffixes of a run.
+MOST = 1 << 12
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _LOOP = 1 << 31
 RUNS = "k1 long, k2 long, at long, h long, d long"
@@ -97,6 +103,10 @@ def block_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     value = grams[place]
     same = np.r_[False, (places[1:] == places[:-1] + 1) & (value[1:] == value[:-1])]
     first = np.flatnonzero(~same)
+    if len(first) and np.diff(np.r_[first, len(places)]).max() > MOST:
+        nth = np.arange(len(places)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(places))))
+        same &= nth % MOST != 0
+        first = np.flatnonzero(~same)
     count = np.diff(np.r_[first, len(places)])
     moved = np.r_[False, place[1:] != place[:-1]] & same
     loop = np.add.reduceat(moved.astype(np.int64), first) > 0
@@ -128,122 +138,155 @@ def located_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return map_arrow(docs.select(*_key(text), text.alias("text")), of_batch, RUNS)
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray, depth: int = 448) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of their bytes up to `depth`, or to the end of their own run; and the ranks at 7, 14 ... bytes.
+class SuffixArray:
+    """The suffixes of some strings that have `length` bytes or more left, in order, and the common prefix of each with the one before.
 
-    `ends[i]` is the end of the run that holds byte i. Bytes past an end count as less than any byte.
+    The order is that of classes of equal windows of `length` bytes (any order, as no interval of that depth crosses them),
+    then that of the bytes that follow, to the end of the suffix's own string, which counts as less than any byte.
     """
-    n = len(data)
-    wide = np.zeros(n + 8, np.uint16)
-    wide[:n] = data.astype(np.uint16) + 1
-    where = np.arange(n)
-    key = np.zeros(n, U64)
-    for i in range(7):  # seven 9-bit symbols
-        key = key << U64(9) | np.where(where + i < ends, wide[i : n + i], 0).astype(U64)
-    _, rank = np.unique(key, return_inverse=True)
-    levels, span = [(7, rank)], 7
-    while span < depth:
-        next_ = np.where(where + span < ends, rank[np.minimum(where + span, n - 1)] + 1, 0)
-        both = rank.astype(U64) << U64(32) | next_.astype(U64)
-        _, rank = np.unique(both, return_inverse=True)
-        span *= 2
-        levels.append((span, rank))
-    return np.argsort(rank, kind="stable"), levels
-
-
-def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]], data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix in the order with the one before it (0 for the first), within the runs and the order's depth."""
-    a, b = order[:-1], order[1:]
-    done = np.zeros(len(a), np.int64)
-    last = len(data) - 1
-    room = np.minimum(ends[a] - a, ends[b] - b)
-    for span, rank in reversed(levels):
-        equal = (done < room) & (rank[np.minimum(a + done, last)] == rank[np.minimum(b + done, last)])
-        done = np.where(equal, done + span, done)
-    for _ in range(6):
-        done = np.where((done < room) & (data[np.minimum(a + done, last)] == data[np.minimum(b + done, last)]), done + 1, done)
-    return np.r_[0, np.minimum(np.minimum(done, room), levels[-1][0])]
 
+    def __init__(self, parts: list[bytes], length: int):
+        sizes = np.array([len(p) for p in parts])
+        counts = np.maximum(sizes - length + 1, 0)
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
+        self.run = np.repeat(np.arange(len(parts)), counts)
+        self.begin = np.arange(self.bounds[-1]) - self.bounds[self.run]
+        n = len(self.run)
+        whole = np.frombuffer(b"".join(parts), np.uint8)
+        at = self.begin + (np.cumsum(sizes) - sizes)[self.run]
+        self.left = np.where(self.begin > 0, whole[at - 1].astype(np.int64), -1)  # what lies left of a run is another bucket's
+        window = np.zeros(n, np.int64)
+        for k in range(2):
+            _, own = np.unique(_Hash(whole, k).every(length)[at], return_inverse=True)
+            _, window = np.unique(window << 32 | own, return_inverse=True)
+        ends = self.bounds[1:][self.run] - 1  # where nothing follows the window
+        where = np.arange(n)
+        tail = np.where(where < ends, whole[np.minimum(at + length, len(whole) - 1)].astype(np.uint16) + 1, 0)
+        self.levels = self._doubled(np.r_[tail, np.zeros(8, np.uint16)], ends, int(counts.max()) - 1)
+        self.order = np.lexsort((self.levels[-1][1], window))
+        a, b = self.order[:-1], self.order[1:]
+        self.prefix = np.r_[0, np.where(window[a] == window[b], length + self._common(a, b, tail, ends), 0)] if n else np.zeros(0, np.int64)
+
+    @staticmethod
+    def _doubled(tail: np.ndarray, ends: np.ndarray, longest: int) -> list[tuple[int, np.ndarray]]:
+        """(bytes, rank by so many bytes), doubling until the ranks are those of whole tails."""
+        n = len(ends)
+        where, key = np.arange(n), np.zeros(n, U64)
+        for i in range(7):  # seven 9-bit symbols
+            key = key << U64(9) | np.where(where + i < ends, tail[i : n + i], 0).astype(U64)
+        values, rank = np.unique(key, return_inverse=True)
+        levels, span, classes = [(7, rank)], 7, len(values)
+        while span < longest and classes < n:
+            next_ = np.where(where + span < ends, rank[np.minimum(where + span, n - 1)] + 1, 0)
+            values, rank = np.unique(rank.astype(U64) << U64(32) | next_.astype(U64), return_inverse=True)
+            if len(values) == classes:
+                break
+            span, classes = span * 2, len(values)
+            levels.append((span, rank))
+        return levels
+
+    def _common(self, a: np.ndarray, b: np.ndarray, tail: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Common prefix of the tails at a and b."""
+        done, last = np.zeros(len(a), np.int64), len(tail) - 1
+        room = np.minimum(ends[a] - a, ends[b] - b)
+        for span, rank in [self.levels[-1], *reversed(self.levels)]:  # the last level may fit more than once
+            while True:
+                equal = (done < room) & (rank[np.minimum(a + done, last)] == rank[np.minimum(b + done, last)])
+                done = np.where(equal, done + span, done)
+                if span != self.levels[-1][0] or not equal.any():
+                    break
+        for _ in range(6):
+            done = np.where((done < room) & (tail[np.minimum(a + done, last)] == tail[np.minimum(b + done, last)]), done + 1, done)
+        return np.minimum(done, room)
+
+
+class IntervalTree:
+    """The common-prefix intervals of at least a depth, by a stack scan; an interval is maximal if its left extensions differ.
+
+    An interval is open while prefixes stay at its depth or above, and passes what it saw on the left to the interval around
+    it. `left` is the byte before each suffix; negative values differ from everything, themselves included. `own` is each
+    suffix's deepest interval, -1 for none; an interval's parent has a greater number only if it was opened later.
+    """
 
-def maximal_intervals(prefix: np.ndarray, left: np.ndarray, least: int, most: int) -> Iterator[tuple[int, int, int]]:
-    """(first, last, depth) of the intervals of the common-prefix tree of at least that depth whose left extensions differ.
-
-    So are all of depth `most`, where prefixes are cut off: what extends them to the left is cut off as well and ends earlier.
-
-    A stack scan: an interval is open while prefixes stay at its depth or above, and passes what it saw on the left to the
-    interval around it. `left` is the byte before each suffix; negative values differ from everything, themselves included.
+    def __init__(self, prefix: np.ndarray, left: np.ndarray, least: int):
+        self.depth: list[int] = []
+        self.parent: list[int] = []
+        self.maximal: list[bool] = []
+        self.own = np.full(len(prefix), -1, np.int64)
+        closed: list[int] = []
+        starts = np.flatnonzero(prefix >= least)
+        if not len(starts):
+            return
+        begins = starts[np.r_[True, np.diff(starts) > 1]] - 1
+        stops = starts[np.r_[np.diff(starts) > 1, True]]
+        for begin, stop in zip(begins.tolist(), stops.tolist(), strict=True):
+            depths, sides = prefix[begin + 1 : stop + 1].tolist(), left[begin : stop + 1].tolist()
+            stack: list[list] = []  # depth, left byte seen, whether left bytes differ, number
+            own, before = [], 0
+            for k, depth in enumerate([*depths, 0]):
+                side, differ, inner = sides[k], sides[k] < 0, -1
+                if before > depth:
+                    own.append(stack[-1][3])
+                while stack and stack[-1][0] > depth:
+                    _, s, x, number = stack.pop()
+                    x = x or differ or s != side
+                    self.maximal[number] = x
+                    closed.append(number)
+                    if inner >= 0:
+                        self.parent[inner] = number
+                    side, differ, inner = s, x, number
+                if stack and stack[-1][0] == depth:
+                    top = stack[-1]
+                    top[2] = top[2] or differ or top[1] != side
+                elif depth >= least:
+                    stack.append([depth, side, differ, len(self.depth)])
+                    self.depth.append(depth)
+                    self.parent.append(-1)
+                    self.maximal.append(False)
+                if inner >= 0 and stack:
+                    self.parent[inner] = stack[-1][3]
+                if before <= depth:
+                    own.append(stack[-1][3])
+                before = depth
+            self.own[begin : stop + 1] = own
+        self._lift(closed)
+
+    def _lift(self, closed: list[int]) -> None:
+        """Parents and `own` to the nearest maximal interval. A parent closes after its children."""
+        nearest = np.full(len(self.depth) + 1, -1, np.int64)
+        for i in reversed(closed):
+            up = nearest[self.parent[i]] if self.parent[i] >= 0 else -1
+            self.parent[i] = int(up)
+            nearest[i] = i if self.maximal[i] else up
+        self.own = nearest[self.own]  # -1 is the last entry, which is -1
+
+    def around(self, i: int) -> Iterator[int]:
+        """A maximal interval and the maximal ones around it."""
+        while i >= 0:
+            yield i
+            i = self.parent[i]
+
+
+def repeats_in_runs(parts: list[bytes], counts: list[int], length: int, listed: bool = True) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(depth, [(run, place)]) of every maximal repeat among runs; a run that comes more than once is one as a whole.
+
+    Without `listed`, a place stands under its deepest repeat only: the same bytes, and no more places than suffixes.
     """
-    starts = np.flatnonzero(prefix >= least)
-    if not len(starts):
-        return
-    begins = starts[np.r_[True, np.diff(starts) > 1]] - 1
-    stops = starts[np.r_[np.diff(starts) > 1, True]]
-    for begin, stop in zip(begins.tolist(), stops.tolist(), strict=True):
-        depths, sides = prefix[begin + 1 : stop + 1].tolist(), left[begin : stop + 1].tolist()
-        stack: list[list] = []  # depth, first, left byte seen, whether left bytes differ
-        for k, depth in enumerate([*depths, 0]):
-            first, side, differ = begin + k, sides[k], sides[k] < 0
-            while stack and stack[-1][0] > depth:
-                d, f, s, x = stack.pop()
-                x = x or differ or s != side
-                if x or d >= most:
-                    yield f, begin + k, d
-                first, side, differ = f, s, x
-            if stack and stack[-1][0] == depth:
-                top = stack[-1]
-                top[3] = top[3] or differ or top[2] != side
-            elif depth >= least:
-                stack.append([depth, first, side, differ])
-
-
-class _Tree:
-    """The common-prefix interval tree of some runs, as deep as the order of their suffixes."""
-
-    def __init__(self, parts: list[bytes], length: int, depth: int):
-        sizes = np.array([len(p) for p in parts])
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        self.run = np.repeat(np.arange(len(parts)), sizes)
-        ends = self.bounds[1:][self.run]
-        self.order, levels = suffix_array(data, ends, max(depth, length))
-        prefix = common_prefixes(self.order, levels, data, ends)
-        before = np.r_[-1, data[:-1].astype(np.int64)]
-        before[self.bounds[:-1]] = -1  # what lies left of a run is another bucket's
-        self.intervals = maximal_intervals(prefix, before[self.order], length, levels[-1][0])
-
-
-def repeats_in_runs(parts: list[bytes], counts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(depth, [(run, place)]) of every maximal repeat among runs, 448 bytes at most; a run that comes more than once is one as a whole."""
-    tree = _Tree(parts, length, 448)
-    for first, last, depth in tree.intervals:
-        members = tree.order[first : last + 1]
-        yield depth, list(zip(tree.run[members].tolist(), (members - tree.bounds[tree.run[members]]).tolist(), strict=True))
+    array = SuffixArray(parts, length)
+    tree = IntervalTree(array.prefix, array.left[array.order], length)
+    members: dict[int, list[tuple[int, int]]] = {}
+    some = np.flatnonzero(tree.own >= 0)
+    at = array.order[some]
+    for i, run, begin in zip(tree.own[some].tolist(), array.run[at].tolist(), array.begin[at].tolist(), strict=True):
+        for j in tree.around(i) if listed else (i,):
+            members.setdefault(j, []).append((run, begin))
+    for i, places in members.items():
+        yield tree.depth[i], places
     for i, c in enumerate(counts):
         if c > 1:
             yield len(parts[i]), [(i, 0)]
 
 
-def covered_in_runs(parts: list[bytes], counts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, begin, size) of the spans that the runs' maximal repeats cover together."""
-    tree = _Tree(parts, length, 224)
-    n = len(tree.order)
-    deepest = np.zeros(n, np.int64)
-    for first, last, depth in tree.intervals:
-        own = deepest[first : last + 1]
-        np.maximum(own, depth, out=own)
-    at, size = tree.order[deepest > 0], deepest[deepest > 0]
-    often = np.flatnonzero(np.array(counts) > 1)
-    at, size = np.r_[at, tree.bounds[often]], np.r_[size, np.diff(tree.bounds)[often]]
-    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + size, minlength=n + 1)
-    inside = np.cumsum(edge)[:n] > 0
-    first_of_run = np.zeros(n, bool)
-    first_of_run[tree.bounds[:-1]] = True
-    begin = np.flatnonzero(inside & (first_of_run | ~np.r_[False, inside[:-1]]))
-    end = np.flatnonzero(inside & (np.r_[first_of_run[1:], True] | ~np.r_[inside[1:], False])) + 1
-    run = tree.run[begin]
-    return run, begin - tree.bounds[run], end - begin
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -258,27 +301,22 @@ GROUPS = "h long, d long, places array<struct<begin:int,size:int,repeat:binary>>
 
 
 def _groups(length: int, listed: bool):
-    """Rows (h, d, c, bytes) in order of h, d -> GROUPS: all maximal repeats of a run, or only the union of their bytes."""
+    """Rows (h, d, c, part) in order of h, d -> GROUPS: the maximal repeats of each leaf."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         h, d, counts, parts = (list(c) for c in zip(*rows, strict=True))
-        if listed:
-            run, begin, size, name = [], [], [], []
-            for depth, members in repeats_in_runs(parts, counts, length):
-                r, at = members[0]
-                name += [hashlib.blake2b(parts[r][at : at + depth], digest_size=16).digest()] * len(members)
-                run += [m[0] for m in members]
-                begin += [m[1] for m in members]
-                size += [depth] * len(members)
-            order = np.argsort(np.array(run, np.int64), kind="stable")
-            run, begin, size = (np.array(x, np.int64)[order] for x in (run, begin, size))
-            names = pa.array([name[i] for i in order], pa.binary())
-        else:
-            run, begin, size = covered_in_runs(parts, counts, length)
-            names = pa.nulls(len(run), pa.binary())
+        run, begin, size, name = [], [], [], []
+        for depth, members in repeats_in_runs(parts, counts, length, listed):
+            r, at = members[0]
+            name += [hashlib.blake2b(parts[r][at : at + depth], digest_size=16).digest()] * len(members)
+            run += [m[0] for m in members]
+            begin += [m[1] for m in members]
+            size += [depth] * len(members)
+        order = np.argsort(np.array(run, np.int64), kind="stable")
+        run, begin, size = (np.array(x, np.int64)[order] for x in (run, begin, size))
         which, first = np.unique(run, return_index=True)
         kinds = [("begin", pa.int32()), ("size", pa.int32()), ("repeat", pa.binary())]
-        values = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(size, pa.int32()), names], fields=[pa.field(*k) for k in kinds])
+        values = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array([name[i] for i in order], pa.binary())], fields=[pa.field(*k) for k in kinds])
         places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(run)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.int64)[which]), pa.array(np.array(d, np.int64)[which]), places], names=["h", "d", "places"])
 
@@ -293,17 +331,23 @@ def _groups(length: int, listed: bool):
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[3]) - length + 1
         if held:
             yield solve(held)
 
     return run
 
 
-def _wide(parts: DataFrame, length: int) -> DataFrame:
-    """GROUPS of buckets that were split by whole prefixes of `length` bytes: a prefix that comes twice is a repeat."""
+def _solved(leaves: DataFrame, length: int, listed: bool) -> DataFrame:
+    """GROUPS of leaves (h, d, c, part)."""
+    n = width(leaves.sparkSession)
+    return leaves.select("h", "d", "c", "part").repartition(n, "h").sortWithinPartitions("h", "d").mapInArrow(_groups(length, listed), GROUPS)
 
-    def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _thinned(leaves: DataFrame, length: int, listed: bool) -> DataFrame:
+    """GROUPS of the leaves of wide buckets, from the stretches of their windows that come twice in the bucket."""
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for h, d, c, part in zip(*(batch.column(x).to_pylist() for x in ("h", "d", "c", "part")), strict=True):
             data = np.frombuffer(part, np.uint8)
@@ -312,65 +356,86 @@ def _wide(parts: DataFrame, length: int) -> DataFrame:
             out.append((np.full(n, h), np.full(n, d), np.full(n, c), np.arange(n, dtype=np.int32), p1, p2))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["h", "d", "c", "begin", "p1", "p2"])
 
-    suffixes = map_arrow(parts, of_batch, "h long, d long, c long, begin int, p1 long, p2 long")
-    often = suffixes.groupBy("p1", "p2").agg(F.sum("c").alias("n")).where("n > 1").drop("n")
+    def stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for h, d, c, part, begins in zip(*(batch.column(x).to_pylist() for x in ("h", "d", "c", "part", "begins")), strict=True):
+            at = np.array(begins)
+            first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+            for a, b in zip(at[first].tolist(), at[np.r_[first[1:] - 1, len(at) - 1]].tolist(), strict=True):
+                piece = part[a : b + length]
+                out.append((h, d, c, a, int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True), piece))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "d", "c", "begin", "e", "part"])
+
+    every = staged(map_arrow(leaves, windows, "h long, d long, c long, begin int, p1 long, p2 long"), "windows")
+    often = staged(every.groupBy("h", "p1", "p2").agg(F.sum("c").alias("n")).where("n > 1").select("h", "p1", "p2"), "often")
+    repeated = every.join(often, ["h", "p1", "p2"]).select("h", "d", "begin", "p1", "p2")
+    begins = repeated.groupBy("h", "d").agg(F.sort_array(F.collect_list("begin")).alias("begins"))
+    pieces = staged(map_arrow(leaves.join(begins, ["h", "d"]), stretches, "h long, d long, c long, begin int, e long, part binary"), "pieces")
+    anew = staged(pieces.groupBy("h", "e").agg(F.sum("c").alias("c"), F.min("part").alias("part")), "leaves")
+    hot = staged(anew.groupBy("h").agg(F.sum(F.length("part") - length + 1).alias("n")).where(F.col("n") > WIDE).select("h"), "hot")
+    own = _solved(anew.join(hot, "h", "left_anti").withColumnRenamed("e", "d"), length, listed).withColumnRenamed("d", "e")
+    found = pieces.select("h", "d", "begin", "e").join(own, ["h", "e"]).select("h", "d", "begin", F.explode("places").alias("p"))
+    found = found.select("h", "d", F.struct((F.col("begin") + F.col("p.begin")).alias("begin"), F.col("p.size").alias("size"), F.col("p.repeat").alias("repeat")).alias("place"))
     name = F.unhex(F.concat(F.lpad(F.hex("p1"), 16, "0"), F.lpad(F.hex("p2"), 16, "0")))
-    places = F.struct("begin", F.lit(length).alias("size"), name.alias("repeat"))
-    return suffixes.join(often, ["p1", "p2"]).groupBy("h", "d").agg(F.sort_array(F.collect_list(places)).alias("places"))
+    rest = repeated.join(hot, "h").select("h", "d", F.struct("begin", F.lit(length).alias("size"), name.alias("repeat")).alias("place"))
+    return found.unionByName(rest).groupBy("h", "d").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 def occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, listed: bool = True) -> DataFrame:
     """k1, k2, begin, size, repeat: all occurrences of all maximal repeats, as far as their buckets' runs reach.
 
     Repeats of equal `repeat` are one group. Longer repeats are a text's overlapping occurrences together. Without
-    `listed`, only the bytes of each run that lie in some repeat, as maximal spans without a name.
+    `listed`, an occurrence stands under the deepest repeat that begins there only; the bytes covered are the same.
     """
-    spark = docs.sparkSession
-    n = width(spark)
     located = located_runs(docs, length, gram)
     loop = F.col("at").bitwiseAND(_LOOP) != 0
     several = located.groupBy("h").agg(F.count("*").alias("runs"), F.min("d").alias("low"), F.max("d").alias("high"), F.max(loop).alias("loop"))
-    several = several.where("runs > 1 OR loop").select("h", ((F.col("low") == F.col("high")) & ~F.col("loop")).alias("pure"))
+    several = several.where("runs > 1 OR loop").select("h", ((F.col("low") == F.col("high")) & ~F.col("loop")).alias("single"))
     several = staged(several, "buckets")  # a join of two plain shuffles, so that AQE can split a hot bucket
     shared = staged(located.join(several, "h"), "runs")
     count, start = F.col("at").bitwiseAND(_LOOP - 1), F.shiftright("at", 32)
 
-    distinct = shared.where(~F.col("pure")).groupBy("h", "d").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at")).alias("best"))
+    distinct = shared.where(~F.col("single")).groupBy("h", "d").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at")).alias("best"))
     distinct = staged(distinct.select("h", "d", "c", "best.k1", "best.k2", "best.at"), "distinct")
-    sizes = staged(distinct.groupBy("h").agg(F.count("*").alias("members")), "sizes")
-    distinct = staged(distinct.join(sizes, "h"), "distinct")
-    wanted = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "c", start.alias("start"), count.alias("n"), (F.col("members") > WIDE).alias("wide"))).alias("runs"))
+    wide = staged(distinct.groupBy("h").agg(F.sum(count).alias("suffixes")).where(F.col("suffixes") > WIDE).select("h", F.lit(True).alias("wide")), "wide")
+    leaves = distinct.join(wide, "h", "left")
+    wanted = leaves.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "d", "c", start.alias("start"), count.alias("n"), F.col("wide").isNotNull().alias("wide"))).alias("runs"))
     text = text_or_empty()
     keyed = docs.select(*_key(text), "doc_id", text.alias("text"))
     holder = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("holder"))  # of copies, the one that is read
     wanted = wanted.join(holder, ["k1", "k2"])
-    found = keyed.join(wanted, (keyed["k1"] == wanted["k1"]) & (keyed["k2"] == wanted["k2"]) & keyed["doc_id"].eqNullSafe(wanted["holder"])).select("text", "runs")
+    found = keyed.join(wanted, (keyed["k1"] == wanted["k1"]) & (keyed["k2"] == wanted["k2"]) & keyed["doc_id"].eqNullSafe(wanted["holder"])).select(wanted["k1"], wanted["k2"], "text", "runs")
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            data = text.encode()
-            rows += [(r["h"], r["d"], r["c"], r["wide"], data[r["start"] : r["start"] + r["n"] + length - 1]) for r in own]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "d", "c", "wide", "part"])
-
-    parts = staged(map_arrow(found, cut, "h long, d long, c long, wide boolean, part binary"), "parts")
-    groups = parts.where(~F.col("wide")).repartition(n, "h").sortWithinPartitions("h", "d").mapInArrow(_groups(length, listed), GROUPS)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = []
+            for *key, text, own in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "runs")), strict=True):
+                if key != last:  # rows of one id and text
+                    data, last = text.encode(), key
+                    rows += [(r["h"], r["d"], r["c"], r["wide"], data[r["start"] : r["start"] + r["n"] + length - 1]) for r in own]
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "d", "c", "wide", "part"])
+
+    parts = staged(found.mapInArrow(cut, "h long, d long, c long, wide boolean, part binary"), "parts")
+    groups = _solved(parts.where(~F.col("wide")), length, listed)
     if parts.where("wide").limit(1).count():
-        groups = groups.unionByName(_wide(parts.where("wide").dropDuplicates(["h", "d"]), length))
+        groups = groups.unionByName(_thinned(parts.where("wide").dropDuplicates(["h", "d"]), length, listed))
     groups = staged(groups, "groups")
 
     whole = F.unhex(F.concat(F.lpad(F.hex("h"), 16, "0"), F.lpad(F.hex("d"), 16, "0")))
-    pure = shared.where("pure").select("k1", "k2", start.alias("begin"), (count + length - 1).alias("size"), whole.alias("repeat"))
-    mixed = shared.where(~F.col("pure")).select("k1", "k2", start.alias("start"), "h", "d").join(groups, ["h", "d"]).select("k1", "k2", "start", F.explode("places").alias("p"))
+    single = shared.where("single").select("k1", "k2", start.alias("begin"), (count + length - 1).alias("size"), whole.alias("repeat"))
+    mixed = shared.where(~F.col("single")).select("k1", "k2", start.alias("start"), "h", "d").join(groups, ["h", "d"]).select("k1", "k2", "start", F.explode("places").alias("p"))
     mixed = mixed.select("k1", "k2", (F.col("start") + F.col("p.begin")).alias("begin"), F.col("p.size").cast("long").alias("size"), F.col("p.repeat").alias("repeat"))
-    return pure.unionByName(mixed)
+    return single.unionByName(mixed)
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """k1, k2 and the spans of each text that has any: what its repeats cover."""
-    every = occurrences(docs, length, gram, listed=False)
-    return every.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", (F.col("begin") + F.col("size")).alias("end"))).alias("spans"))
+    """k1, k2, the spans of each text that has any (what its repeats cover), and the number of its repeats."""
+    every = occurrences(docs, length, gram, listed=False).distinct()
+    return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", (F.col("begin") + F.col("size")).alias("end"))).alias("spans"), F.countDistinct("repeat").alias("repeats"))
 
 
 def _with_spans(docs: DataFrame, columns: list[Column], length: int, gram: int) -> DataFrame:
@@ -393,7 +458,7 @@ def _kept(text: str, own: list[dict] | None) -> tuple[bytes, list[bytes], list[t
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """`docs` with every repeat cut out of its texts."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    row = docs.select(whole_row(docs), "doc_id", "text")
     joined = _with_spans(row, [F.col("_row")], length, gram)
 
     @F.udf(returnType="string", useArrow=True)
@@ -401,7 +466,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         return b"".join(p.decode("utf-8", "ignore").encode() for p in _kept(text, own)[1]).decode()
 
     clean = F.when(F.col("spans").isNull(), F.col("_row.text")).otherwise(cut("_text", "spans"))
-    return joined.withColumn("_clean", clean).select(*[F.col("_clean").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return joined.select(*own_columns(docs.columns, text=clean))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,14 +474,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_text", "spans")), strict=True):
+        for doc, text, own, repeats in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_text", "spans", "repeats")), strict=True):
             data, left, gone = _kept(text, own)
-            rows.append((doc, len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(left)).hexdigest()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            rows.append((doc, len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join(left)).hexdigest(), repeats or 0))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeats"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return map_arrow(joined, of_batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(joined, of_batch, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeats long")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -38,9 +39,10 @@ def test_against_brute_force(spark, documents):
     assert bag(sd.op1_suffix_dedup(spark, folder)) == expected(rows)
 
 
-def test_wide_buckets_agree(spark, documents, monkeypatch):
+@pytest.mark.parametrize("wide", [1, 150])
+def test_wide_buckets_agree(spark, documents, monkeypatch, wide):
     folder, rows = documents
-    monkeypatch.setattr(sd, "WIDE", 1)
+    monkeypatch.setattr(sd, "WIDE", wide)
     assert bag(sd.op1_suffix_dedup(spark, folder)) == expected(rows)
 
 
@@ -52,6 +54,14 @@ def test_random_repetitive_texts(spark, tmp_path):
     assert bag(sd.op1_suffix_dedup(spark, str(tmp_path))) == expected(rows)
 
 
+def test_long_periodic_texts(spark, tmp_path):
+    rng = random.Random(6)
+    cycle = "".join(rng.choice("abcdefgh") for _ in range(37))
+    rows = [(1, "a" * 9001, None, None, None), (2, cycle * 400, None, None, None), (3, prose(rng, 50) + cycle * 300 + prose(rng, 90), None, None, None), (4, "b" * 4300 + "c", None, None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert bag(sd.op1_suffix_dedup(spark, str(tmp_path))) == expected(rows)
+
+
 def test_empty_table(spark, nothing):
     assert sd.op1_suffix_dedup(spark, nothing).collect() == []
 
@@ -67,6 +77,10 @@ def test_maximal_intervals_are_those_of_brute_force():
             for a in range(len(p)):
                 for b in range(a + least, len(p) + 1):
                     strings.setdefault(p[a:b], []).append((i, a))
+        deepest = {}
+        for depth, members in sd.repeats_in_runs(parts, [1] * 4, least, listed=False):
+            deepest.update({m: max(depth, deepest.get(m, 0)) for m in members})
+        assert deepest == {m: max(d for d, at in got if m in at) for _, at in got for m in at}
         want = set()
         for s, at in strings.items():
             if len(at) > 1:
@@ -83,8 +97,9 @@ def test_spans_of_long_runs():
         pieces = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([30, 300, 900]))) for _ in range(3)] + [b"ab" * 300, b"z" * 700]
         parts = [b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(4)]
         got = [bytearray(len(p)) for p in parts]
-        for run, begin, size in zip(*sd.covered_in_runs(parts, [1] * 4, 200)):
-            got[run][begin : begin + size] = b"\1" * size
+        for size, members in sd.repeats_in_runs(parts, [1] * 4, 200, listed=False):
+            for run, begin in members:
+                got[run][begin : begin + size] = b"\1" * size
         count = Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
         for p, g in zip(parts, got):
             want = bytearray(len(p))
@@ -96,16 +111,16 @@ def test_spans_of_long_runs():
 
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(0)
-    parts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (50, 7, 300, 1)]
-    bounds = np.cumsum([0] + [len(p) for p in parts])
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    ends = bounds[1:][np.repeat(np.arange(4), [len(p) for p in parts])]
-    order, levels = sd.suffix_array(data, ends)
-    suffixes = [bytes(data[i : ends[i]]) for i in order]
-    assert suffixes == sorted(suffixes)
-    prefix = sd.common_prefixes(order, levels, data, ends)
-    for a, b, n in zip(suffixes, suffixes[1:], prefix[1:]):
-        assert n == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    for length in (3, 20):
+        parts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (50, 20, 300, 24)] + [b"ab" * 200, b"a" * 77]
+        array = sd.SuffixArray(parts, length)
+        suffixes = [parts[array.run[i]][array.begin[i] :] for i in array.order]
+        assert sorted(suffixes) == sorted(p[i:] for p in parts for i in range(len(p) - length + 1))
+        groups = [list(g) for _, g in itertools.groupby(suffixes, lambda x: x[:length])]
+        assert len({g[0][:length] for g in groups}) == len(groups) and all(g == sorted(g) for g in groups)
+        for a, b, n in zip(suffixes, suffixes[1:], array.prefix[1:]):
+            common = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+            assert n == (common if common >= length else 0)
 
 
 def test_occurrences_name_groups(spark):
