@@ -40,7 +40,7 @@ GRAM = 64
 #: Bytes of text hashed, and suffixes put into one suffix array, at a time.
 BLOCK, ARRAY = 1 << 17, 1 << 18
 #: Suffixes of leaves beyond which a bucket is thinned out.
-WIDE = 1 << 16
+WIDE = 1 << 18
 #: Suffixes of a run.
 MOST = 1 << 12
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
