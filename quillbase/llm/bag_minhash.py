@@ -351,21 +351,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
     links = staged(verified(first, texts), "links")
     roots = components(links)
-    for turn in range(STARS + 1):
-        open_ = _open(buckets, roots)
-        if not open_.limit(1).count():
+    large = buckets.where(F.col("size") > GROUP)
+    for turn in range(STARS if large.limit(1).count() else 0):
+        open_ = _open(large, roots)
+        found = staged(verified(staged(_star_pairs(open_, turn), "pairs"), texts), "links")
+        if not found.limit(1).count():
             break
-        large = open_.where(F.col("size") > GROUP)
-        if turn < STARS and large.limit(1).count():
-            found = staged(verified(staged(_star_pairs(large, turn), "pairs"), texts), "links")
-        else:
-            turn = STARS
-            found = staged(_settled(open_, nodes, texts), "links")
+        links = links.unionByName(found)
+        roots = components(links)
+    open_ = _open(buckets, roots)
+    if open_.limit(1).count():
+        found = staged(_settled(open_, nodes, texts), "links")
         if found.limit(1).count():
-            links = links.unionByName(found)
-            roots = components(links)
-        if turn == STARS:
-            break
+            roots = components(links.unionByName(found))
     named = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     placed = staged(rows.select("doc_id", "key").join(named, "key"), "placed")
     least = staged(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
