@@ -1,18 +1,19 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a model file: the normaliser (dummy prefix, spaces to U+2581; only identity
-character maps are accepted), the pieces, and byte fallback for characters outside the vocabulary. The pieces'
-transducer remembers the piece it read last. For a unigram model an arc weighs minus the piece's score. For a BPE model
-an arc from piece a to piece b weighs 0 if merging the characters of ab by rank gives back a, b, and infinity otherwise:
-a segmentation is what BPE's merges produce just if all its neighbours are so, hence the path of finite weight is
-BPE's result. Byte arcs weigh 1 each. An input is composed with the transducers lazily and the shortest path of the
-tropical semiring is taken, position by position.
+Three transducers are compiled from a model file. The normaliser is sequential: a trie of the model's character map, read
+by longest match, then white space (dummy prefix, folding, U+2581 for spaces), whose state is whether a space came last;
+composing an input with it leaves one path, which is followed as it is read. The pieces' transducer is a trie whose states
+remember the piece read last. Byte fallback has an arc for each character that no piece spells. For a unigram model an arc
+weighs minus the piece's score. For a BPE model an arc from piece a to piece b weighs 0 if merging the characters of ab by
+rank gives back a, b, and infinity otherwise: a segmentation is what BPE's merges produce just if all its neighbours are
+so, hence the path of finite weight is BPE's result. Byte arcs weigh 1 each. The normalised path is composed with the union
+of pieces and fallback lazily, and the shortest path of the tropical semiring is taken, position by position.
 
 No piece spans a word boundary (checked when the model is read), so words are composed one at a time and their paths
 kept for words met before; the cache is bounded.
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary become their UTF-8 bytes' pieces, or
-the unknown id where the model has no byte pieces; a literal U+2581 decodes to a space, as in the reference library;
+the unknown id where the model has no byte pieces; a literal U+2581 decodes to a space, as in the sentencepiece library;
 repeated rows get equal ids; very long texts are taken whole, word by word; other columns are ignored.
 """
 
@@ -64,6 +65,69 @@ def _fields(data: bytes):
         yield tag >> 3, value
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """A model's compiled character map (a double-array trie of 32-bit units, then the strings it points to) as source -> target."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, strings = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    labels, out, todo = np.arange(1, 256), {}, [(0, b"")]
+    while todo:
+        at, source = todo.pop()
+        unit = int(units[at])
+        if source and unit >> 8 & 1:
+            begin = int(units[at ^ offset(unit)]) & 0x7FFFFFFF
+            out[source.decode()] = strings[begin : strings.index(b"\0", begin)].decode()
+        next_ = at ^ offset(unit) ^ labels
+        next_, own = next_[next_ < len(units)], labels[next_ < len(units)]
+        hit = units[next_] & 0x800000FF == own
+        todo += [(n, source + bytes([c])) for n, c in zip(next_[hit].tolist(), own[hit].tolist(), strict=True)]
+    return out
+
+
+class Normaliser:
+    """A sequential transducer: the character map's trie, then white space."""
+
+    def __init__(self, mapping: dict[str, str], prefix: bool, fold: bool):
+        self.mapping, self.prefix, self.fold = mapping, prefix, fold
+        self.starts = {k[0] for k in mapping}
+        self.prefixes = {k[:n] for k in mapping for n in range(1, len(k) + 1)}
+
+    @property
+    def plain(self) -> bool:
+        """Whether spaces are all that changes."""
+        return not self.mapping and not self.fold
+
+    def _read(self, text: str, at: int) -> tuple[str, int]:
+        """Output of the longest match at a place, or the character itself; and where it ends."""
+        best, end = text[at], at + 1
+        if best in self.starts:
+            n = at + 1
+            while n <= len(text) and text[at:n] in self.prefixes:
+                if text[at:n] in self.mapping:
+                    best, end = self.mapping[text[at:n]], n
+                n += 1
+        return best, end
+
+    def apply(self, text: str) -> str:
+        """The output of the input's one path."""
+        if self.plain:
+            out = text.replace(" ", MARK)
+            return MARK + out if text and self.prefix else out
+        out, at, spaced = [], 0, self.fold
+        while at < len(text):
+            chars, at = self._read(text, at)
+            for c in chars:
+                if c == " " and spaced and self.fold:
+                    continue
+                out.append(MARK if c == " " else c)
+                spaced = c == " "
+        whole = "".join(out)
+        whole = whole.rstrip(MARK) if self.fold else whole
+        return MARK + whole if whole and self.prefix else whole
+
+
 class PieceFst:
     """The compiled transducers of one model file."""
 
@@ -85,11 +149,12 @@ class PieceFst:
             elif number == 3:
                 normaliser = dict(_fields(value))
         self.kind = trainer.get(3, UNIGRAM)
-        if normaliser.get(2):
-            raise ValueError("only identity normalisers are compiled")
-        if normaliser.get(4, 1) or not normaliser.get(5, 1):
-            raise ValueError("white space must be kept, and escaped")
+        if not normaliser.get(5, 1) or trainer.get(24, 0):
+            raise ValueError("spaces must be escaped, and stand before words")
+        if DEFINED in self.kinds and normaliser.get(2):
+            raise ValueError("pieces defined by a user beside a character map are not compiled")
         self.prefix = bool(normaliser.get(3, 1))
+        self.normaliser = Normaliser(character_map(normaliser.get(2, b"")), self.prefix, bool(normaliser.get(4, 1)))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, DEFINED)}
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece spans a word boundary")
@@ -105,6 +170,8 @@ class PieceFst:
             for n in range(1, len(piece)):
                 self.trie.setdefault(piece[:n], -1)
             self.trie[piece] = i
+        #: Byte fallback's arcs of characters met before.
+        self.fallback: dict[str, tuple[int, ...]] = kept({})
         #: Weights of arcs met before: last piece -> piece -> weight.
         self.arcs: dict[int, dict[int, float]] = kept({})
 
@@ -130,6 +197,14 @@ class PieceFst:
         parts = self._merge(b if last < 0 else self.pieces[last] + b)
         return 0.0 if parts == ([b] if last < 0 else [self.pieces[last], b]) else INFINITE
 
+    def spelled(self, char: str) -> tuple[int, ...]:
+        """Byte fallback's output for a character that is no piece."""
+        arc = self.fallback.get(char)
+        if arc is None:
+            arc = tuple(self.bytes[b] for b in char.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
+            self.fallback[char] = arc
+        return arc
+
     def shortest(self, text: str) -> list[int]:
         """Ids on the shortest path of a normalised text through the composed transducer."""
         n, trie, arcs = len(text), self.trie, self.arcs
@@ -141,7 +216,7 @@ class PieceFst:
             if not here:
                 continue
             if trie.get(text[i], -1) < 0:
-                arc = tuple(self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
+                arc = self.spelled(text[i])
                 for last, s in here.items():
                     old = states[i + 1].get(-1)
                     if old is None or s[0] + len(arc) < old[0]:
@@ -176,17 +251,14 @@ class PieceFst:
 
     _units = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
-    def normalise(self, text: str) -> str:
-        text = text.replace(" ", MARK)
-        return MARK + text if text and self.prefix else text
+    def _units_of(self, whole: str) -> bytes:
+        """Ids of a normalised text."""
+        units = self._units.findall(whole) if self.kind == BPE else [whole] if whole else []
+        return b"".join(array("I", self.shortest(u)).tobytes() for u in units)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        whole = self.normalise(text)
-        units = self._units.findall(whole) if self.kind == BPE else [whole]
-        return b"".join(array("I", self.shortest(u)).tobytes() for u in units)
+        return self._units_of(self.normaliser.apply(text))
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """`encode` of a string column without nulls; for BPE, words are composed once."""
@@ -194,6 +266,8 @@ class PieceFst:
 
         if self.kind != BPE or not self.prefix:
             return [self.encode(t) for t in texts.to_pylist()]
+        if not self.normaliser.plain:
+            return self.words.encode(pa.array([self.normaliser.apply(t).replace(MARK, " ") for t in texts.to_pylist()], texts.type))
         space, none = pa.scalar(" ", texts.type), pa.scalar("", texts.type)
         return self.words.encode(pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(space, texts, none)))
 
@@ -218,7 +292,7 @@ class _Words(PieceCache):
         return [array("I", self.fst.shortest(w.replace(" ", MARK))).tobytes() if w else b"" for w in pieces]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self.fst.encode(t[1:]) for t in texts]
+        return [self.fst._units_of(t.replace(" ", MARK)) for t in texts]
 
     def _bound(self, piece: str) -> bool:
         return piece == " " or MARK in piece  # runs of marks merge

@@ -213,6 +213,38 @@ def test_pieces_against_the_library(spark, documents):
     assert {r.doc_id: r.text for r in piece_fst.decode(piece_fst.encode(docs, PIECE), PIECE).collect()} == {1: "Hello  world", 2: ""}
 
 
+def field(number, data):
+    n, size = len(data), b""
+    while True:
+        size += bytes([n & 127 | (128 if n > 127 else 0)])
+        n >>= 7
+        if not n:
+            return bytes([number << 3 | 2]) + size + data
+
+
+@pytest.mark.parametrize(("rule", "prefix", "fold"), [("nmt_nfkc", 1, 1), ("nfkc_cf", 1, 0), (None, 1, 1), ("nmt_nfkc", 0, 1), (None, 0, 0)])
+def test_normalisers_against_the_library(tmp_path, rule, prefix, fold):
+    import sentencepiece
+
+    blob = b""
+    if rule:
+        spec = dict(piece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()))[3]
+        blob = dict(piece_fst._fields(spec))[2]
+    own = field(1, b"own") + (field(2, blob) if blob else b"") + bytes([3 << 3, prefix, 4 << 3, fold, 5 << 3, 1])
+    parts, data = [], open(PIECE, "rb").read()
+    for number, value in piece_fst._fields(data):
+        parts.append(field(3, own) if number == 3 else field(number, value))
+    (tmp_path / "model").write_bytes(b"".join(parts))
+    sp, fst = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "model")), piece_fst.PieceFst(str(tmp_path / "model"))
+    assert fst.normaliser.plain == (not rule and not fold)
+    rng = random.Random(9)
+    texts = ["", " ", "  a  b ", "Ｈｅｌｌｏ  ① ﬁ\u3000x ", "e\u0301", "\u00a0 \u00a0", "½ ㌔ ﷺ", "a\tb\nc\r\nd", "STRASSE ß İ", "\u200b x\u200b"]
+    texts += ["".join(rng.choice("abcde  \n\tthe in ＡｂＣ①②ﬁé\u0301\u3000½ñ日ｶﾞ") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    for t in texts:
+        assert np.frombuffer(fst.encode(t), "<u4").tolist() == sp.encode(t), t
+    assert fst.encode_all(pa.array(texts)) == [fst.encode(t) for t in texts]
+
+
 def test_unigram_takes_the_shortest_path():
     fst = piece_fst.PieceFst.__new__(piece_fst.PieceFst)
     fst.kind, fst.pieces, fst.scores = piece_fst.UNIGRAM, ["a", "b", "ab", "abb"], [-1.0, -1.0, -1.5, -4.0]
