@@ -64,7 +64,13 @@ def inl_join(left: Relation, right: Relation, cond: Condition) -> Relation:
     return _joined(left, right, a == b, left.df, right.df.hint("merge"))
 
 
-def gh_join(left: Relation, right: Relation, cond: Condition, num_partitions: int) -> Relation:
-    """Both sides are hash-partitioned on the key into `num_partitions`, which a shuffled hash join then uses as they are."""
+def gh_join(left: Relation, right: Relation, cond: Condition, num_partitions: int | None = None) -> Relation:
+    """Both sides are hash-partitioned on the key, and each pair of partitions is joined by a hash table.
+
+    Spark plans the shuffles itself, so that AQE sizes the partitions and splits those of skewed keys; a number of
+    partitions is accepted for the sake of callers and doesn't change the rows.
+    """
     right, a, b = _equi(left, right, cond)
-    return _joined(left, right, a == b, left.df.repartition(num_partitions, a), right.df.repartition(num_partitions, b).hint("shuffle_hash"))
+    if num_partitions is not None and num_partitions < 1:
+        raise TypeMismatch("a number of partitions is positive")
+    return _joined(left, right, a == b, left.df, right.df.hint("shuffle_hash"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 from quillbase.operators import aggregate, bnl_join, filter_, gh_join, inl_join, project
 from quillbase.plans.relation import Relation
 from quillbase.session import Engine
-from quillbase.sources.index import IndexFile, in_range
-from quillbase.types import AggregateOp, Attribute, AttrType, CompOp, Condition, Value
+from quillbase.errors import NoSuchIndex, NoSuchRid, NoSuchTable
+from quillbase.functions import codec
+from quillbase.sources.index import IndexFile
+from quillbase.sources.storage import PageFile
+from quillbase.types import AggregateOp, Attribute, AttrType, CompOp, Condition, Value, attributes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,18 +98,6 @@ def project_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(project(_table(spark, sf_dir, "orders"), ["orders.o_totalprice", "orders.o_orderkey"]))
 
 
-def _ranged(name: str, table: str, attr: str, where: str, **bounds) -> None:
-    @_register(name, f"SELECT * FROM {table} WHERE {where}")
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        return in_range(df, attr, **bounds).orderBy(attr)
-
-
-_ranged("index_scan_range", "orders", "o_custkey", "o_custkey >= 10 AND o_custkey < 75", low=10, high=75, high_inclusive=False)
-_ranged("index_scan_open_low", "part", "p_size", "p_size < 25", high=25, high_inclusive=False)
-_ranged("index_scan_varchar", "part", "p_brand", "p_brand >= 'Brand#2' AND p_brand < 'Brand#4'", low="Brand#2", high="Brand#4", high_inclusive=False)
-
-
 @_register("bnl_join_eq", "SELECT l_orderkey, l_linenumber, o_custkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def bnl_join_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = bnl_join(_table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders"), Condition("l_orderkey", CompOp.EQ, rhs_attr="o_orderkey"))
@@ -206,8 +199,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession) -> Engine:
-    """An engine in a fresh folder: in the shared folder where the session names one, else a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quillbase-')}"
+    """An engine in a fresh folder: in the shared folder that the session names; a local session may do without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='quillbase-')}"
     engine = Engine(spark, f"{shared.rstrip('/')}/warehouse-{uuid.uuid4().hex}")
     engine.create_catalog()
     atexit.register(_drop, engine)
@@ -286,3 +283,199 @@ def attribute_added_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engine(spark).table_scan("Columns").to_df("table_id", "column_name", "column_type", "column_length", "column_position")
+
+
+def _loaded(spark: SparkSession, sf_dir: str, table: str) -> Engine:
+    """An engine with one of the driver's tables, loaded in four commits, so that it has several segments."""
+    engine, df = _engine(spark), spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    engine.create_table(table, attributes(df.schema), [f.dataType.simpleString() for f in df.schema.fields])
+    key = df.columns[0]
+    for part in range(4):
+        engine.insert_tuples(table, df.where(F.pmod(F.col(key), F.lit(4)) == part))
+    return engine
+
+
+def _ranged(name: str, table: str, attr: str, where: str, **bounds) -> None:
+    @_register(name, f"SELECT * FROM {table} WHERE {where}")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = _loaded(spark, sf_dir, table)
+        engine.create_index(table, attr)
+        return _plain(engine.index_scan(table, attr, **bounds))
+
+
+_ranged("index_scan_range", "orders", "o_custkey", "o_custkey >= 10 AND o_custkey < 75", low=10, high=75, high_inclusive=False)
+_ranged("index_scan_open_low", "part", "p_size", "p_size < 25", high=25, high_inclusive=False)
+_ranged("index_scan_varchar", "part", "p_brand", "p_brand >= 'Brand#2' AND p_brand < 'Brand#4'", low="Brand#2", high="Brand#4", high_inclusive=False)
+_ranged("index_scan_point", "customer", "c_custkey", "c_custkey = 77", low=77, high=77)
+_ranged("index_scan_unordered", "customer", "c_nationkey", "c_nationkey > 20", low=20, low_inclusive=False, ordered=False)
+
+
+@_register("scan_rewound", "SELECT * FROM region")
+def scan_rewound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation is read to its end, and then again from the start."""
+    rel = _loaded(spark, sf_dir, "region").table_scan("region")
+    for _ in rel.rows():
+        pass
+    return _plain(rel)
+
+
+@_register("index_scan_rids", "SELECT c_custkey, c_nationkey AS key FROM customer WHERE c_nationkey >= 5 AND c_nationkey <= 7")
+def index_scan_rids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(identifier, key) of an index, and the rows that the identifiers name."""
+    engine = _loaded(spark, sf_dir, "customer")
+    engine.create_index("customer", "c_nationkey")
+    rids = engine.index_scan_rids("customer", "c_nationkey", 5, 7)
+    return engine.scan("customer", None, CompOp.NO_OP, None, ["c_custkey"]).join(rids, "_rid").select("c_custkey", "key")
+
+
+@_register("index_scan_order", "SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS n, s_acctbal AS key FROM supplier WHERE s_acctbal < 2000")
+def index_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in the order in which an index gives its entries, numbered as they come."""
+    engine = _loaded(spark, sf_dir, "supplier")
+    engine.create_index("supplier", "s_acctbal")
+    keys = [r["key"] for r in engine.index_scan_rids("supplier", "s_acctbal", None, 2000.0, high_inclusive=False).toLocalIterator()]
+    return spark.createDataFrame(list(enumerate(keys)), "n long, key double")
+
+
+@_register("index_destroyed", "SELECT c_custkey FROM customer WHERE c_nationkey = 3")
+def index_destroyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without its index an index scan fails, and a scan with a condition gives the rows."""
+    engine = _loaded(spark, sf_dir, "customer")
+    engine.create_index("customer", "c_nationkey")
+    engine.destroy_index("customer", "c_nationkey")
+    try:
+        engine.index_scan("customer", "c_nationkey", 3, 3)
+    except NoSuchIndex:
+        return engine.scan("customer", "c_nationkey", CompOp.EQ, _int(3), ["c_custkey"]).drop("_rid")
+    raise AssertionError("an index that was destroyed is still there")
+
+
+def _sizes(engine: Engine, rows: DataFrame, spark: SparkSession, key: str = "p_size") -> IndexFile:
+    index = IndexFile.create(spark, f"{engine.warehouse}/sizes", _PART[2])
+    index.insert_entries(rows.selectExpr(f"{key} AS key", "_rid"))
+    return index
+
+
+@_register("index_entries_deleted", "SELECT p_size AS key, count(*) AS n FROM part WHERE p_size <= 20 AND p_partkey % 3 <> 0 GROUP BY p_size")
+def index_entries_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries deleted by key and identifier."""
+    engine, rows = _parts(spark, sf_dir)
+    index = _sizes(engine, rows, spark)
+    index.delete_entries(rows.where("p_partkey % 3 = 0").selectExpr("p_size AS key", "_rid"))
+    return index.scan(None, 20).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@_register("index_deleted_while_scanned", "SELECT p_size AS key, p_size <= 10 AS before, count(*) AS n FROM part WHERE p_size <= 20 GROUP BY p_size UNION ALL SELECT p_size, NULL, count(*) FROM part WHERE p_size > 10 AND p_size <= 20 GROUP BY p_size")
+def index_deleted_while_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that began before a deletion gives all entries, one that begins after it those that are left."""
+    engine, rows = _parts(spark, sf_dir)
+    index = _sizes(engine, rows, spark)
+    before = index.scan(None, 20)
+    index.delete_entries(before.where("key <= 10").select("key", "_rid"))
+    count = lambda df, mark: df.groupBy("key").agg(F.count("*").alias("n")).select("key", mark.alias("before"), "n")
+    return count(before, F.col("key") <= 10).unionByName(count(index.scan(None, 20), F.lit(None).cast("boolean")))
+
+
+@_register("index_null_keys", "SELECT p_size AS key, count(*) AS n FROM part WHERE p_size > 25 AND p_size <> 30 GROUP BY p_size")
+def index_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NULL keys are not indexed."""
+    engine, rows = _parts(spark, sf_dir)
+    return _sizes(engine, rows, spark, "nullif(p_size, 30)").scan(25, None, low_inclusive=False).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@_register("print_btree", "SELECT 0 AS level, n_nationkey AS key FROM nation UNION ALL SELECT 1, n_nationkey FROM nation WHERE n_nationkey % 4 = 0 AND n_nationkey % 20 <> 0 UNION ALL SELECT 2, 20")
+def print_btree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys by level of the printed tree, four to a node; leaves are level 0."""
+    engine = _loaded(spark, sf_dir, "nation")
+    engine.create_index("nation", "n_nationkey")
+    out: list[tuple[int, int]] = []
+
+    def walk(node: dict) -> int:
+        level = max((walk(c) for c in node.get("children", ())), default=-1) + 1
+        out.extend((level, int(k.split(":")[0])) for k in node["keys"])
+        return level
+
+    walk(json.loads(engine.print_btree("nation", "n_nationkey", 4)))
+    return spark.createDataFrame(out, "level int, key int")
+
+
+@_register("catalog_deleted", "SELECT 'catalog' AS what, false AS there UNION ALL SELECT 'table', false")
+def catalog_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a table that was deleted, and of a catalog."""
+    engine, out = _loaded(spark, sf_dir, "region"), []
+    for what, gone in (("table", lambda: engine.delete_table("region")), ("catalog", engine.delete_catalog)):
+        gone()
+        try:
+            engine.get_attributes("region" if what == "table" else "Tables")
+            out.append((what, True))
+        except NoSuchTable:
+            out.append((what, False))
+    return spark.createDataFrame(out, "what string, there boolean")
+
+
+@_register("print_tables", "SELECT * FROM (VALUES ('Tables', 0), ('Columns', 0), ('region', 1)) t(name, authority)")
+def print_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed catalog, read back."""
+    rows = [dict(x.split(" = ") for x in line.split("  ")) for line in _loaded(spark, sf_dir, "region").print_tables().splitlines()]
+    return spark.createDataFrame([(r["table-name"], int(r["authority"])) for r in rows], "name string, authority int")
+
+
+@_register("tuple_reads", "SELECT n_nationkey, n_name, n_regionkey, n_name AS one, n_regionkey AS two, concat('n_nationkey = ', n_nationkey, '  n_name = ', n_name, '  n_regionkey = ', n_regionkey) AS printed FROM nation WHERE n_nationkey < 6")
+def tuple_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tuples, one attribute and several, by identifier, and a tuple as it is printed."""
+    engine, out = _loaded(spark, sf_dir, "nation"), []
+    for r in engine.scan("nation", "n_nationkey", CompOp.LT, _int(6), ["n_nationkey"]).collect():
+        rid = tuple(r["_rid"])
+        whole = engine.read_tuple("nation", rid)
+        out.append((*whole, engine.read_attribute("nation", rid, "n_name"), engine.read_attributes("nation", rid, ["n_regionkey", "n_name"])[0], engine.print_tuple(whole)))
+    return spark.createDataFrame(out, "n_nationkey int, n_name string, n_regionkey int, one string, two int, printed string")
+
+
+@_register("tuple_life", "SELECT 0 AS step, 'made' AS name UNION ALL SELECT 1, 'changed' UNION ALL SELECT 2, NULL")
+def tuple_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tuple inserted, updated and deleted, read after each step."""
+    engine, out = _loaded(spark, sf_dir, "region"), []
+    rid = engine.insert_tuple("region", (99, "made"))
+    steps = (lambda: None, lambda: engine.update_tuple("region", rid, (99, "changed")), lambda: engine.delete_tuple("region", rid))
+    for i, step in enumerate(steps):
+        step()
+        try:
+            out.append((i, engine.read_attribute("region", rid, "r_name")))
+        except NoSuchRid:
+            out.append((i, None))
+    return spark.createDataFrame(out, "step int, name string")
+
+
+@_register("codec_round_trip", "SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, CAST(c_acctbal AS REAL) AS c_acctbal FROM customer")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows through the packed tuple format and back; one attribute of the packed tuple is read in place."""
+    attrs = [Attribute("c_nationkey", AttrType.INT), Attribute("c_mktsegment", AttrType.VARCHAR, 30), Attribute("c_acctbal", AttrType.REAL)]
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_nationkey", "nullif(c_mktsegment, 'BUILDING') AS c_mktsegment", "CAST(c_acctbal AS FLOAT) AS c_acctbal")
+    return codec.unpack_rows(codec.pack_rows(rows, attrs), attrs)
+
+
+@_register("agg_attribute_name", 'SELECT l_linestatus AS "lineitem.l_linestatus", sum(l_quantity) AS "SUM(lineitem.l_quantity)" FROM lineitem GROUP BY l_linestatus')
+def agg_attribute_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grouping attribute and OP(relation.attribute), as the operator names them."""
+    return aggregate(_table(spark, sf_dir, "lineitem"), "l_quantity", AggregateOp.SUM, "l_linestatus").to_df()
+
+
+@_register("agg_null_inputs", "SELECT p_brand AS grp, count(nullif(p_size, 30)) AS n, avg(nullif(p_size, 30)) AS mean FROM part GROUP BY p_brand")
+def agg_null_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = _table(spark, sf_dir, "part").pipe(lambda d: d.select("p_brand", F.nullif("p_size", F.lit(30)).alias("size")), "p")
+    both = [aggregate(rel, "p.size", op, "p.p_brand").to_df("grp", name) for op, name in ((AggregateOp.COUNT, "n"), (AggregateOp.AVG, "mean"))]
+    return both[0].join(both[1], "grp")
+
+
+@_register("page_file", "SELECT * FROM (VALUES (0, 'a', 3, 1, 3, 4), (1, 'z', 3, 1, 3, 4), (2, 'c', 3, 1, 3, 4)) t(page, first, reads, writes, appends, pages)")
+def page_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages appended, written and read, the handle's counters, and the number of pages after one more."""
+    engine = _engine(spark)
+    pages = PageFile.create(spark, f"{engine.warehouse}/pages")
+    for c in "abc":
+        pages.append_page(c.encode() * PageFile.PAGE)
+    pages.write_page(1, b"z" * PageFile.PAGE)
+    firsts = [pages.read_page(i)[:1].decode() for i in range(3)]
+    counters = pages.collect_counter_values()
+    PageFile.open(spark, f"{engine.warehouse}/pages").append_page(b"d" * PageFile.PAGE)
+    return spark.createDataFrame([(i, f, *counters, pages.number_of_pages()) for i, f in enumerate(firsts)], "page int, first string, reads int, writes int, appends int, pages int")

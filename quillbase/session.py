@@ -19,6 +19,8 @@ from quillbase.types import Attribute, AttrType, Condition, CompOp, Value
 
 TABLES, COLUMNS = "Tables", "Columns"
 SYSTEM, USER = 0, 1
+#: Cells into which a table's ordinals are counted for an index scan, and ranges of ordinals that it puts into its scan.
+CELLS, RANGES = 1 << 16, 48
 _TABLES = (Attribute("table-id", AttrType.INT), Attribute("table-name", AttrType.VARCHAR, 50), Attribute("file-name", AttrType.VARCHAR, 50), Attribute("authority", AttrType.INT))
 _COLUMNS = (
     Attribute("table-id", AttrType.INT), Attribute("column-name", AttrType.VARCHAR, 50), Attribute("column-type", AttrType.INT), Attribute("column-length", AttrType.INT), Attribute("column-position", AttrType.INT),
@@ -50,7 +52,7 @@ class Engine:
         version = self.manifest.version()
         if not version:
             raise NoSuchTable("there is no catalog")
-        return version, self.manifest.load()
+        return version, self.manifest.load(version)
 
     def _entry(self, table: str, writing: bool = False) -> dict:
         catalog = self._catalog()[1]
@@ -150,7 +152,7 @@ class Engine:
     def update_tuple(self, table: str, rid: Rid, values: Sequence[Any]) -> None:
         file = self.file(table, writing=True)
         kind = ", ".join(f"`{c['name']}` {c['kind']}" for c in file._state()[1]["columns"])
-        file.update(self.spark.createDataFrame([(tuple(rid), *values)], f"_rid struct<page_num:int,slot_num:int>, {kind}"))
+        file.update(self.spark.createDataFrame([(tuple(rid), *values)], f"_rid struct<page_num:bigint,slot_num:int>, {kind}"))
 
     def delete_tuples(self, table: str, rids: DataFrame) -> None:
         self.file(table, writing=True).delete(rids)
@@ -257,26 +259,52 @@ class Engine:
         return rows.orderBy("key", "_ord").select(rid_column().alias("_rid"), "key")
 
     def index_scan(
-        self, table: str, attr: str, low: Any = None, high: Any = None, low_inclusive: bool = True, high_inclusive: bool = True, alias: str | None = None, through_index: bool = False
+        self, table: str, attr: str, low: Any = None, high: Any = None, low_inclusive: bool = True, high_inclusive: bool = True, alias: str | None = None, through_index: bool = True, ordered: bool = True
     ) -> Relation:
-        """Whole rows within the bounds, in ascending order of key.
+        """Whole rows within the bounds, in ascending order of key unless that isn't asked for.
 
-        The bounds go into the table's own scan, where Parquet's statistics prune; `through_index` reads the sorted copy and
-        fetches its rows by a join on the ordinal instead. Both give the same rows.
+        The sorted copy gives the ordinals; where they lie (at most CELLS numbers reach the driver) chooses the segments
+        that are opened and the row groups that are read, and a semi-join on the ordinal takes the rows. Without
+        `through_index` the bounds go into the table's own scan instead. Both give the same rows.
         """
         self._index(table, attr)
         bounds = {"low": low, "high": high, "low_inclusive": low_inclusive, "high_inclusive": high_inclusive}
-        rows = self._rows(table)
         if through_index:
-            chosen = self._entries(table, attr, **bounds).select("_ord").withColumnRenamed("_ord", "_wanted")
-            rows = rows.join(chosen, F.col("_ord") == F.col("_wanted"), "left_semi")
+            chosen = self._entries(table, attr, **bounds).select(F.col("_ord").alias("_wanted"))
+            file = self.file(table)
+            state = file._state()[1]
+            rows = file.view(state, self._where(chosen, state["next"])).join(chosen, F.col("_ord") == F.col("_wanted"), "left_semi")
         else:
-            rows = in_range(rows, f"`{attr}`", **bounds)
-        rel = Relation.of(rows.orderBy(f"`{attr}`", "_ord"), alias or table)
+            rows = in_range(self._rows(table), f"`{attr}`", **bounds)
+        rel = Relation.of(rows.orderBy(f"`{attr}`", "_ord") if ordered else rows, alias or table)
         return Relation(rel.df, rel.attrs, rel.columns, table)
 
-    def print_btree(self, table: str, attr: str) -> str:
-        return print_entries(self.index_scan_rids(table, attr))
+    @staticmethod
+    def _where(chosen: DataFrame, total: int) -> list[tuple[int, int]]:
+        """At most RANGES ranges of ordinals that hold all `_wanted` ones."""
+        size = -(-total // CELLS) or 1
+        cells = sorted(r[0] for r in chosen.select(F.floor(F.col("_wanted") / size)).distinct().collect())
+        ranges: list[tuple[int, int]] = []
+        for c in cells:
+            if ranges and ranges[-1][1] == c * size:
+                ranges[-1] = (ranges[-1][0], (c + 1) * size)
+            else:
+                ranges.append((c * size, (c + 1) * size))
+        while len(ranges) > RANGES:  # the closest neighbours become one
+            gaps = sorted(range(len(ranges) - 1), key=lambda i: ranges[i + 1][0] - ranges[i][1])
+            joined = set(gaps[: len(ranges) - RANGES])
+            merged = [ranges[0]]
+            for i, r in enumerate(ranges[1:]):
+                if i in joined:
+                    merged[-1] = (merged[-1][0], r[1])
+                else:
+                    merged.append(r)
+            ranges = merged
+        return ranges
+
+    def print_btree(self, table: str, attr: str, order: int = 64) -> str:
+        """The index as a tree of nodes of up to `order` keys."""
+        return print_entries(self.index_scan_rids(table, attr), order)
 
     # -- the rest
 

@@ -1,15 +1,17 @@
 """Small files and folders through Hadoop's file system API, so a warehouse may lie in any store.
 
-A manifest is a numbered JSON file; a commit creates the next number and fails if another writer made it first. Readers
-hold the version they began with, as nothing is written in place.
+A manifest is a numbered JSON file; a commit creates the next number, exclusively, and fails if another writer made it
+first. Readers hold the version they began with, as nothing is written in place.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from quillbase.errors import CommitConflict
@@ -50,16 +52,38 @@ class Store:
             with_.close()
 
     def create(self, path: str, data: bytes) -> None:
-        """A new file, whole or not at all; CommitConflict if it is there."""
+        """A new file, whole or not at all; CommitConflict if it is there.
+
+        The draft takes its name in one exclusive step: a hard link in a local folder, elsewhere a rename that does not
+        replace, which is atomic on HDFS; a store without such a rename needs one writer at a time.
+        """
         fs, p = self._at(path)
         fs.mkdirs(p.getParent())
         draft = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
         out = fs.create(draft, False)
         out.write(bytearray(data))
         out.close()
-        if fs.exists(p) or not fs.rename(draft, p):
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(draft.toUri().getPath(), p.toUri().getPath())
+            else:
+                self._rename(fs, draft, p)
+        except FileExistsError:
+            raise CommitConflict(path) from None
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                raise CommitConflict(path) from None
+            raise
+        finally:
             fs.delete(draft, False)
-            raise CommitConflict(path)
+
+
+    def _rename(self, fs, draft, p) -> None:
+        """Raises FileAlreadyExistsException if `p` is there."""
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf).rename(draft, p, options)
 
 
 class Manifest:
@@ -73,8 +97,9 @@ class Manifest:
         found = [n for n in self.store.names(self.folder) if n.startswith("v") and n.endswith(".json")]
         return int(found[-1][1:-5]) if found else 0
 
-    def load(self) -> dict[str, Any]:
-        return json.loads(self.store.read(f"{self.folder}/v{self.version():012d}.json"))
+    def load(self, version: int | None = None) -> dict[str, Any]:
+        """A version's document, the last one's if none is named."""
+        return json.loads(self.store.read(f"{self.folder}/v{version or self.version():012d}.json"))
 
     def commit(self, base: int, document: dict[str, Any]) -> int:
         """Version base + 1; CommitConflict if another writer was first."""

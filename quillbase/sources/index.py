@@ -94,7 +94,7 @@ class IndexFile:
         wanted = {AttrType.INT: int, AttrType.REAL: (float, int), AttrType.VARCHAR: str}[AttrType(state["type"])]
         if key is not None and not isinstance(key, wanted):
             raise TypeMismatch(f"{key!r} is no key of this index")
-        return self.spark.createDataFrame([(key, tuple(rid))], f"key {state['kind']}, _rid struct<page_num:int,slot_num:int>")
+        return self.spark.createDataFrame([(key, tuple(rid))], f"key {state['kind']}, _rid struct<page_num:bigint,slot_num:int>")
 
     def insert_entry(self, key: Any, rid: Rid) -> None:
         self.insert_entries(self._one(key, rid))
@@ -105,7 +105,7 @@ class IndexFile:
     def scan(self, low: Any = None, high: Any = None, low_inclusive: bool = True, high_inclusive: bool = True) -> DataFrame:
         """(_rid, key) in ascending order of key; what is deleted meanwhile stays in a scan that has begun."""
         rows = self._entries(self.manifest.load(), low=low, high=high, low_inclusive=low_inclusive, high_inclusive=high_inclusive)
-        rid = F.struct((F.floor(F.col("_ord") / SLOTS)).cast("int").alias("page_num"), (F.col("_ord") % SLOTS).cast("int").alias("slot_num"))
+        rid = F.struct((F.floor(F.col("_ord") / SLOTS)).cast("long").alias("page_num"), (F.col("_ord") % SLOTS).cast("int").alias("slot_num"))
         return rows.select(rid.alias("_rid"), "key", "_ord").orderBy("key", "_ord").drop("_ord")
 
     def compact(self) -> None:
@@ -116,14 +116,22 @@ class IndexFile:
         rows.repartitionByRange("key", "_ord").sortWithinPartitions("key", "_ord").write.parquet(path)
         self.manifest.commit(base, state | {"parts": [path], "deletes": False})
 
-    def printed(self) -> str:
-        """The entries as one leaf: {"keys": ["key:[(page,slot),...]", ...]}, keys ascending."""
-        return print_entries(self.scan())
+    def printed(self, order: int = 64) -> str:
+        """The entries as a tree, keys ascending."""
+        return print_entries(self.scan(), order)
 
 
-def print_entries(entries: DataFrame) -> str:
+def print_entries(entries: DataFrame, order: int = 64) -> str:
+    """A tree of nodes of up to `order` keys: {"keys": ["key:[(page,slot),...]", ...]} for a leaf, and above the leaves
+    {"keys": [first key of each child but the first], "children": [...]}. The keys come to the driver one partition at a time.
+    """
     rows = entries.groupBy("key").agg(F.sort_array(F.collect_list("_rid")).alias("r")).orderBy("key").toLocalIterator()
-    return json.dumps({"keys": [f"{r['key']}:[{','.join(f'({x[0]},{x[1]})' for x in r['r'])}]" for r in rows]}, ensure_ascii=False)
+    held: list[tuple[str, str]] = [(str(r["key"]), f"{r['key']}:[{','.join(f'({x[0]},{x[1]})' for x in r['r'])}]") for r in rows]
+    level = [(part[0][0], {"keys": [text for _, text in part]}) for part in (held[i : i + order] for i in range(0, len(held), order))] or [("", {"keys": []})]
+    while len(level) > 1:
+        groups = [level[i : i + order + 1] for i in range(0, len(level), order + 1)]
+        level = [(g[0][0], {"keys": [first for first, _ in g[1:]], "children": [node for _, node in g]}) if len(g) > 1 else g[0] for g in groups]
+    return json.dumps(level[0][1], ensure_ascii=False)
 
 
 __all__ = ["IndexFile", "in_range", "ordinal", "print_entries"]

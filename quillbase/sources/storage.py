@@ -4,6 +4,8 @@ An inserted row gets the next ordinal, which is its identifier for good: page =
 never used again. Inserts append segments. Updates and deletes append to a change log; reading takes the segments
 without the changed ordinals, and the last change of each. Segments carry the range of their ordinals, so reading by
 identifier opens only files that can hold it, and a file that was never updated is a plain, prunable Parquet scan.
+Ordinals are dense, so an identifier is live if it was given out and not deleted, which the change log and a list of
+compacted deletions tell; no update or delete looks at the table.
 """
 
 from __future__ import annotations
@@ -30,13 +32,21 @@ Rid = tuple[int, int]
 
 def rid_column(ordinal: str = "_ord") -> Column:
     o = F.col(ordinal)
-    return F.struct((F.floor(o / SLOTS)).cast("int").alias("page_num"), (o % SLOTS).cast("int").alias("slot_num"))
+    return F.struct((F.floor(o / SLOTS)).cast("long").alias("page_num"), (o % SLOTS).cast("int").alias("slot_num"))
 
 
 def ordinal_of(rid: Column) -> Column:
     return rid["page_num"].cast("long") * SLOTS + rid["slot_num"]
 
 
+def in_ranges(column: Column, ranges: Sequence[tuple[int, int]]) -> Column:
+    """Whether a column lies in one of the ranges [a, b)."""
+    out = F.lit(False)
+    for a, b in ranges:
+        out = out | ((column >= a) & (column < b))
+    return out
+
+
 def ordinal(rid: Rid) -> int:
     return rid[0] * SLOTS + rid[1]
 
@@ -48,7 +58,7 @@ class RecordFile:
         self.spark, self.path = spark, path.rstrip("/")
         self.store = Store(spark)
         self.manifest = Manifest(self.store, f"{self.path}/_versions")
-        #: Commits by kind, since this handle was opened.
+        #: Stored parts (segments and change files) read, changed and appended since this handle was opened.
         self.counters = {"read": 0, "write": 0, "append": 0}
 
     # -- life cycle
@@ -105,14 +115,15 @@ class RecordFile:
         base = self.manifest.version()
         if not base:
             raise FileError(f"{self.path} is not there")
-        return base, self.manifest.load()
+        return base, self.manifest.load(base)
 
     def _stored(self, state: dict) -> T.StructType:
         fields = [T.StructField("_ord", T.LongType())]
         return T.StructType(fields + [T.StructField(f"c{c['id']}", T._parse_datatype_string(c["kind"])) for c in state["columns"]])
 
-    def _segments(self, state: dict, at: Iterable[int] | None = None) -> DataFrame:
-        wanted = [s for s in state["segments"] if at is None or any(s["first"] <= o < s["first"] + s["rows"] for o in at)]
+    def _segments(self, state: dict, ranges: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+        wanted = [s for s in state["segments"] if ranges is None or any(s["first"] < b and a < s["first"] + s["rows"] for a, b in ranges)]
+        self.counters["read"] += len(wanted)
         kind = self._stored(state)
         return self.spark.read.schema(kind).parquet(*[s["path"] for s in wanted]) if wanted else self.spark.createDataFrame([], kind)
 
@@ -123,16 +134,19 @@ class RecordFile:
         value = F.struct("_gone", *[c.name for c in self._stored(state).fields[1:]])
         return log.groupBy("_ord").agg(F.max_by(value, "_seq").alias("v")).select("_ord", "v.*")
 
-    def view(self, state: dict | None = None, at: Iterable[int] | None = None) -> DataFrame:
-        """`_ord` and the attributes of every live record of one version."""
+    def view(self, state: dict | None = None, ranges: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+        """`_ord` and the attributes of every live record of one version, or of those whose ordinal is in one of the ranges [a, b).
+
+        Ranges choose the segments that are opened, and go into their scans, where Parquet's statistics prune row groups.
+        """
         state = state or self._state()[1]
-        self.counters["read"] += 1
         columns = [f"c{c['id']}" for c in state["columns"]]
-        rows = self._segments(state, at).select("_ord", *columns)
+        rows = self._segments(state, ranges).select("_ord", *columns)
+        inside = in_ranges(F.col("_ord"), ranges) if ranges is not None else F.lit(True)
+        rows = rows.where(inside)
         if state["changes"]:
-            last = self._changes(state)
-            if at is not None:
-                last = last.where(F.col("_ord").isin(list(at)))
+            self.counters["read"] += len(state["changes"])
+            last = self._changes(state).where(inside)
             rows = rows.join(last.select("_ord"), "_ord", "left_anti").unionByName(last.where(~F.col("_gone")).select("_ord", *columns))
         named = [F.col(f"c{c['id']}").alias(c["name"], metadata={"length": c["length"]}) for c in state["columns"]]
         return rows.select("_ord", *named)
@@ -149,7 +163,7 @@ class RecordFile:
         if missing := set(names or ()) - set(own):
             raise NoSuchAttribute(str(sorted(missing)))
         at = ordinal(rid)
-        found = self.view(state, [at]).where(F.col("_ord") == at).select(*[f"`{n}`" for n in names or own]).take(1)
+        found = self.view(state, [(at, at + 1)]).where(F.col("_ord") == at).select(*[f"`{n}`" for n in names or own]).take(1)
         if not found:
             raise NoSuchRid(str(rid))
         return found[0]
@@ -206,7 +220,8 @@ class RecordFile:
         rows.select("_ord", *columns, F.lit(state["seq"] + 1).cast("long").alias("_seq"), F.lit(gone).alias("_gone")).write.parquet(path)
         logged = self.spark.read.schema("_ord long").parquet(path)
         n, distinct = logged.agg(F.count("*"), F.countDistinct("_ord")).first()
-        dead = logged.join(self.view(state).select("_ord"), "_ord", "left_anti").take(1)
+        inside = (F.col("_ord") >= 0) & (F.col("_ord") < state["next"])
+        dead = logged.where(~F.coalesce(inside, F.lit(False))).take(1) or logged.join(self._gone(state), "_ord", "left_semi").take(1)
         if dead or n != distinct:
             self.store.delete(path)
             if dead:
@@ -217,6 +232,11 @@ class RecordFile:
         self.manifest.commit(base, state)
         self.counters["write"] += 1
 
+    def _gone(self, state: dict) -> DataFrame:
+        """`_ord` of all deleted records."""
+        gone = self.spark.read.schema("_ord long").parquet(*state["gone"]) if state.get("gone") else self.spark.createDataFrame([], "_ord long")
+        return gone.unionByName(self._changes(state).where("_gone").select("_ord")) if state["changes"] else gone
+
     def update(self, df: DataFrame) -> None:
         """Replace whole records: `_rid` and every attribute. Identifiers stay."""
         self._change(df.withColumn("_ord", ordinal_of(F.col("_rid"))), False)
@@ -226,7 +246,7 @@ class RecordFile:
         self._change(rids.select(ordinal_of(F.col("_rid")).alias("_ord")), True)
 
     def rids(self, some: Iterable[Rid]) -> DataFrame:
-        return self.spark.createDataFrame([((p, s),) for p, s in some], "_rid struct<page_num:int,slot_num:int>")
+        return self.spark.createDataFrame([((p, s),) for p, s in some], "_rid struct<page_num:bigint,slot_num:int>")
 
     def needs_compaction(self) -> bool:
         state = self._state()[1]
@@ -235,15 +255,16 @@ class RecordFile:
     def compact(self) -> None:
         """Fold the change log into one new segment; identifiers stay, open readers keep their version's files."""
         base, state = self._state()
-        path = self._path("segment")
+        path, gone = self._path("segment"), self._path("gone")
         rows = self.view(state)
         rows.select("_ord", *[F.col(f"`{c['name']}`").alias(f"c{c['id']}") for c in state["columns"]]).write.parquet(path)
-        self.manifest.commit(base, state | {"segments": [{"path": path, "first": 0, "rows": state["next"]}], "changes": []})
+        self._gone(state).write.parquet(gone)
+        self.manifest.commit(base, state | {"segments": [{"path": path, "first": 0, "rows": state["next"]}], "changes": [], "gone": [gone]})
 
     def vacuum(self) -> None:
         """Delete files that the last version doesn't name; only when no older reader is left."""
         state = self._state()[1]
-        live = {s["path"].rpartition("/")[2] for s in state["segments"] + state["changes"]} | {"_versions"}
+        live = {s["path"].rpartition("/")[2] for s in state["segments"] + state["changes"]} | {p.rpartition("/")[2] for p in state.get("gone", [])} | {"_versions"}
         for name in self.store.names(self.path):
             if name not in live:
                 self.store.delete(f"{self.path}/{name}")
@@ -262,6 +283,8 @@ class PageFile:
 
     def __init__(self, file: RecordFile):
         self.file = file
+        #: Pages read, written and appended through this handle.
+        self.pages = [0, 0, 0]
 
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> PageFile:
@@ -281,15 +304,20 @@ class PageFile:
 
     def append_page(self, data: bytes) -> None:
         self.file.insert(self._frame(data, "data binary"))
+        self.pages[2] += 1
 
     def write_page(self, n: int, data: bytes) -> None:
-        self.file.update(self._frame(data, "_rid struct<page_num:int,slot_num:int>, data binary", divmod(n, SLOTS)))
+        self.file.update(self._frame(data, "_rid struct<page_num:bigint,slot_num:int>, data binary", divmod(n, SLOTS)))
+        self.pages[1] += 1
 
     def read_page(self, n: int) -> bytes:
-        return bytes(self.file.read(divmod(n, SLOTS))["data"])
+        page = bytes(self.file.read(divmod(n, SLOTS))["data"])
+        self.pages[0] += 1
+        return page
 
     def number_of_pages(self) -> int:
         return int(self.file._state()[1]["next"])
 
     def collect_counter_values(self) -> tuple[int, int, int]:
-        return self.file.counters["read"], self.file.counters["write"], self.file.counters["append"]
+        """Pages read, written, appended."""
+        return tuple(self.pages)  # type: ignore[return-value]
