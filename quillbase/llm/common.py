@@ -198,7 +198,7 @@ class PieceCache:
 
     def _fill(self, words: list[str], ids: list[bytes | None], missing: list[int]) -> list[int]:
         """Ids of pieces that the cache lacks; gives those that depend on their neighbours, which get none."""
-        cache, old, marks, joined = self.cache, self.old, self.marks, self.joined
+        cache, old, marks, joined, bound_ = self.cache, self.old, self.marks, self.joined, self._bound
         if len(cache) + len(missing) > self.entries // 2:  # a new generation begins with this block
             old.clear()
             old.update(cache)
@@ -208,7 +208,7 @@ class PieceCache:
         for i in missing:
             w = words[i]
             last = w[-1:]
-            if joined and self._bound(w):
+            if joined and bound_(w):
                 bound.append(i)
                 ids[i] = b""
                 continue

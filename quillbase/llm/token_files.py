@@ -41,19 +41,20 @@ FILES = "part int, shard int, before long, n_ids long, docs array<long>, body bi
 BLOCK = 8 << 20
 #: Pieces a worker keeps; it compresses besides.
 ENTRIES = 1_400_000
-#: Bits of the hash by which pairs are counted.
+#: Bits, at most, of the hash by which pairs are counted.
 _BITS = 18
 #: Longest expansion that is looked up whole when symbols are expanded.
 SHORT = 64
 
 
-def _frequent(symbols: np.ndarray, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs that occur `least` times or more, overlaps counted, and the pairs there."""
-    key = symbols[:-1] << np.uint32(16) | symbols[1:]
-    bucket = (key * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
-    often = np.bincount(bucket, minlength=1 << _BITS) >= least
-    at = np.flatnonzero(often[bucket])
-    key = key[at]
+def _frequent(symbols: np.ndarray, at: np.ndarray, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places `at` those whose pair may occur `least` times or more, overlaps counted, and the pairs there."""
+    key = symbols[at] << np.uint32(16) | symbols[at + 1]
+    bits = min(_BITS, max(8, len(at).bit_length()))
+    bucket = (key * np.uint32(2654435761)) >> np.uint32(32 - bits)
+    often = np.bincount(bucket, minlength=1 << bits) >= least
+    some = often[bucket]
+    at, key = at[some], key[some]
     inside = (key >> np.uint32(16) != end) & (key & np.uint32(65535) != end)
     return at[inside], key[inside]
 
@@ -69,11 +70,16 @@ def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rules[i] is the pair that nonterminal terminals + i stands for."""
+    """(symbols, rules): rules[i] is the pair that nonterminal terminals + i stands for.
+
+    A pair of symbols that are there already only gets rarer, so after the first round places are looked at whose pair was
+    frequent in the last one or has one of its nonterminals.
+    """
     symbols, rules, made = ids.astype(np.uint32), [], terminals
+    open_ = np.ones(len(symbols), bool)
     while len(symbols) > 1 and made < 65536:
-        at, key = _frequent(symbols, end, least)
-        order = np.argsort(key, kind="stable")
+        at, key = _frequent(symbols, np.flatnonzero(open_[:-1]), end, least)
+        order = np.argsort(key)
         ordered = key[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(at) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[starts, len(at)])
@@ -86,6 +92,8 @@ def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS, least: i
         of = np.empty(len(at), np.int64)
         of[order] = np.repeat(rank, sizes)
         at, of = at[of >= 0], of[of >= 0]
+        open_[:] = False
+        open_[at] = True
         won = _winners(at, of)
         at, of = at[won], of[won]
         # a rule takes as much room as four symbols: pairs that overlaps leave few of wait for a later round, but for the first
@@ -97,9 +105,10 @@ def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS, least: i
         pairs = ordered[starts[best[used]]]
         rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(65535)], 1).astype(np.uint16))
         symbols[at] = name[of]
+        open_[at] = open_[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
+        symbols, open_ = symbols[keep], open_[keep]
         made += len(pairs)
     return symbols.astype(np.uint16), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
