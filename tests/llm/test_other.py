@@ -4,7 +4,9 @@ import hashlib
 import math
 import os
 import random
+import types
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -291,9 +293,83 @@ def test_pipeline(spark, tmp_path):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def plain_features(text):
+    """The statistics that rules use, in plain Python."""
+    import test_text_rules as tr
+
+    words = tr.WORD.findall(text)
+    lines = [x for x in text.split("\n") if tr.WORD.search(x)]
+    n, chars, symbols, dup, repeat, _ = tr.counts(text)
+    per = lambda x, of: x / max(of, 1)
+    return {
+        "symbol_ratio": per(symbols, chars), "dup_line_ratio": per(dup, len(lines)), "repeat_ratio": per(repeat, n), "mean_word_length": per(chars, n), "upper_ratio": per(sum(c.isupper() for c in text), chars),
+        "punctuation_ratio": per(sum(c in ".,;:!?" for c in text), chars), "digit_ratio": per(sum(c in "0123456789" for c in text), chars), "distinct_ratio": per(len(set(words)), n),
+        "words_per_line": per(n, len(lines)), "short_word_ratio": per(sum(len(w) <= 2 for w in words), n), "n_words": n,
+    }
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import test_near_dedup as nd
+    import test_suffix_dedup as sx
+    import test_text_rules as tr
+    import test_tokens as tk
+    from quillbase.llm import quality_rules as qr
+
+    rng = random.Random(21)
+    plain = lambda n: prose(rng, n).replace("é", "e")
+    shared, base = plain(70), plain(140)
+    texts = [plain(rng.choice([20, 60, 90, 200])) for _ in range(90)] + [" ".join(w + "***" for w in plain(80).split()) for _ in range(40)]
+    texts += [base, base, base + " tail", f"{plain(80)}\n{shared} {plain(60)}", f"{plain(80)} {shared}\n{plain(60)}", f"{plain(90)} password=abcdefgh1 {'0f' * 20} {plain(30)}", None, "", plain(6000)]
+    own = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    table(spark, str(tmp_path), own, [(i, int(not 90 <= i < 130), 0) for i in range(130)])
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    rules = qr.fit(docs, labels)
+    assert rules
+    kept = []
+    for r in own:
+        x = {k: np.array([v], float) for k, v in plain_features(r[1] or "").items()}
+        if not tr.counts(r[1])[-1] and not any(rule.holds(x)[0] for rule in rules):
+            kept.append(r)
+    roots = nd.brute(kept, True)
+    kept = [r for i, r in enumerate(kept) if r[0] == min(s[0] for s, c in zip(kept, roots) if c == roots[i])]
+    count = Counter(t[i : i + 200] for _, t, *_ in kept for i in range(len(t) - 199))
+    cut = []
+    for i, t, *_ in kept:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        cut.append((i, "".join(c for c, g in zip(t, gone) if not g)))
+    assert sum(b[1] for b in sx.brute([r[1] for r in kept])) == sum(len(r[1]) for r in kept) - sum(len(t) for _, t in cut) > 0
+    want = []
+    encode = tk.library(tk.WORD)
+    for i, text in cut:
+        clean, at = "", 0
+        for a, _, b in tr.spans(text):
+            clean += text[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        ids = [*encode(clean + text[at:]), 0]
+        want += [str((i, k, a, len(ids[a : a + 2048]), tk.crc(ids[a : a + 2048]))) for k, a in enumerate(range(0, len(ids), 2048))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32)) for r in got) == sorted(want)
+    used = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) == -(-sum(used.values()) // 2048)
+
+
 def test_shared_folder_is_read_from_the_session(spark, tmp_path):
     from quillbase.llm import common
 
     assert common.shared_dir(spark) == common.shared_dir(spark)
+    for master, there in (("local[4]", True), ("local-cluster[2,1,512]", False), ("spark://host:7077", False), ("yarn", False)):
+        fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+        if there:
+            assert common.shared_dir(fake).startswith("file:///")
+        else:
+            with pytest.raises(RuntimeError):
+                common.shared_dir(fake)
     df = common.staged(spark.range(10), "x")
     assert df.count() == 10 and os.path.basename(df.inputFiles()[0]).startswith("part-")
