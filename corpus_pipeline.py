@@ -17,7 +17,7 @@ STAGES = [
     ("best-fit packing", packing.stage),
 ]
 
-#: The stages learn, hash and tokenise; SQL can't express them. Tests hold run() against brute force.
+#: The stages learn, hash and tokenise; SQL can't express them. Tests hold run() against brute force (tests/llm).
 ORACLE_SQL = None
 
 
