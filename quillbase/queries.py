@@ -286,12 +286,12 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, sf_dir: str, table: str) -> Engine:
-    """An engine with one of the driver's tables, loaded in four commits, so that it has several segments."""
+    """An engine with one of the driver's tables, loaded in two commits, so that it has several segments."""
     engine, df = _engine(spark), spark.read.parquet(f"{sf_dir}/{table}.parquet")
     engine.create_table(table, attributes(df.schema), [f.dataType.simpleString() for f in df.schema.fields])
     key = df.columns[0]
-    for part in range(4):
-        engine.insert_tuples(table, df.where(F.pmod(F.col(key), F.lit(4)) == part))
+    for part in range(2):
+        engine.insert_tuples(table, df.where(F.pmod(F.col(key), F.lit(2)) == part))
     return engine
 
 
