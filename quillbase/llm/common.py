@@ -26,6 +26,8 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 
 #: Entries after which a worker's word cache is dropped; bounds its memory, never its results.
 CACHE_ENTRIES = 1_500_000
+#: Seconds that a stage takes before the driver collects its garbage; shorter ones leave little behind.
+COLLECT_S = 0.7
 #: Seconds without use after which a worker drops its caches, so that an idle one leaves its memory to the executor.
 IDLE_S = 3
 
@@ -50,11 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path, began = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", time.monotonic()
     df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
-    gc.collect()  # lets Spark drop the shuffle files of the plan that ended
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - began > COLLECT_S:
+        gc.collect()  # lets Spark drop the shuffle files of the plan that ended
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
