@@ -13,6 +13,7 @@ import time
 import uuid
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -166,14 +167,21 @@ class WordIds(dict):
             return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+#: Kinds of bytes.
+_SEPARATOR, _LETTER, _MARK = 1, 2, 3
+
+
 class PieceCache:
     """Ids of whole texts from the ids of their space-delimited pieces, which are kept between texts.
 
     With `joined`, a piece carries the one space or line feed before it, and a text with a piece whose ids depend on its
-    neighbours is encoded in one go; without, white space is dropped and any split will do. Arrow splits the texts and
-    numbers their distinct pieces; only those become Python strings.
+    neighbours is encoded in one go; without, white space is dropped and any split will do. Pieces are cut and numbered
+    by numpy and Arrow; only distinct ones that are not known become Python strings with work of their own.
     """
 
+    #: Marks before which a letter's token ends, so that a piece may begin there.
+    MARKS = ""
+
     def __init__(self, joined: bool, entries: int):
         self.joined, self.entries = joined, entries
         #: Two generations: what was used since the younger one began, and what was known before.
@@ -181,8 +189,10 @@ class PieceCache:
         self.old: dict[str, bytes] = kept({})
         #: Strings whose texts are encoded in one go.
         self.openings: list[str] = []
-        #: Ids of marks that are tokens of their own after a letter; a piece that ends in one is put together.
-        self.marks: dict[str, bytes] = {}
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[[10, 32]] = _SEPARATOR
+        self.kind[[*range(65, 91), *range(97, 123)]] = _LETTER
+        self.kind[list(self.MARKS.encode())] = _MARK
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -201,78 +211,85 @@ class PieceCache:
 
     def _fill(self, words: list[str], ids: list[bytes | None], missing: list[int]) -> list[int]:
         """Ids of pieces that the cache lacks; gives those that depend on their neighbours, which get none."""
-        cache, old, marks, joined, bound_ = self.cache, self.old, self.marks, self.joined, self._bound
+        cache, old, bound_ = self.cache, self.old, self._bound
         if len(cache) + len(missing) > self.entries // 2:  # a new generation begins with this block
             old.clear()
             old.update(cache)
             cache.clear()
-        stems: dict[str, bytes | None] = {}
-        marked, plain, bound = [], [], []
-        for i in missing:
-            w = words[i]
-            last = w[-1:]
-            if joined and bound_(w):
-                bound.append(i)
+        bound = []
+        if self.joined:
+            bound = [i for i in missing if not (words[i][0] in " \n" and words[i][1:].isalpha()) and bound_(words[i])]
+            for i in bound:
                 ids[i] = b""
-                continue
-            if last in marks and len(w) > 2 and w[-2].lower().isalpha():
-                stem, to = w[:-1], marked
-            else:
-                stem, to = w, plain
-            if not joined and stem.isascii():
-                stem = stem.lower()
-            to.append((i, stem))
-            if stem not in stems:
-                stems[stem] = cache.get(stem) or old.pop(stem, None)
-        ask = [w for w, b in stems.items() if b is None]
+        if old:
+            for i in missing:
+                if ids[i] is None and (b := old.pop(words[i], None)) is not None:
+                    ids[i] = cache[words[i]] = b
+        ask = [i for i in missing if ids[i] is None]
         for at in range(0, len(ask), 20_000):
-            stems.update(zip(ask[at : at + 20_000], self._encode(ask[at : at + 20_000]), strict=True))
-        cache.update(stems)  # type: ignore[arg-type]
-        for i, stem in plain:
-            ids[i] = stems[stem]
-        for i, stem in marked:
-            ids[i] = stems[stem] + marks[words[i][-1]]  # type: ignore[operator]
+            some = ask[at : at + 20_000]
+            asked = [words[i] for i in some]
+            found = self._encode(asked)
+            cache.update(zip(asked, found, strict=True))
+            for i, b in zip(some, found, strict=True):
+                ids[i] = b
         return bound
 
-    def _pieces(self, texts: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
-
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All texts' pieces one after another, and where each text's begin."""
+        data, offsets = text_bytes(texts)
+        kind, n = self.kind[data], len(data)
+        separator = kind == _SEPARATOR
+        start = separator.copy()
+        start[offsets[offsets < n]] = True
+        if self.MARKS:
+            at = np.flatnonzero(kind == _MARK)
+            at = at[~start[at]]
+            # Latin-1's letters from U+00C0 on are the byte C3 and another, but for the signs at 97 and B7
+            latin = (data[at - 2] == 0xC3) & (data[at - 1] >= 0x80) & (data[at - 1] != 0x97) & (data[at - 1] != 0xB7)
+            start[at[(kind[at - 1] == _LETTER) | latin]] = True
+        begin = np.flatnonzero(start)
+        bounds = np.searchsorted(begin, offsets)
         if not self.joined:
-            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
+            gone = separator[begin]
+            begin -= np.cumsum(gone) - gone
+            data = data[~separator]
+        ends = np.append(begin, len(data))
+        return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), bounds
 
     def _from_cache(self, texts: pa.Array) -> list[bytes]:
         import pyarrow.compute as pc
 
-        split = self._pieces(texts)
-        bounds = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
-        piece, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pieces, bounds = self._pieces(texts)
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         ids = list(map(self.cache.get, words))
         missing = [i for i, b in enumerate(ids) if b is None]
         whole = np.zeros(len(texts), bool)
-        for s in [*self.openings, "\0"] if self.joined else self.openings:
-            whole |= pc.match_substring(texts, s, ignore_case=s != "\0").to_numpy(zero_copy_only=False)
-        if missing:
-            bound = self._fill(words, ids, missing)
-            if bound:
-                at = np.flatnonzero(np.isin(piece, bound))
-                whole = whole.copy()
-                whole[np.searchsorted(bounds, at + bounds[0], "right") - 1] = True
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.cumsum(size, dtype=np.int32) - size
-        n = size[piece]
-        ends = np.cumsum(n, dtype=np.int32)  # a block's ids are far fewer than 2 ** 31
-        tokens = flat[np.repeat(begin[piece] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)].tobytes()
-        cut = (4 * np.concatenate([[0], ends.astype(np.int64)])[bounds - bounds[0]]).tolist()
-        out = [tokens[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for s in self.openings:
+            whole |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
+        if missing and (bound := self._fill(words, ids, missing)):
+            alone = np.zeros(len(words), bool)
+            alone[bound] = True
+            at = np.flatnonzero(alone[coded.indices.to_numpy()])
+            whole[np.searchsorted(bounds, at, "right") - 1] = True
+        tokens = pa.array(ids, pa.large_binary()).take(coded.indices)
+        cut = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1)[bounds].tolist() if len(tokens) else [0] * (len(texts) + 1)
+        flat = memoryview(tokens.buffers()[2] or b"")
+        out = [bytes(flat[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if rows := np.flatnonzero(whole).tolist():
             for i, b in zip(rows, self._whole(texts.take(pa.array(rows)).to_pylist()), strict=True):
                 out[i] = b
         return out
 
 
+def _cut(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian 32-bit ids."""
+    flat = array("I", chain.from_iterable(ids)).tobytes()
+    ends = [4 * n for n in accumulate(map(len, ids))]
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 _encoders: dict[tuple[str, bool, bool], CachedEncoder] = {}
 
 
@@ -292,7 +309,8 @@ class CachedEncoder(PieceCache):
     Strings of special tokens are ordinary text, or with `special` those tokens; texts that may hold one are then encoded in one go.
     """
 
-    MARKS = ".,;:!?"
+    #: Not ' as of contractions, nor < | > as of the strings that the word vocabulary's pattern names.
+    MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
     PROBES = ("a", "The", " the", " Word", "naïve", " Größe", " ÉCOLE", "œuvre", " ñandú", "verständigung", " supercalifragilistic")
 
     def __init__(self, path: str, joined: bool, entries: int = CACHE_ENTRIES, special: bool = False):
@@ -304,16 +322,15 @@ class CachedEncoder(PieceCache):
         self.openings = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}) if special else []
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.line = self._by_tokenizer(["\n"])[0]
         # a word of letters is one pre-token; whether its model ids are the tokenizer's is tried out once
-        self.direct = all(self._letters(w) is None or self._by_model([w]) == self._by_tokenizer([w]) for w in self.PROBES)
-        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
+        self.direct = all(self._letters(w) is None or self._of_model([self._letters(w)]) == self._by_tokenizer([w]) for w in self.PROBES)
 
     def _by_tokenizer(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return _cut([e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
-    def _by_model(self, words: list[str]) -> list[bytes]:
-        tokenize = self.model.tokenize
-        return [array("I", [t.id for t in tokenize(self._letters(w))]).tobytes() for w in words]
+    def _of_model(self, spelled: list[str]) -> list[bytes]:
+        return _cut([[t.id for t in tokens] for tokens in map(self.model.tokenize, spelled)])
 
     def _letters(self, piece: str) -> str | None:
         """A word of Latin letters as the model spells it: normalised, in the byte alphabet; None for other pieces."""
@@ -332,12 +349,23 @@ class CachedEncoder(PieceCache):
     def _encode(self, pieces: list[str]) -> list[bytes]:
         if not self.direct:
             return self._by_tokenizer(pieces)
-        tokenize = self.model.tokenize
-        spelled = list(map(self._letters, pieces))
-        out = [None if s is None else array("I", [t.id for t in tokenize(s)]).tobytes() for s in spelled]
-        if other := [i for i, b in enumerate(out) if b is None]:
-            for i, b in zip(other, self._by_tokenizer([pieces[i] for i in other]), strict=True):
-                out[i] = b
+        letters, line = self._letters, {}
+        if self.joined:
+            space = _BYTE_ALPHABET[32]
+            spelled = [space + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else letters(w) for w in pieces]
+            # a line feed before a letter is a token of its own
+            line = {i: s for i, w in enumerate(pieces) if spelled[i] is None and w[0] == "\n" and (s := letters(w[1:])) is not None}
+        else:
+            spelled = [w if w.isascii() and w.islower() and w.isalpha() else letters(w) for w in pieces]
+        out: list[bytes | None] = [None] * len(pieces)
+        other = [i for i, s in enumerate(spelled) if s is None and i not in line]
+        for i, b in zip(other, self._by_tokenizer([pieces[i] for i in other]), strict=True):
+            out[i] = b
+        for i, b in zip(line, self._of_model(list(line.values())), strict=True):
+            out[i] = self.line + b
+        direct = [i for i, s in enumerate(spelled) if s is not None]
+        for i, b in zip(direct, self._of_model([spelled[i] for i in direct]), strict=True):
+            out[i] = b
         return out  # type: ignore[return-value]
 
     def _bound(self, piece: str) -> bool:

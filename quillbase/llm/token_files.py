@@ -44,7 +44,7 @@ ENTRIES = 1_400_000
 #: Bits, at most, of the hash by which pairs are counted.
 _BITS = 18
 #: Longest expansion that is looked up whole when symbols are expanded.
-SHORT = 64
+SHORT = 512
 
 
 def _frequent(symbols: np.ndarray, at: np.ndarray, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,13 +141,13 @@ class Shard:
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Expansions of up to SHORT ids one after another, and where each symbol's begins; longer ones are left out."""
+        """Expansions of up to SHORT ids one after another, and the byte where each symbol's begins; longer ones are left out."""
         if self._table is None:
             short = self.lengths <= SHORT
             sizes = np.concatenate([np.ones(self.terminals, np.int32), np.where(short, self.lengths, 0).astype(np.int32)])
-            begin = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+            begin = 4 * np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
             made = self._halved(self.rules[short].reshape(-1), 1)
-            self._table = (np.concatenate([np.arange(self.terminals, dtype=np.uint32), made.astype(np.uint32)]), begin)
+            self._table = (np.concatenate([np.arange(self.terminals, dtype="<u4"), made.astype("<u4")]), begin)
         return self._table
 
     def _halved(self, symbols: np.ndarray, most: int) -> np.ndarray:
@@ -167,12 +167,9 @@ class Shard:
         flat, begin = self._expansions()
         if len(self.lengths) and self.lengths.max() > SHORT:
             symbols = self._halved(symbols, SHORT)
-        start = begin[symbols]
-        size = begin[1:][symbols] - start
-        out = np.cumsum(size, dtype=np.int64)
-        if len(out) and out[-1] < 2**31:  # shards of ordinary size
-            out = out.astype(np.int32)
-        return flat[np.repeat(start - (out - size), size) + np.arange(out[-1] if len(out) else 0, dtype=out.dtype)]
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(flat)])
+        made = table.take(pa.array(symbols)).buffers()[2]
+        return np.frombuffer(made, "<u4") if made is not None and len(symbols) else np.zeros(0, "<u4")
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document alone."""
@@ -257,7 +254,7 @@ def index(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, before, docs, data in zip(*(batch.column(c).to_pylist() for c in ("part", "before", "docs", "body")), strict=True):
                 shard = Shard(data)
-                ids, sizes = shard.expand(shard.symbols).astype("<u4").tobytes(), shard.sizes()
+                ids, sizes = memoryview(shard.expand(shard.symbols)).cast("B"), shard.sizes()
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 start = shared.value[part] + before + ends - sizes

@@ -44,6 +44,16 @@ def test_cached_encoder(path, joined):
     assert own.encode(sliced) == [np.array(want(t), "<u4").tobytes() for t in ODD]
 
 
+@pytest.mark.parametrize("special", [False, True])
+@pytest.mark.parametrize(("path", "joined"), [(BYTE, True), (WORD, False)])
+def test_pieces_are_cut_where_tokens_end(path, joined, special):
+    own, want, rng = common.CachedEncoder(path, joined, 60, special=special), library(path, special), random.Random(2)
+    units = [*"abzAZ  \n\n.,;:!?'|<>$#*-_=()[]\\\"`~^&%+/@{}\t\r019é×÷ÀñςΣ中\u00a0\u2003\u0338\u0300İıK\x1c\0", "'s", "'ll", "<|endoftext|>", "word", "The"]
+    for _ in range(200):
+        texts = ["".join(rng.choices(units, k=rng.randint(0, 30))) for _ in range(rng.randint(0, 20))]
+        assert own.encode(pa.array(texts, pa.string())) == [np.array(want(t), "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize(("path", "joined"), [(BYTE, True), (WORD, False)])
 def test_special_tokens_in_texts(path, joined):
     own, want = common.CachedEncoder(path, joined, 40, special=True), library(path, True)
