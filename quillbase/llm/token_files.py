@@ -43,20 +43,23 @@ BLOCK = 8 << 20
 ENTRIES = 1_400_000
 #: Bits, at most, of the hash by which pairs are counted.
 _BITS = 18
+#: The bits of a symbol, and the one beside them that marks a place to look at.
+SYMBOL, OPEN = np.uint32(65535), np.uint32(1 << 16)
 #: Longest expansion that is looked up whole when symbols are expanded.
 SHORT = 512
 
 
 def _frequent(symbols: np.ndarray, at: np.ndarray, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the places `at` those whose pair may occur `least` times or more, overlaps counted, and the pairs there."""
-    key = symbols[at] << np.uint32(16) | symbols[at + 1]
+    key = symbols.take(at)
+    key <<= np.uint32(16)
+    key |= symbols[1:].take(at) & SYMBOL
     bits = min(_BITS, max(8, len(at).bit_length()))
-    bucket = (key * np.uint32(2654435761)) >> np.uint32(32 - bits)
-    often = np.bincount(bucket, minlength=1 << bits) >= least
-    some = often[bucket]
-    at, key = at[some], key[some]
-    inside = (key >> np.uint32(16) != end) & (key & np.uint32(65535) != end)
-    return at[inside], key[inside]
+    bucket = ((key * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.intp)
+    some = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least).take(bucket))
+    at, key = at.take(some), key.take(some)
+    inside = np.flatnonzero((key >> np.uint32(16) != end) & (key & SYMBOL != end))
+    return at.take(inside), key.take(inside)
 
 
 def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -75,10 +78,10 @@ def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS, least: i
     A pair of symbols that are there already only gets rarer, so after the first round places are looked at whose pair was
     frequent in the last one or has one of its nonterminals.
     """
-    symbols, rules, made = ids.astype(np.uint32), [], terminals
-    open_ = np.ones(len(symbols), bool)
+    # a symbol's place is open where OPEN is set beside it
+    symbols, rules, made = ids.astype(np.uint32) | OPEN, [], terminals
     while len(symbols) > 1 and made < 65536:
-        at, key = _frequent(symbols, np.flatnonzero(open_[:-1]), end, least)
+        at, key = _frequent(symbols, np.flatnonzero(symbols[:-1] >= OPEN), end, least)
         order = np.argsort(key)
         ordered = key[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(at) else np.zeros(0, np.int64)
@@ -87,28 +90,28 @@ def repair(ids: np.ndarray, end: int = END, terminals: int = TERMINALS, least: i
         if not len(best):
             break
         best = best[np.argsort(-sizes[best], kind="stable")]
-        rank = np.full(len(starts), -1)
-        rank[best] = np.arange(len(best))
-        of = np.empty(len(at), np.int64)
+        rank = np.full(len(starts), -1, np.int32)
+        rank[best] = np.arange(len(best), dtype=np.int32)
+        of = np.empty(len(at), np.int32)
         of[order] = np.repeat(rank, sizes)
-        at, of = at[of >= 0], of[of >= 0]
-        open_[:] = False
-        open_[at] = True
-        won = _winners(at, of)
+        often = np.flatnonzero(of >= 0)
+        at, of = at[often], of[often]
+        symbols &= SYMBOL
+        symbols[at] |= OPEN
+        won = np.flatnonzero(_winners(at, of))
         at, of = at[won], of[won]
         # a rule takes as much room as four symbols: pairs that overlaps leave few of wait for a later round, but for the first
         used = np.bincount(of, minlength=len(best)) >= least // 2
         used[0] = True
         used[np.flatnonzero(used)[65536 - made :]] = False
-        name = np.cumsum(used) - 1 + made
-        at, of = at[used[of]], of[used[of]]
+        name = (np.cumsum(used) - 1 + made).astype(np.uint32)
+        kept = np.flatnonzero(used[of])
+        at, of = at[kept], of[kept]
         pairs = ordered[starts[best[used]]]
-        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(65535)], 1).astype(np.uint16))
-        symbols[at] = name[of]
-        open_[at] = open_[np.maximum(at - 1, 0)] = True
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, open_ = symbols[keep], open_[keep]
+        rules.append(np.stack([pairs >> np.uint32(16), pairs & SYMBOL], 1).astype(np.uint16))
+        symbols[at] = name[of] | OPEN
+        symbols[np.maximum(at - 1, 0)] |= OPEN
+        symbols = np.delete(symbols, at + 1)
         made += len(pairs)
     return symbols.astype(np.uint16), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
 
