@@ -10,6 +10,7 @@ together by payload, in order.
 
 Which rows ask for chunks of others, and which hold such chunks, is told by two bit filters over their places, broadcasts
 of BITS / 8 bytes at any size of the corpus: a row that a filter names by chance takes the join too, to the same result.
+A third one, over the digests that have several places, keeps chunks of one place out of the join that finds requests.
 
 A payload's stored form is its chunk list file (magic, count, and for each chunk its SHA-256 and length) followed by its
 chunks' 8-bit samples in order. `media_bytes` is its length and `media_sha256` its digest, both taken as it is read back.
@@ -170,13 +171,27 @@ def canonical(chunks_: DataFrame) -> DataFrame:
     return chunks_.groupBy("digest").agg(F.min(F.struct("place", "seq")).alias("best"), F.count("*").alias("n"))
 
 
-def requests(chunks_: DataFrame) -> DataFrame:
+def requests(chunks_: DataFrame, bits: int = BITS) -> DataFrame:
     """(place, seq, digest, holder, holder_seq) of the chunks whose canonical place is another one."""
     shared = staged(canonical(chunks_).where("n > 1"), "shared")
-    both = chunks_.join(shared, "digest").where((F.col("place") != F.col("best.place")) | (F.col("seq") != F.col("best.seq")))
+    both = maybe_shared(chunks_, shared, bits).join(shared, "digest").where((F.col("place") != F.col("best.place")) | (F.col("seq") != F.col("best.seq")))
     return both.select("place", "seq", "digest", F.col("best.place").alias("holder"), F.col("best.seq").alias("holder_seq"))
 
 
+def maybe_shared(chunks_: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    """The rows of `chunks_` whose digest is in `shared`, and a few others, so that the join need not move all chunks."""
+    of_digest = F.xxhash64("digest")
+    known = chunks_.sparkSession.sparkContext.broadcast(bit_filter(shared.select(of_digest), bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = batch.filter(pa.array(_named(known.value, batch.column("hash").to_numpy())))
+                yield kept.select(["place", "seq", "digest"])
+
+    return chunks_.select("place", "seq", "digest", of_digest.alias("hash")).mapInArrow(run, "place long, seq int, digest binary")
+
+
 def _positions(places: np.ndarray, bits: int) -> np.ndarray:
     """HASHES bits of the filter for each place; `bits` is a power of 2."""
     h = mix(places.astype(U64) + GOLDEN)
@@ -184,7 +199,7 @@ def _positions(places: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bit_filter(places: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The filter as 32-bit words. Bits are joined before they reach the driver: bits / 32 rows at most."""
+    """The filter over places, or over hashes, as 32-bit words. Bits are joined before they reach the driver: bits / 32 rows at most."""
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = np.unique(_positions(batch.column(0).to_numpy(), bits))
@@ -267,7 +282,7 @@ def reconstruct(packs: DataFrame, bits: int = BITS) -> DataFrame:
     """READ for each payload, from canonical chunks in the order of its list."""
     n = width(packs.sparkSession)
     read_from = readers(packs)
-    wanted = staged(requests(staged(chunks(packs, read_from), "chunks")), "requests")
+    wanted = staged(requests(staged(chunks(packs, read_from), "chunks"), bits), "requests")
     asks, holds = (bit_filter(wanted.select(c), bits) for c in ("place", "holder"))
     both = staged(_read_own(packs, asks, holds), "read", compression="zstd")
     alone = both.where("place IS NULL").select(*[F.col(f"read_{c}").alias(c) for c in _NAMES])

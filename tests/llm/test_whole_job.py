@@ -39,6 +39,32 @@ def test_a_payload_that_is_another_ones_chunk(spark, tmp_path):
         assert got == {i: len(mc.payloads(docs.where(f"doc_id = {i}").toArrow().column("text").combine_chunks())[0][0]) for i, _ in own}
 
 
+def shuffled_records(spark, action):
+    """What `action` gives, and the records that its stages wrote to shuffles."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return action(), total() - before
+
+
+def test_chunks_of_one_place_are_not_moved_to_find_requests(spark):
+    rows = [(i, 0, i.to_bytes(32, "big")) for i in range(20_000)] + [(20_000 + i, 1, (i % 50).to_bytes(32, "big")) for i in range(100)]
+    chunks = spark.createDataFrame(rows, "place long, seq int, digest binary").repartition(4).localCheckpoint()
+    own, at = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(own, "-1")
+    try:
+        found, moved = shuffled_records(spark, lambda: mc.requests(chunks).collect())
+    finally:
+        spark.conf.set(own, at)
+    assert sorted((r.place, r.seq, r.digest, r.holder, r.holder_seq) for r in found) == [(p, s, d, p % 50, 0) for p, s, d in rows[20_000:]]
+    assert moved < 1.2 * len(rows)  # once, to count the places of each digest
+
+
 def test_runs_beside_an_equals_sign_are_tested(spark):
     rng = random.Random(12)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
