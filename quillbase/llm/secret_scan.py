@@ -7,10 +7,10 @@ the lag-1 serial correlation of symbol indices (both tails). Fisher's method joi
 if the joint p-value is not small.
 
 That a structured run looks random by chance is controlled over the whole corpus. Structured runs of known kind are
-tested beside the candidates: REFERENCE runs made by rule for each spelling and length, and one glued from words of each
-document's own text. A candidate's p-value is the share of structured runs of its alphabet and class of length that look
-at least as random (a conformal p-value, so nothing is assumed of the battery's distribution), and Benjamini-Hochberg
-over all candidates keeps the share of false discoveries at `fdr`. Short runs, of which structured ones pass more often,
+tested beside the candidates: REFERENCE runs made by rule for each spelling and length, and those glued from all words of
+all texts, each word once. A candidate's p-value is the share of structured runs of its alphabet and class of length that
+look at least as random (a conformal p-value, so nothing is assumed of the battery's distribution), and
+Benjamini-Hochberg over all candidates keeps the share of false discoveries at `fdr`. Short runs, of which structured ones pass more often,
 thus need a better score than long ones. Only counts by alphabet, class of length and step of the score reach the driver.
 
 Each text is scanned once: spans and scores are written to the shared folder before the threshold is known.
@@ -108,12 +108,14 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
 
 def _normal_below(z: Column) -> Column:
     """The normal distribution function (Zelen and Severo's 7.5e-8 approximation; for tails below 1e-7, the asymptotic bound)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    density = F.exp(-a * a / 2) * 0.3989422804014327
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.when(a > 5, density / a).otherwise(density * series)
-    return F.when(z < 0, upper).otherwise(1 - upper)
+
+    def of_bound(s: Column) -> Column:
+        a, t = s["a"], 1 / (1 + 0.2316419 * s["a"])
+        density = F.exp(-a * a / 2) * 0.3989422804014327
+        series = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return _bind(F.when(a > 5, density / a).otherwise(density * _bind(t, series)), lambda upper: F.when(s["z"] < 0, upper).otherwise(1 - upper))
+
+    return _bind(_bind(z, lambda z: F.struct(z.alias("z"), F.abs(z).alias("a"))), of_bound)  # bound, or it is computed anew wherever it stands
 
 
 def _both_tails(z: Column) -> Column:
@@ -134,16 +136,19 @@ def battery(token: Column) -> Column:
         which = F.lit(len(ALPHABETS) - 1)
         for i, (_, pattern, _) in reversed(list(enumerate(ALPHABETS[:-1]))):
             which = F.when(run.rlike(pattern), F.lit(i)).otherwise(which)
-        return _bind(which, lambda a: _bind(_symbols(run, _pick([x[0] for x in ALPHABETS], a)), lambda v: of_symbols(a, v)))
+        return _bind(which, lambda a: _bind(F.struct(F.translate(run, "-_", "+/").alias("run"), F.get(F.expr(_INDICES), a).alias("at")), lambda s: of_text(a, s["run"], s["at"])))
+
+    def of_text(a: Column, run: Column, at: Column) -> Column:
+        of_chars = lambda chars: _bind(F.struct(_symbols(chars, at).alias("v"), _tally(run, chars, at).alias("tally")), lambda s: of_symbols(a, run, s["v"], s["tally"]))
+        return _bind(F.array_remove(F.split(run, ""), ""), of_chars)
 
-    def of_symbols(a: Column, v: Column) -> Column:
+    def of_symbols(a: Column, run: Column, v: Column, tally: Column) -> Column:
         n = F.size(v).cast("double")
         size = _pick([float(len(x[0])) for x in ALPHABETS], a)
-        squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda acc, s: acc + F.pow(F.size(F.filter(v, lambda y: y == s)).cast("double"), F.lit(2.0)))
+        squares = _total(tally, lambda t: t["k"] * t["k"])
         free = size - 1  # degrees of freedom; Wilson and Hilferty's cube root
         chi = _normal_below(-(F.pow(F.greatest(size / n * squares - n, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-        pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-        return _bind(pairs, lambda ps: joined(a, n, chi, _runs_test(a, n, ps), _serial_test(n, ps)))
+        return joined(a, n, chi, _runs_test(a, n, run), _serial_test(n, v, tally))
 
     def joined(a: Column, n: Column, chi: Column, runs: Column, serial: Column) -> Column:
         each = F.struct(*[F.greatest(p, F.lit(1e-300)).alias(k) for k, p in (("chi", chi), ("runs", runs), ("serial", serial))])
@@ -153,33 +158,52 @@ def battery(token: Column) -> Column:
     return _bind(F.regexp_replace(token, "=+$", ""), of_run)
 
 
-def _runs_test(a: Column, n: Column, pairs: Column) -> Column:
-    bounds = [[sum(x[2][:i]) for i in range(1, len(x[2]))] for x in ALPHABETS]
-    low, mid, high = (_pick([b[i] if i < len(b) else 999 for b in bounds], a) for i in range(3))
-    kind = lambda x: F.when(x < low, 0).when(x < mid, 1).when(x < high, 2).otherwise(3)
-    changes = F.size(F.filter(pairs, lambda p: kind(p["x"]) != kind(p["y"]))).cast("double")
+def _total(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
+
+
+def _runs_test(a: Column, n: Column, run: Column) -> Column:
+    """In every alphabet the classes are capitals, small letters, digits and the rest."""
+    changes = (F.length(F.regexp_replace(run, "[A-Z]+|[a-z]+|[0-9]+|[+/]+", ".")) - 1).cast("double")
     rate, together = (_pick([_changes(x[2])[i] for x in ALPHABETS], a) for i in (0, 1))
     return _both_tails((changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate) + 2 * (n - 2) * together))
 
 
-def _serial_test(n: Column, pairs: Column) -> Column:
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + f(p).cast("double"))
-    sums = F.struct(
-        total(lambda p: p["x"]).alias("x"), total(lambda p: p["y"]).alias("y"), total(lambda p: p["x"] * p["y"]).alias("xy"), total(lambda p: p["x"] * p["x"]).alias("xx"), total(lambda p: p["y"] * p["y"]).alias("yy")
-    )
+def _serial_test(n: Column, v: Column, tally: Column) -> Column:
+    first, last = F.get(v, F.lit(0)).cast("double"), F.element_at(v, -1).cast("double")
+    products = F.aggregate(F.sequence(F.lit(1), F.size(v) - 1), F.lit(0.0), lambda acc, i: acc + F.get(v, i - 1) * F.get(v, i))
+    every = F.struct(_total(tally, lambda t: t["k"] * t["x"]).alias("s"), _total(tally, lambda t: t["k"] * t["x"] * t["x"]).alias("q"), first.alias("first"), last.alias("last"), products.alias("xy"))
     m = n - 1
 
+    def sums(e: Column) -> Column:
+        return F.struct((e["s"] - e["last"]).alias("x"), (e["s"] - e["first"]).alias("y"), e["xy"].alias("xy"), (e["q"] - e["last"] * e["last"]).alias("xx"), (e["q"] - e["first"] * e["first"]).alias("yy"))
+
     def of_sums(s: Column) -> Column:
         spread = (m * s["xx"] - s["x"] * s["x"]) * (m * s["yy"] - s["y"] * s["y"])
         r = F.when(spread > 0, (m * s["xy"] - s["x"] * s["y"]) / F.sqrt(spread)).otherwise(1.0)
         return _both_tails((r + 1 / m) * F.sqrt(m))
 
-    return _bind(sums, of_sums)
+    return _bind(_bind(every, sums), of_sums)
+
+
+#: For each alphabet, the index of each of its symbols at the symbol's code less _FIRST.
+_FIRST = ord("+")
+_INDICES = f"array({', '.join('array(' + ', '.join(str(x[0].find(chr(c))) for c in range(_FIRST, ord('z') + 1)) + ')' for x in ALPHABETS)})"
 
 
-def _symbols(tok: Column, alphabet: Column) -> Column:
-    """Indices in the alphabet of a token's characters; base64url's two count as base64's."""
-    return _bind(alphabet, lambda abc: F.transform(F.array_remove(F.split(F.translate(tok, "-_", "+/"), ""), ""), lambda c: F.call_function("locate", c, abc) - 1))
+def _index(c: Column, at: Column) -> Column:
+    return F.get(at, F.ascii(c) - _FIRST)
+
+
+def _symbols(chars: Column, at: Column) -> Column:
+    """Indices in the alphabet of a token's characters."""
+    return F.transform(chars, lambda c: _index(c, at))
+
+
+def _tally(run: Column, chars: Column, at: Column) -> Column:
+    """Index in the alphabet, and number, of each of a token's distinct characters."""
+    number = lambda c: (F.size(chars) - F.octet_length(F.replace(run, c, F.lit("")))).cast("double")
+    return F.transform(F.array_distinct(chars), lambda c: F.struct(_index(c, at).cast("double").alias("x"), number(c).alias("k")))
 
 
 def _cell(token: Column) -> Column:
@@ -229,6 +253,10 @@ def reference(spark: SparkSession) -> DataFrame:
     return rows.select(F.substring(glued, F.lit(1), _length_in(length, F.xxhash64("id", F.lit(-1)))).alias("run"))
 
 
+#: Words in a lot; the last lot of a text has up to twice as many.
+GLUED = 64
+
+
 def _length_in(length: Column, h: Column) -> Column:
     """A length within a class, by a hash."""
     ends = [*LENGTHS[1:], 2 * LENGTHS[-1]]
@@ -236,18 +264,31 @@ def _length_in(length: Column, h: Column) -> Column:
 
 
 def _glued(text: Column) -> Column:
-    """A structured run from words of the text itself, somewhere in it; null if there are too few."""
+    """Structured runs from all words of the text itself, each word in one of them; none if all words make no run of 20.
+
+    What holds a digit, or a run long enough to be a candidate, is no word. Words are taken by lots of GLUED, which have
+    the five spellings and the classes of length in turn; what is left of a lot lengthens its last run.
+    """
 
-    def of_hash(h: Column) -> Column:
-        window = F.substring(text, F.pmod(h, F.greatest(F.length(text) - 240, F.lit(1))).cast("int") + 1, F.lit(240))
-        words = F.regexp_replace(F.regexp_replace(window, r"^\S*\s|\s\S*$", " "), r"\S*[0-9]\S*|[A-Za-z+/_-]{20,}", " ")
-        kind = F.pmod(F.shiftright(h, 20), F.lit(5)).cast("int")
+    def of_lot(words: Column, turn: Column) -> Column:
+        kind, length = F.pmod(turn, F.lit(5)).cast("int"), F.pmod(F.floor(turn / 5), F.lit(len(LENGTHS))).cast("int")
         cased = F.when(kind == 3, F.initcap(words)).when(kind == 4, F.upper(words)).otherwise(words)
-        run = F.regexp_replace(F.regexp_replace(cased, "^[^A-Za-z]+", ""), F.lit("[^A-Za-z]+"), _pick(["", "-", "/", "", ""], kind))
-        n = _length_in(F.pmod(F.shiftright(h, 24), F.lit(len(LENGTHS))).cast("int"), F.shiftright(h, 30))
-        return _bind(F.struct(run.alias("run"), n.alias("n")), lambda s: F.when(F.length(s["run"]) >= s["n"], F.substring(s["run"], F.lit(1), s["n"])))
+        run = F.replace(cased, F.lit(" "), _pick(["", "-", "/", "", ""], kind))
+        return _bind(F.struct(run.alias("run"), _length_in(length, F.xxhash64(words)).alias("n")), lambda s: cut(s["run"], s["n"]))
+
+    def cut(run: Column, n: Column) -> Column:
+        last = F.greatest(F.floor(F.length(run) / n).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(run, i * n + 1, F.when(i == last, F.length(run)).otherwise(n)))
+
+    def lots(words: Column) -> Column:
+        last = F.greatest(F.floor(F.size(words) / GLUED).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * GLUED + 1, F.when(i == last, F.size(words)).otherwise(GLUED)), " "))
 
-    return _bind(F.xxhash64(text), of_hash)
+    plain = F.filter(F.split(text, r"\s+"), lambda w: ~w.rlike("[0-9]") & ((F.octet_length(w) < LENGTHS[0]) | ~w.rlike(f"[A-Za-z+/_-]{{{LENGTHS[0]}}}")))
+    words = F.regexp_extract_all(F.array_join(plain, " "), F.lit("[A-Za-z]+"), F.lit(0))
+    first = F.pmod(F.xxhash64(text), F.lit(5 * len(LENGTHS)))
+    runs = _bind(first, lambda h: F.flatten(F.transform(_bind(words, lots), lambda lot, i: of_lot(lot, h + i))))
+    return F.filter(runs, lambda r: F.length(r) >= LENGTHS[0])
 
 
 # -- scanning
@@ -263,7 +304,7 @@ def candidates(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.concat(*[_spans(t, k, *PATTERNS[name]) for k, name in enumerate(KINDS[:3])]).alias("_base"),
         _spans(t, 3, CANDIDATE, 0, 20).alias("_runs"),
         F.transform(tokens, _cell).alias("_cells"),
-        F.transform(F.filter(F.array(_glued(t)), lambda r: r.isNotNull()), _cell).alias("_decoys"),
+        F.transform(_glued(t), _cell).alias("_decoys"),
     )
 
 

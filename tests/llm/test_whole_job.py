@@ -1,6 +1,7 @@
 """Cases in which operators once did less than the whole job."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,20 @@ def test_runs_beside_an_equals_sign_are_tested(spark):
     assert sum(run not in masked[i] for i, _, run in own[:40]) >= 36
 
 
+def test_structured_runs_hold_every_word_of_every_text(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, n).replace(" of ", "\n- ") + " x9y " + "a" * 25 + " end" for n in (0, 3, 30, 62, 63, 64, 126, 127, 128, 700, 9000)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    runs = {r.doc_id: r.runs for r in docs.select("doc_id", ss._glued(ss.text_or_empty()).alias("runs")).collect()}
+    for i, text in enumerate(texts):
+        letters = "".join(re.sub("[^A-Za-z]", "", w) for w in text.split() if not re.search("[0-9]|[A-Za-z+/_-]{20}", w)).lower()
+        assert re.sub("[^a-z]", "", "".join(runs[i]).lower()) == (letters if runs[i] else "") and all(len(r) >= 20 for r in runs[i])
+        assert runs[i] or len(letters) < 20
+    assert runs[99] == [] and len({re.sub("[A-Za-z]", "", r)[:1] for r in runs[10]}) == 3
+    tested = {r.doc_id: r.n for r in ss.candidates(docs, ("doc_id",)).select("_row.doc_id", F.size("_decoys").alias("n")).collect()}
+    assert tested == {i: len(r) for i, r in runs.items()}
+
+
 def test_one_row_of_each_class_whatever_the_ids(spark):
     rng = random.Random(13)
     alone = [prose(rng, 60) for _ in range(5)]
