@@ -44,6 +44,8 @@ STARS = 3
 #: Elements on either side of a comparing group, on average; either side has about GROUP nodes at most.
 SIDE = 400_000
 BLOCK = 1 << 20
+#: Edges (of 16 bytes) that one task links up; more of them take rounds of stars.
+ALONE = 1 << 20
 _words = kept(WordIds())
 
 
@@ -198,25 +200,66 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "a long, b long")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b) but the least of each component, with that least one."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+        x, y = root[x], root[y]
+        x, y = x[apart := x != y], y[apart]
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> stars with the same components, one set of them for every ALONE rows or so."""
+
+    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = _forest(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("a", "b")))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(x.num_rows for x in held) + batch.num_rows > ALONE:
+            yield solved(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield solved(held)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each linked component, by alternating large and small stars.
+    """(node, root): the least node of each linked component.
 
-    Every step is a minimum for each node and a join; the loop ends when a step changes no edge. The minima are written out
-    before they are joined, as AQE splits a star's hot centre only where both sides are plain shuffles.
+    Each task first turns its own edges into stars. Where ALONE edges at most are left, one task ends the work; else
+    alternating large and small stars go on, each a minimum for each node and a join, until that is so or a step changes no
+    edge. The minima are written out before they are joined, as AQE splits a star's hot centre only where both sides are
+    plain shuffles.
     """
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = staged(links.where("a <> b").select("a", "b").mapInArrow(_forests, "a long, b long"), "edges")
     seen = None
     while True:
+        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("s")).first()
+        if mark == seen or mark["n"] <= ALONE:
+            break
+        seen = mark
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = staged(small.where("a <> b").distinct(), "edges")
-        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("s")).first()
-        if mark == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+    if mark["n"] <= ALONE:
+        edges = staged(edges.repartition(1).mapInArrow(_forests, "a long, b long"), "roots")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _near_in_size() -> Column:
@@ -349,21 +392,19 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(involved, "node").select("key", "node")
     texts = staged(keyed.join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "texts")
 
-    links = staged(verified(first, texts), "links")
-    roots = components(links)
+    roots = components(staged(verified(first, texts), "links"))
     large = buckets.where(F.col("size") > GROUP)
     for turn in range(STARS if large.limit(1).count() else 0):
         open_ = _open(large, roots)
         found = staged(verified(staged(_star_pairs(open_, turn), "pairs"), texts), "links")
         if not found.limit(1).count():
             break
-        links = links.unionByName(found)
-        roots = components(links)
+        roots = components(_edges(roots).unionByName(found))
     open_ = _open(buckets, roots)
     if open_.limit(1).count():
         found = staged(_settled(open_, nodes, texts), "links")
         if found.limit(1).count():
-            roots = components(links.unionByName(found))
+            roots = components(_edges(roots).unionByName(found))
     named = nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     placed = staged(rows.select("doc_id", "key").join(named, "key"), "placed")
     least = staged(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")

@@ -142,6 +142,34 @@ def test_components(spark):
     assert got == {n: find(n) for n in root if find(n) != n}
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """A long path and a star of hot centre: without the bound of one task every round writes two tables and shuffles four times."""
+    links = [(i, i + 1) for i in range(600)] + [(2000, i) for i in range(1000, 1400)]
+    want = {i: 0 for i in range(1, 601)} | {i: 1000 for i in [*range(1001, 1400), 2000]}
+    random.Random(9).shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    written = []
+    staged = bm.staged
+    monkeypatch.setattr(bm, "staged", lambda *a: written.append(a[1]) or staged(*a))
+    assert {r.node: r.root for r in bm.components(df).collect()} == want and len(written) == 2
+    for alone in (0, 700):
+        monkeypatch.setattr(bm, "ALONE", alone)
+        assert {r.node: r.root for r in bm.components(df).collect()} == want
+
+
+def test_forest_against_brute_force():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30, 200):
+        for _ in range(20):
+            a, b = rng.integers(0, 1 << 40, n)[rng.integers(0, n, (2, n))]
+            root = {int(x): int(x) for x in [*a, *b]}
+            for _ in root:
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    root[x] = root[y] = min(root[x], root[y])
+            node, least = bm._forest(a, b)
+            assert dict(zip(node.tolist(), least.tolist(), strict=True)) == {x: r for x, r in root.items() if x != r} and len(set(node.tolist())) == len(node)
+
+
 def test_deduplicate(spark):
     df = clashing(spark)
     out = bm.deduplicate(df)
