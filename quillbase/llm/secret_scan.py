@@ -13,7 +13,9 @@ look at least as random (a conformal p-value, so nothing is assumed of the batte
 Benjamini-Hochberg over all candidates keeps the share of false discoveries at `fdr`. Short runs, of which structured ones pass more often,
 thus need a better score than long ones. Only counts by alphabet, class of length and step of the score reach the driver.
 
-Each text is scanned once: spans and scores are written to the shared folder before the threshold is known.
+Spans and scores of candidates are written to the shared folder before the threshold is known. Structured runs, of
+which there are far more, are only counted: their scores come from a second reading of the texts, a row for each run and
+step by step, so that Spark compiles all but the sums over a run's symbols (lambdas are interpreted).
 
 Defined cases: null and empty texts have no spans; offsets are code points, end exclusive; spans of a text are ordered
 by start, then kind; a random run that overlaps a base span is not reported; equal texts get equal spans, whatever
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +92,9 @@ def _running(sizes: Column) -> Column:
     return F.flatten(F.transform(sums(totals, F.lit(0)), lambda start, i: sums(part(i), start)))
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of the pattern's matches: gaps and matches alternate, so their lengths give the offsets."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _spans(text: Column, kind: int, pattern: str, group: int, least: int, matches: Column | None = None) -> Column:
+    """Spans of the pattern's matches (found here if not given): gaps and matches alternate, so their lengths give the offsets."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if matches is None else matches
     counted = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     def located(m: Column) -> Column:
@@ -108,14 +111,11 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
 
 def _normal_below(z: Column) -> Column:
     """The normal distribution function (Zelen and Severo's 7.5e-8 approximation; for tails below 1e-7, the asymptotic bound)."""
-
-    def of_bound(s: Column) -> Column:
-        a, t = s["a"], 1 / (1 + 0.2316419 * s["a"])
-        density = F.exp(-a * a / 2) * 0.3989422804014327
-        series = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-        return _bind(F.when(a > 5, density / a).otherwise(density * _bind(t, series)), lambda upper: F.when(s["z"] < 0, upper).otherwise(1 - upper))
-
-    return _bind(_bind(z, lambda z: F.struct(z.alias("z"), F.abs(z).alias("a"))), of_bound)  # bound, or it is computed anew wherever it stands
+    a = F.abs(z)
+    t, density = 1 / (1 + 0.2316419 * a), F.exp(-a * a / 2) * 0.3989422804014327
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.when(a > 5, density / a).otherwise(density * series)
+    return F.when(z < 0, upper).otherwise(1 - upper)
 
 
 def _both_tails(z: Column) -> Column:
@@ -131,90 +131,97 @@ def _changes(classes: Sequence[int]) -> tuple[float, float]:
 
 def battery(token: Column) -> Column:
     """struct(alphabet, n, chi, runs, serial, p): the three p-values of a run under an even, independent draw, and Fisher's of them."""
+    return reduce(_bind, BATTERY, token)
 
-    def of_run(run: Column) -> Column:
-        which = F.lit(len(ALPHABETS) - 1)
-        for i, (_, pattern, _) in reversed(list(enumerate(ALPHABETS[:-1]))):
-            which = F.when(run.rlike(pattern), F.lit(i)).otherwise(which)
-        return _bind(which, lambda a: _bind(F.struct(F.translate(run, "-_", "+/").alias("run"), F.get(F.expr(_INDICES), a).alias("at")), lambda s: of_text(a, s["run"], s["at"])))
 
-    def of_text(a: Column, run: Column, at: Column) -> Column:
-        of_chars = lambda chars: _bind(F.struct(_symbols(chars, at).alias("v"), _tally(run, chars, at).alias("tally")), lambda s: of_symbols(a, run, s["v"], s["tally"]))
-        return _bind(F.array_remove(F.split(run, ""), ""), of_chars)
+def _total(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
 
-    def of_symbols(a: Column, run: Column, v: Column, tally: Column) -> Column:
-        n = F.size(v).cast("double")
-        size = _pick([float(len(x[0])) for x in ALPHABETS], a)
-        squares = _total(tally, lambda t: t["k"] * t["k"])
-        free = size - 1  # degrees of freedom; Wilson and Hilferty's cube root
-        chi = _normal_below(-(F.pow(F.greatest(size / n * squares - n, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
-        return joined(a, n, chi, _runs_test(a, n, run), _serial_test(n, v, tally))
 
-    def joined(a: Column, n: Column, chi: Column, runs: Column, serial: Column) -> Column:
-        each = F.struct(*[F.greatest(p, F.lit(1e-300)).alias(k) for k, p in (("chi", chi), ("runs", runs), ("serial", serial))])
-        of_x = lambda s, x: F.struct(a.alias("alphabet"), n.cast("int").alias("n"), s["chi"].alias("chi"), s["runs"].alias("runs"), s["serial"].alias("serial"), (F.exp(-x) * (1 + x + x * x / 2)).alias("p"))
-        return _bind(each, lambda s: _bind(-(F.log(s["chi"]) + F.log(s["runs"]) + F.log(s["serial"])), lambda x: of_x(s, x)))
+#: For each alphabet, the index of each of its symbols at the symbol's code.
+_INDICES = f"array({', '.join('array(' + ', '.join(f'{x[0].find(chr(c))}D' for c in range(ord('z') + 1)) + ')' for x in ALPHABETS)})"
 
-    return _bind(F.regexp_replace(token, "=+$", ""), of_run)
 
+def _trimmed(token: Column) -> Column:
+    return F.struct(F.rtrim(token, F.lit("=")).alias("run"))
 
-def _total(values: Column, of) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
 
+def _spelled(s: Column) -> Column:
+    """A run's alphabet, its text with base64's symbols for base64url's, and the changes of class in it."""
+    which = F.lit(len(ALPHABETS) - 1)
+    for i, (_, pattern, _) in reversed(list(enumerate(ALPHABETS[:-1]))):
+        which = F.when(s["run"].rlike(pattern), F.lit(i)).otherwise(which)
+    # in every alphabet the classes are capitals, small letters, digits and the rest
+    changes = (F.length(F.regexp_replace(s["run"], "[A-Z]+|[a-z]+|[0-9]+|[+/_-]+", ".")) - 1).cast("double")
+    text = F.replace(F.replace(s["run"], F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    return F.struct(which.alias("alphabet"), text.alias("text"), changes.alias("changes"), F.octet_length(s["run"]).alias("n"))
 
-def _runs_test(a: Column, n: Column, run: Column) -> Column:
-    """In every alphabet the classes are capitals, small letters, digits and the rest."""
-    changes = (F.length(F.regexp_replace(run, "[A-Z]+|[a-z]+|[0-9]+|[+/]+", ".")) - 1).cast("double")
-    rate, together = (_pick([_changes(x[2])[i] for x in ALPHABETS], a) for i in (0, 1))
-    return _both_tails((changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate) + 2 * (n - 2) * together))
 
+def _counted(s: Column) -> Column:
+    """Besides, sums over the numbers of a run's distinct symbols and over its symbols' indices in the alphabet."""
 
-def _serial_test(n: Column, v: Column, tally: Column) -> Column:
-    first, last = F.get(v, F.lit(0)).cast("double"), F.element_at(v, -1).cast("double")
-    products = F.aggregate(F.sequence(F.lit(1), F.size(v) - 1), F.lit(0.0), lambda acc, i: acc + F.get(v, i - 1) * F.get(v, i))
-    every = F.struct(_total(tally, lambda t: t["k"] * t["x"]).alias("s"), _total(tally, lambda t: t["k"] * t["x"] * t["x"]).alias("q"), first.alias("first"), last.alias("last"), products.alias("xy"))
-    m = n - 1
+    def squares(text: Column, chars: Column, n: Column) -> Column:
+        numbers = F.transform(F.array_distinct(chars), lambda c: (n - F.octet_length(F.replace(text, c, F.lit("")))).cast("double"))
+        return _total(numbers, lambda k: k * k)
 
-    def sums(e: Column) -> Column:
-        return F.struct((e["s"] - e["last"]).alias("x"), (e["s"] - e["first"]).alias("y"), e["xy"].alias("xy"), (e["q"] - e["last"] * e["last"]).alias("xx"), (e["q"] - e["first"] * e["first"]).alias("yy"))
+    def of_chars(chars: Column) -> Column:
+        v = _bind(F.get(F.expr(_INDICES), s["alphabet"]), lambda at: F.transform(chars, lambda c: F.get(at, F.ascii(c))))
+        of_text = lambda text: _bind(s["n"], lambda n: squares(text, chars, n))
+        return F.struct(_bind(s["text"], of_text).alias("squares"), v.alias("v"))
 
-    def of_sums(s: Column) -> Column:
-        spread = (m * s["xx"] - s["x"] * s["x"]) * (m * s["yy"] - s["y"] * s["y"])
-        r = F.when(spread > 0, (m * s["xy"] - s["x"] * s["y"]) / F.sqrt(spread)).otherwise(1.0)
-        return _both_tails((r + 1 / m) * F.sqrt(m))
+    def of_indices(squares: Column, v: Column) -> Column:
+        products = _total(F.sequence(F.lit(1), s["n"] - 1), lambda i: F.get(v, i - 1) * F.get(v, i))
+        sums = {"squares": squares, "s": _total(v, lambda x: x), "q": _total(v, lambda x: x * x), "xy": products, "first": F.get(v, F.lit(0)), "last": F.get(v, s["n"] - 1)}
+        return F.struct(*[s[k].alias(k) for k in ("alphabet", "n", "changes")], *[c.alias(k) for k, c in sums.items()])
 
-    return _bind(_bind(every, sums), of_sums)
+    return _bind(_bind(F.split(s["text"], ""), of_chars), lambda t: _bind(t["v"], lambda v: of_indices(t["squares"], v)))
 
 
-#: For each alphabet, the index of each of its symbols at the symbol's code less _FIRST.
-_FIRST = ord("+")
-_INDICES = f"array({', '.join('array(' + ', '.join(str(x[0].find(chr(c))) for c in range(_FIRST, ord('z') + 1)) + ')' for x in ALPHABETS)})"
+def _deviates(c: Column) -> Column:
+    """The tests' statistics as deviates of the normal distribution."""
+    a, n = c["alphabet"], c["n"].cast("double")
+    size = _pick([float(len(x[0])) for x in ALPHABETS], a)
+    free = size - 1  # degrees of freedom; Wilson and Hilferty's cube root
+    chi = -(F.pow(F.greatest(size / n * c["squares"] - n, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+    rate, together = (_pick([_changes(x[2])[i] for x in ALPHABETS], a) for i in (0, 1))
+    runs = (c["changes"] - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate) + 2 * (n - 2) * together)
+    m, x, y, xx, yy = n - 1, c["s"] - c["last"], c["s"] - c["first"], c["q"] - c["last"] * c["last"], c["q"] - c["first"] * c["first"]
+    spread = (m * xx - x * x) * (m * yy - y * y)
+    r = F.when(spread > 0, (m * c["xy"] - x * y) / F.sqrt(spread)).otherwise(1.0)
+    return F.struct(a.alias("alphabet"), c["n"].alias("n"), chi.alias("chi"), runs.alias("runs"), ((r + 1 / m) * F.sqrt(m)).alias("serial"))
 
 
-def _index(c: Column, at: Column) -> Column:
-    return F.get(at, F.ascii(c) - _FIRST)
+def _tails(z: Column) -> Column:
+    tails = {"chi": _normal_below(z["chi"]), "runs": _both_tails(z["runs"]), "serial": _both_tails(z["serial"])}
+    return F.struct(z["alphabet"].alias("alphabet"), z["n"].alias("n"), *[F.greatest(p, F.lit(1e-300)).alias(k) for k, p in tails.items()])
 
 
-def _symbols(chars: Column, at: Column) -> Column:
-    """Indices in the alphabet of a token's characters."""
-    return F.transform(chars, lambda c: _index(c, at))
+def _fisher(s: Column) -> Column:
+    x = -(F.log(s["chi"]) + F.log(s["runs"]) + F.log(s["serial"]))
+    return F.struct(*[s[k].alias(k) for k in ("alphabet", "n", "chi", "runs", "serial")], (F.exp(-x) * (1 + x + x * x / 2)).alias("p"))
 
 
-def _tally(run: Column, chars: Column, at: Column) -> Column:
-    """Index in the alphabet, and number, of each of a token's distinct characters."""
-    number = lambda c: (F.size(chars) - F.octet_length(F.replace(run, c, F.lit("")))).cast("double")
-    return F.transform(F.array_distinct(chars), lambda c: F.struct(_index(c, at).cast("double").alias("x"), number(c).alias("k")))
+def _placed(b: Column) -> Column:
+    """struct(cell, step): alphabet and class of length as one number, and how far the run is from looking random."""
+    length = sum((b["n"] >= least).cast("int") for least in LENGTHS[1:])
+    step = F.floor(F.least(-F.log10(F.greatest(b["p"], F.lit(1e-300))), F.lit(float(CEILING))) * STEPS).cast("int")
+    return F.struct((b["alphabet"] * len(LENGTHS) + length).alias("cell"), F.greatest(step, F.lit(0)).alias("step"))
+
+
+#: Steps of the battery, each from what the one before returns.
+BATTERY = (_trimmed, _spelled, _counted, _deviates, _tails, _fisher)
 
 
 def _cell(token: Column) -> Column:
-    """struct(cell, step): alphabet and class of length as one number, and how far the run is from looking random."""
+    return _bind(battery(token), _placed)
 
-    def of_battery(b: Column) -> Column:
-        length = sum((b["n"] >= least).cast("int") for least in LENGTHS[1:])
-        step = F.floor(F.least(-F.log10(F.greatest(b["p"], F.lit(1e-300))), F.lit(float(CEILING))) * STEPS).cast("int")
-        return F.struct((b["alphabet"] * len(LENGTHS) + length).alias("cell"), F.greatest(step, F.lit(0)).alias("step"))
 
-    return _bind(battery(token), of_battery)
+def cells(runs: DataFrame, column: str) -> DataFrame:
+    """Column `c`: the cell of each row's run. Step by step, so that Spark compiles what is a lambda's body in `_cell`."""
+    runs = runs.select(F.col(column).alias("c"))
+    for step in (*BATTERY, _placed):
+        runs = runs.select(step(F.col("c")).alias("c"))
+    return runs
 
 
 # -- structured runs
@@ -277,8 +284,8 @@ def _glued(text: Column) -> Column:
         return _bind(F.struct(run.alias("run"), _length_in(length, F.xxhash64(words)).alias("n")), lambda s: cut(s["run"], s["n"]))
 
     def cut(run: Column, n: Column) -> Column:
-        last = F.greatest(F.floor(F.length(run) / n).cast("int") - 1, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(run, i * n + 1, F.when(i == last, F.length(run)).otherwise(n)))
+        of_last = lambda last: F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(run, i * n + 1, F.when(i == last, F.octet_length(run)).otherwise(n)))
+        return _bind(F.greatest(F.floor(F.octet_length(run) / n).cast("int") - 1, F.lit(0)), of_last)
 
     def lots(words: Column) -> Column:
         last = F.greatest(F.floor(F.size(words) / GLUED).cast("int") - 1, F.lit(0))
@@ -288,26 +295,34 @@ def _glued(text: Column) -> Column:
     words = F.regexp_extract_all(F.array_join(plain, " "), F.lit("[A-Za-z]+"), F.lit(0))
     first = F.pmod(F.xxhash64(text), F.lit(5 * len(LENGTHS)))
     runs = _bind(first, lambda h: F.flatten(F.transform(_bind(words, lots), lambda lot, i: of_lot(lot, h + i))))
-    return F.filter(runs, lambda r: F.length(r) >= LENGTHS[0])
+    return F.filter(runs, lambda r: F.octet_length(r) >= LENGTHS[0])
 
 
 # -- scanning
 
 
 def candidates(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """`_row` (the columns), `_base` spans, `_runs` (spans of candidates), their `_cells`, and `_decoys` (cells of structured runs)."""
-    t = F.col("_text")
+    """`_row` (the columns), `_base` spans, `_runs` (spans of candidates), their `_cells`, and `_decoys` (structured runs)."""
+    t, tokens = F.col("_text"), F.col("_tokens")
     found = docs.select(F.struct(*[F.col(quoted(c)) for c in columns]).alias("_row"), text_or_empty().alias("_text"))
-    tokens = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
+    found = found.select("_row", "_text", F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("_tokens"))
+    base = {name: _spans(t, k, *PATTERNS[name]) for k, name in enumerate(KINDS[:3])}
+    # 32 hexadecimal digits in a row are part of a candidate
+    base["hex"] = F.when(F.exists(tokens, lambda x: x.rlike("[0-9a-f]{32}")), base["hex"]).otherwise(F.array().cast(_NO_SPANS))
     return found.select(
         "_row",
-        F.concat(*[_spans(t, k, *PATTERNS[name]) for k, name in enumerate(KINDS[:3])]).alias("_base"),
-        _spans(t, 3, CANDIDATE, 0, 20).alias("_runs"),
+        F.concat(*base.values()).alias("_base"),
+        _spans(t, 3, CANDIDATE, 0, 20, tokens).alias("_runs"),
         F.transform(tokens, _cell).alias("_cells"),
-        F.transform(_glued(t), _cell).alias("_decoys"),
+        _glued(t).alias("_decoys"),
     )
 
 
+def structured(runs: DataFrame) -> DataFrame:
+    """Column `run`: a row for each of `_decoys`. For `explode`, Spark would make the arrays twice, to leave empty ones out."""
+    return runs.select(F.explode_outer("_decoys").alias("run")).where("run IS NOT NULL")
+
+
 def accepted(counts: Iterable[tuple[int, int, int, int]], fdr: float) -> dict[int, int]:
     """From (cell, step, candidates, structured runs): the greatest step of each cell that Benjamini-Hochberg accepts."""
     cells: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -332,19 +347,22 @@ def accepted(counts: Iterable[tuple[int, int, int, int]], fdr: float) -> dict[in
     return out
 
 
-def thresholds(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """`accepted` of the counts over all candidates and structured runs; at most len(ALPHABETS) * len(LENGTHS) * CEILING * STEPS rows are collected."""
-    made = reference(found.sparkSession).select(_cell(F.col("run")).alias("c"), F.lit(True).alias("decoy"))
-    own = [found.select(F.explode(c).alias("c"), F.lit(c == "_decoys").alias("decoy")) for c in ("_cells", "_decoys")]
-    counted = own[0].unionByName(own[1]).unionByName(made).groupBy("c.cell", "c.step")
+def thresholds(scored: DataFrame, runs: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """`accepted` of the counts over all candidates (`_cells`) and structured runs (`_decoys`, and those made by rule); at most
+    len(ALPHABETS) * len(LENGTHS) * CEILING * STEPS rows are collected.
+    """
+    own = scored.select(F.explode("_cells").alias("c"), F.lit(False).alias("decoy"))
+    others = cells(structured(runs).unionByName(reference(runs.sparkSession)), "run").withColumn("decoy", F.lit(True))
+    counted = own.unionByName(others).groupBy("c.cell", "c.step")
     rows = counted.agg(F.count_if(~F.col("decoy")).alias("k"), F.count_if("decoy").alias("d")).collect()
     return accepted([(r["cell"], r["step"], r["k"], r["d"]) for r in rows], fdr)
 
 
 def scan(docs: DataFrame, columns: Sequence[str] | None = None, fdr: float = FDR) -> DataFrame:
-    """`_row` (all columns, or some), `base` and `spans`: arrays of (start, kind index, end)."""
-    found = staged(candidates(docs, docs.columns if columns is None else columns), "candidates")
-    least = thresholds(found, fdr)
+    """`_row` (all columns, or some), `base` and `spans`: arrays of (start, kind index, end). `docs` is read twice."""
+    every = candidates(docs, docs.columns if columns is None else columns)
+    found = staged(every.drop("_decoys"), "candidates")
+    least = thresholds(found, every, fdr)
     steps = [least.get(c, -1) for c in range(len(ALPHABETS) * len(LENGTHS))]
     flagged = F.filter(F.zip_with("_runs", "_cells", lambda r, c: F.when(c["step"] <= _pick(steps, c["cell"]), r)), lambda r: r.isNotNull())
     rows = found.select("_row", F.sort_array("_base").alias("base"), flagged.alias("_random"))

@@ -98,6 +98,23 @@ def test_structured_runs_hold_every_word_of_every_text(spark):
     assert tested == {i: len(r) for i, r in runs.items()}
 
 
+def test_structured_runs_are_made_once_and_scored_by_compiled_steps(spark):
+    rng = random.Random(17)
+    docs = spark.createDataFrame([*enumerate(prose(rng, n) for n in (0, 3, 200, 3000)), (99, None)], "doc_id long, text string")
+    every = ss.candidates(docs, ("doc_id",))
+    runs = ss.structured(every)
+    assert sorted(r.run for r in runs.collect()) == sorted(x for r in every.collect() for x in r._decoys)
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 2 and "regexp_extract_all" in plan  # of the text and of each lot
+    own = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) + "=" * (i % 3) for a, _, _ in ss.ALPHABETS for i in range(9)] + ["a-b_c/d+" * 4, "-" * 20, "A" * 300]
+    every_run = runs.union(spark.createDataFrame([(r,) for r in own], "run string"))
+    scored = ss.cells(every_run, "run")
+    one_by_one = every_run.select(ss._cell(F.col("run")).alias("c"))
+    assert sorted(tuple(r.c) for r in scored.collect()) == sorted(tuple(r.c) for r in one_by_one.collect())
+    steps = ss.cells(spark.createDataFrame([(r,) for r in own], "run string"), "run")._jdf.queryExecution().executedPlan().toString()
+    assert sum("lambdafunction" in line for line in steps.splitlines()) == 1
+
+
 def test_one_row_of_each_class_whatever_the_ids(spark):
     rng = random.Random(13)
     alone = [prose(rng, 60) for _ in range(5)]
